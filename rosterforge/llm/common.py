@@ -2,58 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterforge.plans.storage import broadcast_if_small, materialize, remove_tree, shared_dir  # noqa: F401
+
 #: A run of the six ASCII white-space characters, and a word, which is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Largest number of narrow rows that a checked broadcast may carry (about 64 bytes each).
-BROADCAST_ROWS = 500_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one is set only where the session names none (tests)."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir()
-    if path is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="rosterforge-"))
-        path = sc.getCheckpointDir()
-    return path
-
-
-def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
-def remove_tree(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def rows_up_to(df: DataFrame, limit: int) -> int:
-    """Number of rows, counted no further than limit + 1."""
-    return df.limit(limit + 1).count()
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a count of the rows; beyond the limit a shuffle join is planned instead."""
-    return F.broadcast(df) if rows_up_to(df, limit) <= limit else df.hint("merge")
-
-
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and bind it in body, which the optimizer can't inline again."""
     return F.transform(F.array(value), body)[0]
