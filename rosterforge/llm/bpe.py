@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -102,7 +101,6 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
 def _codec(ranks: bytes, pattern: str) -> Codec:
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return Codec(table, pattern)
