@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterforge.llm import bpe, exact_dedup, langid, mixing, quality, simhash
+from rosterforge.llm import bpe, exact_dedup, html_extract, langid, licenses, mixing, quality, secrets, simhash, substring_dedup
 from rosterforge.llm.common import table
 
 
@@ -14,6 +14,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,11 +53,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_html_extract": op2_html_extract,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
-    "op3_exact_dedup": op3_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -93,3 +113,5 @@ SELECT doc_id, size, source_size, target,
   (whole + CASE WHEN before_size + size::DOUBLE / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::BIGINT * size AS taken
 FROM c
 """
+
+ORACLE_SQL["op10_license_scan"] = licenses.oracle_sql()
