@@ -207,7 +207,7 @@ FRAMES = {
         FROM supplier, (VALUES (0), (1)) v(x)""",
     "roster_entries": "SELECT DISTINCT tournament_id, player_id FROM appearances WHERE (player_id - 1) % 7 = 0",
     "rounds": "SELECT i AS round_id, CASE WHEN i % 9 = 0 THEN NULL ELSE i % 6 + 1 END AS number, CASE WHEN i % 4 = 0 THEN NULL ELSE i % 30 - 2 END AS maps_count, CASE WHEN i % 2 = 0 THEN 'BEST_OF' ELSE 'PLAY_ALL' END AS maps_type FROM range(1, 51) r(i)",
-    "snapshot": """SELECT team_id, cluster_id, v AS final_vector, list_transform(v[1:32], x -> x / sn) AS semantic_vector, list_transform(v[33:64], x -> x / idn) AS identity_vector,
+    "snapshot": """SELECT team_id, cluster_id, v AS final_vector, [x / sn for x in v[1:32]] AS semantic_vector, [x / idn for x in v[33:64]] AS identity_vector,
         (team_id - 1) % 17 + 1 AS lineup_count, (team_id - 1) % 5 + 1 AS distinct_lineup_count, ((team_id - 1) % 9 + 1) / 10.0::DOUBLE AS top_lineup_share, ((team_id - 1) % 11) / 10.0::DOUBLE AS lineup_entropy,
         1700000000000 + ((team_id - 1) % 400) * 86400000 AS event_time_ms
         FROM (SELECT team_id, cluster_id, v, sqrt(list_dot_product(v[1:32], v[1:32])) AS sn, sqrt(list_dot_product(v[33:64], v[33:64])) AS idn
