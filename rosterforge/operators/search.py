@@ -19,10 +19,10 @@ LINEUP_SIZE, MAX_SIGNATURE_PLAYERS = 4, 8
 def canonical_ids(values) -> tuple[int, ...]:
     """Positive integer ids of possibly nested values, once each, ascending."""
     found: set[int] = set()
-    stack = list(values if isinstance(values, (list, tuple, set)) else [values])
+    stack = [values]
     while stack:
         v = stack.pop()
-        if isinstance(v, (list, tuple, set)):
+        if isinstance(v, (list, tuple, set, range)):
             stack.extend(v)
             continue
         try:

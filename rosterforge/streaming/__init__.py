@@ -1 +1 @@
-
+"""Streaming: none. The domain has no streams, watermarks or stateful operators; refreshes are batches."""
