@@ -8,6 +8,11 @@ shard needs its boundary queried there and no link is lost. (In the full 64 dime
 radius of 4 straddles nearly every split.) Inside a shard a vantage-point tree over the full distance, pruned
 by the triangle bound with radius 4, finds exact neighbours. A shard gives back a spanning forest of its links, never all pairs.
 
+Wide fingerprints (WIDE_WORDS * 64 bits over distinct shingles) serve a similarity instead of a radius: the share of differing
+bits estimates the angle between shingle sets, hence their Jaccard similarity. At such radii no set of bands is sure to
+agree, so the trees are grown in PROJECTIONS seeded choices of PROJECTION_BITS bits; a pair at similarity 0.8 shares a
+leaf in at least one with a chance of 0.98 (0.9999 at 0.9), and the distance inside the leaf decides.
+
 Equal fingerprints are one row from the start, so exact copies cost nothing. A shard holds 16 bytes a fingerprint.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a shingle make
@@ -32,23 +37,28 @@ RADIUS, BANDS, KEEP = 4, 6, 2
 VANTAGE_POINTS = 12
 #: Shards up to this size compare neighbours directly; larger ones grow a tree whose leaves are of this size.
 LEAF = 64
+#: Wide fingerprints: words of 64 bits, and the projections in which their trees are grown. More documents ask for more bits.
+WIDE_WORDS, PROJECTIONS, PROJECTION_BITS = 4, 48, 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        begins = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1]
-        digest = xxhash.xxh64_intdigest
-        spans = zip(begins.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(begins))
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    begins = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1]
+    spans = zip(begins.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(begins))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for a in range(0, len(hashes), 65_536):
         part = hashes[a : a + 65_536]
@@ -56,16 +66,48 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE_WORDS) -> list[int]:
+    """Words of 64 bits, each from another mix of the distinct shingles' hashes."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    out = []
+    for k in range(words):
+        x = (hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits expected of two shingle sets with this Jaccard similarity, and a third of a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(bits * share + np.sqrt(bits * share * (1 - share)) / 3))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id and the fingerprint as signed longs: fp, or fp0, fp1, ... if it is of several words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = fp_columns(words)
 
     def work(batches):
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found.view(np.int64))})
+            if words == 1:
+                found = [[fingerprint(t.as_py(), shingle)] for t in batch.column(1)]
+            else:
+                found = [wide_fingerprint(t.as_py(), shingle, words) for t in batch.column(1)]
+            table = np.array(found, dtype=np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {n: pa.array(table[:, k]) for k, n in enumerate(names)})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"doc_id {kind}, {', '.join(f'{n} long' for n in names)}")
+
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+def fp_columns(words: int) -> list[str]:
+    return ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
 
 
 def band_masks(bands: int = BANDS, keep: int = KEEP) -> list[int]:
@@ -95,6 +137,12 @@ def leaves(fp: Column) -> Column:
     ))
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, whose words are the last axis."""
+    x = np.bitwise_count(a ^ b)
+    return x[..., 0] if x.shape[-1] == 1 else x.sum(axis=-1, dtype=np.int64)
+
+
 class VantageTree:
     """Hamming vantage-point tree that gives each point back once."""
 
@@ -102,7 +150,7 @@ class VantageTree:
         self.left = self.right = None
         if len(fps) > LEAF:
             self.vantage = fps[0]
-            d = np.bitwise_count(fps ^ self.vantage)
+            d = distance(fps, self.vantage)
             self.cut = int(np.median(d))
             near = d <= self.cut
             if 0 < near.sum() < len(fps):
@@ -111,18 +159,18 @@ class VantageTree:
                 return
         self.fps, self.ids, self.size = fps, ids, len(fps)
 
-    def take(self, q: np.uint64, radius: int, out: list) -> int:
+    def take(self, q: np.ndarray, radius: int, out: list) -> int:
         """Remove all points within radius of q and append (fps, ids) of them to out; returns how many."""
         if not self.size:
             return 0
         if self.left is None:
-            hit = np.bitwise_count(self.fps ^ q) <= radius
+            hit = distance(self.fps, q) <= radius
             n = int(np.count_nonzero(hit))
             if n:
                 out.append((self.fps[hit], self.ids[hit]))
                 self.fps, self.ids = self.fps[~hit], self.ids[~hit]
         else:
-            d, n = int(np.bitwise_count(q ^ self.vantage)), 0
+            d, n = int(distance(q, self.vantage)), 0
             if d - radius <= self.cut:
                 n += self.left.take(q, radius, out)
             if d + radius > self.cut:
@@ -134,7 +182,7 @@ class VantageTree:
 def shard_forest(fps: np.ndarray, ids: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A star (smallest id, member) for each component of a shard's links."""
     order = np.argsort(ids, kind="stable")
-    fps, ids = fps[order], ids[order]
+    fps, ids = fps.reshape(len(ids), -1)[order], ids[order]
     tree, centres, members, done = VantageTree(fps, ids), [], [], set()
     for fp, i in zip(fps, ids.tolist(), strict=True):
         if i in done:
@@ -162,7 +210,7 @@ def _small_links(leaf: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int
         if not same.any():
             break
         at = np.flatnonzero(same)
-        at = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]
+        at = at[distance(fps[at], fps[at + step]) <= radius]
         a.append(ids[at])
         b.append(ids[at + step])
         step += 1
@@ -191,7 +239,8 @@ def _search(radius: int):
             if not batch.num_rows:
                 continue
             leaf = batch.column(0).to_numpy()
-            now = (leaf, batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy())
+            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], axis=1)
+            now = (leaf, fps, batch.column(1).to_numpy())
             if held and held[0][0][0] == leaf[0] == leaf[-1]:
                 held.append(now)
                 continue
@@ -210,7 +259,37 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links of nodes (node long, fp long, both distinct) whose closure is that of all pairs within radius."""
     if radius > BANDS - KEEP:
         raise ValueError(f"{BANDS} bands of which {KEEP} agree find pairs up to radius {BANDS - KEEP}")
-    dealt = nodes.select(F.explode(leaves(F.col("fp"))).alias("leaf"), "fp", "node")
+    dealt = nodes.select(F.explode(leaves(F.col("fp"))).alias("leaf"), "node", "fp")
+    return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search(radius), "a long, b long")
+
+
+def projection_masks(words: int, projections: int = PROJECTIONS, bits: int = PROJECTION_BITS) -> np.ndarray:
+    """Seeded choices of bits, as masks over the words."""
+    rng = np.random.default_rng(SEED)
+    out = np.zeros((projections, words), dtype=np.uint64)
+    for row in out:
+        for bit in rng.choice(64 * words, size=bits, replace=False):
+            row[bit // 64] |= np.uint64(1 << int(bit % 64))
+    return out
+
+
+def wide_links(nodes: DataFrame, radius: int, words: int = WIDE_WORDS) -> DataFrame:
+    """a, b: links of nodes (node long, fp0, fp1, ...) within radius that share a leaf in some projection."""
+    names = fp_columns(words)
+    masks = projection_masks(words)
+    points = np.random.default_rng(SEED + 1).integers(0, 1 << 63, size=(VANTAGE_POINTS, words), dtype=np.uint64)
+
+    def deal(batches):
+        for batch in batches:
+            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
+            for k, mask in enumerate(masks):
+                leaf = np.full(len(fps), k + 1, dtype=np.uint64)
+                for v in points:
+                    leaf = (leaf + distance(fps & mask, v & mask).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    leaf ^= leaf >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), *batch.columns], names=["leaf", "node", *names])
+
+    dealt = nodes.select("node", *names).mapInArrow(deal, f"leaf long, node long, {', '.join(f'{n} long' for n in names)}")
     return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search(radius), "a long, b long")
 
 
@@ -226,7 +305,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over links of wide fingerprints at the estimated similarity or more).
+
+    Documents without words are one component.
+    """
+    names = fp_columns(words)
+    found = materialize(fingerprints(docs, id_col, text_col, shingle, words))
+    nodes = materialize(found.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")))
+    grouped = connected_components(wide_links(nodes.where("node IS NOT NULL"), radius_of(similarity, BITS * words), words))
+    named = materialize(nodes.join(grouped, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
+    return found.join(broadcast_if_small(named), names).select("doc_id", "component_id")
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns."""
-    gone = near_duplicates(docs, id_col, **options).where("doc_id <> component_id")
-    return docs.join(broadcast_if_small(gone.select(F.col("doc_id").alias(id_col)).distinct()), id_col, "left_anti")
+    """The rows of docs whose id is the smallest of their component of similar documents, with all their columns."""
+    gone = similar_documents(docs, id_col, **options).where("doc_id <> component_id")
+    gone = materialize(gone.select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(broadcast_if_small(gone), id_col, "left_anti")

@@ -81,6 +81,25 @@ def test_large_shards_cross_batches(spark):
     assert {r.component for r in found} == {1} and len(found) == len(rows)
 
 
+def test_similar_documents_find_near_copies_and_leave_others(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    rows, pairs = [], []
+    for i in range(120):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(150, 400))]
+        copy = list(base)
+        for at in rng.sample(range(0, len(copy), 10), len(copy) // 100):  # about one word in a hundred: similarity 0.9
+            copy[at] = rng.choice(vocabulary)
+        other = base[: len(base) // 2] + [rng.choice(vocabulary) for _ in range(len(base) // 2)]  # half shared: 0.33
+        rows += [(3 * i, " ".join(base), "x"), (3 * i + 1, " ".join(copy), "x"), (3 * i + 2, " ".join(other), "x")]
+        pairs.append((3 * i, 3 * i + 1))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[b] == a for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(got[3 * i + 2] == 3 * i + 2 for i in range(120))
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "component_id"] and kept.count() == len(set(got.values()))
+
+
 def test_empty_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame([], SCHEMA))
     assert got.columns == ["doc_id", "fingerprint", "component_id"] and got.isEmpty()
