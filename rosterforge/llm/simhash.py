@@ -83,9 +83,9 @@ def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE_WORDS) ->
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets with this Jaccard similarity, and a third of a standard deviation."""
+    """Differing bits expected of two shingle sets with this Jaccard similarity, and one standard deviation of slack for its estimate."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(round(bits * share + np.sqrt(bits * share * (1 - share)) / 3))
+    return int(round(bits * share + np.sqrt(bits * share * (1 - share))))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
