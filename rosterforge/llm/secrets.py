@@ -22,13 +22,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterforge.llm.common import let
+
 TRAINING_ROWS = 3_000
 TREES, DEPTH, SEED = 20, 6, 7
 
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|bearer"
 PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
-#: Up to two words before, a candidate (prefixed, or assigned to a name), and up to one word after.
-FINDING = rf"((?:[^\s]+[ \t]+){{0,2}})((?:(?i:{NAMES})[\"']?[ \t]*[:=][ \t]*[\"']?[^\s\"',;]{{6,}})|\b(?:{PREFIXED})\b)([\"',;]?(?:[ \t]+[^\s]+)?)"
+#: A value assigned to a telling name, or one with a known prefix.
+CANDIDATE = rf"(?i:{NAMES})[\"']?[ \t]*[:=][ \t]*[\"']?[^\s\"',;]{{6,}}|\b(?:{PREFIXED})\b"
+#: Characters beside a candidate in which its neighbouring words are looked for.
+NEIGHBOURHOOD = 200
 
 #: Common words that make a value look like prose or a placeholder.
 DICTIONARY = (
@@ -113,9 +117,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, finding, value, before, after of every candidate."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     likely = rows.where(F.col("text").rlike(f"(?i:{NAMES})|{PREFIXED}"))
-    found = likely.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(FINDING), F.lit(0))).alias("span"))
-    part = lambda k: F.regexp_extract("span", FINDING, k)
-    found = found.select("doc_id", F.trim(part(1)).alias("before"), part(2).alias("finding"), F.trim(part(3), F.lit(" \t\"',;")).alias("after"))
+    near = lambda around: lambda spans: F.transform(
+        spans,
+        lambda span, i: F.struct(
+            span.alias("finding"),
+            F.trim(F.regexp_extract(F.right(F.get(around, i), F.lit(NEIGHBOURHOOD)), r"((?:\S+\s+){0,2})[\"']?$", 1)).alias("before"),
+            F.regexp_extract(F.left(F.get(around, i + 1), F.lit(NEIGHBOURHOOD)), r"^[\"',;]*\s+([^\s]+)", 1).alias("after"),
+        ),
+    )
+    spans = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    listed = let(F.split("text", CANDIDATE, -1), lambda around: let(spans, near(around)))
+    found = likely.select("doc_id", F.explode(listed).alias("c")).select("doc_id", "c.*")
     value = F.regexp_replace("finding", rf"^(?i:{NAMES})[\"']?[ \t]*[:=][ \t]*[\"']?", "")
     return found.select("doc_id", "finding", value.alias("value"), "before", "after")
 
