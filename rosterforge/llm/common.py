@@ -23,7 +23,8 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words of a text in order; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RUN))
 
 
 def word_count(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Quality rules: base counts, then a hashed n-gram log-likelihood ratio of a trusted corpus against the raw one.
 
-Features are hashed n-grams of two token streams: lower-cased words (n = 1) and word shapes (n = 1, 2), where a shape maps runs of
-capitals, other letters and digits to one sign each and keeps all other characters. Both multinomials are counted
+Features are hashed n-grams of two token streams: lower-cased words (n = 1) and word shapes (n = 2), where a shape maps runs of
+capitals, small letters and digits to one sign each and keeps all other characters. Both multinomials are counted
 over all documents (the trusted one over labelled documents, bounded by MAX_TRUSTED), smoothed by add-one. The score
 is the mean log ratio per feature. The threshold is the cut of the labelled scores that best separates them (Youden's
 index over 0.01-wide steps, ties to the lowest cut), so verdicts are the same in every run.
@@ -27,26 +27,23 @@ NGRAM_WORDS = 5
 
 
 def word_shapes(text: Column) -> Column:
-    """The text with each run of capitals, other letters and digits replaced by A, a and 0."""
-    lower = F.regexp_replace(text, r"[\p{L}\p{M}&&[^\p{Lu}]]+", "a")
+    """The text with each run of capitals, small letters and digits replaced by A, a and 0."""
+    lower = F.regexp_replace(text, r"\p{Ll}+", "a")
     return F.regexp_replace(F.regexp_replace(lower, r"\p{Lu}+", "A"), r"\p{Nd}+", "0")
 
 
-def word_features(words: Column) -> Column:
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(BUCKETS)).cast("int"))
+def word_bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
 
 
-def shape_features(shapes: Column) -> Column:
-    """Unigrams and bigrams of shapes in their own range of buckets."""
-    one = F.transform(shapes, lambda s: F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int") + BUCKETS)
-    return let(
-        one,
-        lambda a: F.concat(
-            a,
-            F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.when(
-                y.isNotNull(), F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int") + 2 * BUCKETS)),
-        ),
-    )
+def bigram_bucket(first: Column, second: Column) -> Column:
+    """Bucket of a pair of shapes, in its own range."""
+    return F.pmod(F.xxhash64(first, second), F.lit(BUCKETS)).cast("int") + BUCKETS
+
+
+def over_pairs(items: Column, f) -> Column:
+    """f of each two neighbours of an array."""
+    return let(items, lambda a: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), f))
 
 
 def repeat_words(words: Column) -> Column:
@@ -55,8 +52,11 @@ def repeat_words(words: Column) -> Column:
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
     def windows(h):
-        at = lambda i, k: F.get(h, i + k)
-        return F.transform(F.sequence(F.lit(0), F.size(h) - NGRAM_WORDS), lambda i: F.xxhash64(*(at(i, k) for k in range(NGRAM_WORDS))))
+        """Hashes of all five-word windows, from those of two and four words."""
+        from_2 = lambda a, k: F.slice(a, k + 1, F.size(h) - NGRAM_WORDS + 1)
+        two = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.xxhash64(x, y))
+        four = let(two, lambda t: F.zip_with(from_2(t, 0), from_2(t, 2), lambda x, y: F.xxhash64(x, y)))
+        return F.zip_with(four, from_2(h, NGRAM_WORDS - 1), lambda x, y: F.xxhash64(x, y))
 
     def covered(g):
         pairs = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
@@ -101,20 +101,20 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(trusted), "doc_id", "left")
     flag = F.coalesce("trusted", F.lit(0)).alias("trusted")
     words = rows.select(flag, F.explode(F.split("text", SPACE_RUN)).alias("w")).where("w <> ''")
-    words = words.select("trusted", F.pmod(F.xxhash64(F.lower("w")), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    shapes = rows.select(flag, F.explode(shape_features(words_of(word_shapes(F.col("text"))))).alias("bucket"))
-    every = words.unionByName(shapes.where("bucket IS NOT NULL"))
+    words = words.select("trusted", word_bucket(F.col("w")).alias("bucket"))
+    shapes = rows.select(flag, F.explode(over_pairs(words_of(word_shapes(F.col("text"))), bigram_bucket)).alias("bucket"))
+    every = words.unionByName(shapes)
     return every.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
 
 
 def log_ratios(counts: DataFrame) -> list[float]:
-    """Log ratio of every bucket; each of the three ranges of buckets is a multinomial of its own."""
-    raw, target = [1.0] * (3 * BUCKETS), [1.0] * (3 * BUCKETS)
-    for row in counts.collect():  # at most 3 * BUCKETS rows
+    """Log ratio of every bucket; each of the two ranges of buckets is a multinomial of its own."""
+    raw, target = [1.0] * (2 * BUCKETS), [1.0] * (2 * BUCKETS)
+    for row in counts.collect():  # at most 2 * BUCKETS rows
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
     out = []
-    for part in range(3):
+    for part in range(2):
         a, b = part * BUCKETS, (part + 1) * BUCKETS
         total_raw, total_target = sum(raw[a:b]), sum(target[a:b])
         out += [math.log(target[i] / total_target) - math.log(raw[i] / total_raw) for i in range(a, b)]
@@ -126,15 +126,11 @@ def mean_ratio(ratios: list[float]):
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # folded to a constant
 
     def score(words, text):
-        features = F.concat(word_features(words), shape_features(words_of(word_shapes(text))))
-        return [
-            F.aggregate(
-                features,
-                F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-                lambda acc, b: F.struct((acc["s"] + F.coalesce(F.get(table, b), F.lit(0.0))).alias("s"), (acc["n"] + F.when(b.isNull(), 0).otherwise(1)).alias("n")),
-                lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]).otherwise(0.0),
-            ).alias("llr")
-        ]
+        plus = lambda acc, x: acc + x
+        by_word = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.get(table, word_bucket(w)))
+        by_pair = over_pairs(words_of(word_shapes(text)), lambda x, y: F.get(table, bigram_bucket(x, y)))
+        features = F.greatest(2 * F.size(words) - 1, F.lit(1))
+        return [((by_word + F.aggregate(by_pair, F.lit(0.0), plus)) / features).alias("llr")]
 
     return score
 
