@@ -147,7 +147,7 @@ _LIST = A.with_frames("snapshot", "cluster_map", "teams")
 
 
 @query(_LIST + """, m AS (SELECT c.cluster_id, c.cluster_size, s.team_id, lineup_count, name, row_number() OVER (PARTITION BY c.cluster_id ORDER BY lineup_count DESC, s.team_id) AS place FROM snapshot s JOIN cluster_map c USING (team_id) LEFT JOIN teams USING (team_id) WHERE c.cluster_id >= 0)
-SELECT cluster_id, cluster_size, count(*) AS teams, sum(lineup_count)::BIGINT AS lineup_count, CASE WHEN cluster_size >= 8 THEN 'stable' WHEN cluster_size >= 4 THEN 'rotational' ELSE 'small' END AS hint, string_agg(name, ',' ORDER BY place) FILTER (WHERE place <= 5) AS top_teams FROM m GROUP BY 1, 2""")
+SELECT cluster_id, cluster_size, count(*) AS teams, sum(lineup_count)::BIGINT AS lineup_count, CASE WHEN cluster_size >= 8 THEN 'stable' WHEN cluster_size >= 4 THEN 'rotational' ELSE 'small' END AS hint, coalesce(string_agg(name, ',' ORDER BY place) FILTER (WHERE place <= 5), '') AS top_teams FROM m GROUP BY 1, 2""")
 def cluster_list(spark, d):
     return N.cluster_list(A.snapshot(spark, d), A.cluster_map(spark, d), A.teams(spark, d))
 
