@@ -46,35 +46,35 @@ def over_pairs(items: Column, f) -> Column:
     return let(items, lambda a: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), f))
 
 
-def repeat_words(words: Column) -> Column:
-    """Words covered by 5-word windows that occur twice or more in the text."""
-    n = F.size(words)
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def window_hashes(words: Column) -> Column:
+    """Hashes of all five-word windows in order, built from those of two and four words."""
 
     def windows(h):
-        """Hashes of all five-word windows, from those of two and four words."""
-        from_2 = lambda a, k: F.slice(a, k + 1, F.size(h) - NGRAM_WORDS + 1)
+        from_k = lambda a, k: F.slice(a, k + 1, F.size(h) - NGRAM_WORDS + 1)
         two = F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.xxhash64(x, y))
-        four = let(two, lambda t: F.zip_with(from_2(t, 0), from_2(t, 2), lambda x, y: F.xxhash64(x, y)))
-        return F.zip_with(four, from_2(h, NGRAM_WORDS - 1), lambda x, y: F.xxhash64(x, y))
+        four = let(two, lambda t: F.zip_with(from_k(t, 0), from_k(t, 2), lambda x, y: F.xxhash64(x, y)))
+        return F.zip_with(four, from_k(h, NGRAM_WORDS - 1), lambda x, y: F.xxhash64(x, y))
 
-    def covered(g):
-        pairs = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    hashed = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    return F.when(F.size(words) > NGRAM_WORDS, hashed).otherwise(F.array().cast("array<bigint>"))
 
-        def of_sorted(s):
-            same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
-            hit = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-            starts = F.array_sort(F.transform(hit, lambda x: x["i"]))
-            return let(
-                starts,
-                lambda p: F.aggregate(
-                    F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(NGRAM_WORDS)), F.lit(NGRAM_WORDS))),
-                    F.lit(0), lambda acc, x: acc + x),
-            )
 
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(pairs, of_sorted))
+def repeat_words(g: Column) -> Column:
+    """Words covered by windows whose hash occurs twice or more in g, the window hashes of a text."""
+    pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
 
-    return F.when(n < NGRAM_WORDS + 1, F.lit(0)).otherwise(let(let(hashed, windows), covered))
+    def of_sorted(s):
+        same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
+        hit = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+        starts = F.sort_array(F.transform(hit, lambda x: x["i"]))
+        return let(
+            starts,
+            lambda p: F.aggregate(
+                F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(NGRAM_WORDS)), F.lit(NGRAM_WORDS))),
+                F.lit(0), lambda acc, x: acc + x),
+        )
+
+    return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(pairs, of_sorted))
 
 
 def base_counts(docs: DataFrame, scorer, id_col: str, text_col: str) -> DataFrame:
@@ -84,13 +84,14 @@ def base_counts(docs: DataFrame, scorer, id_col: str, text_col: str) -> DataFram
     lines = F.filter(F.split(F.col("text"), "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
+    rows = rows.withColumn("windows", window_hashes(F.col("words")))
     return rows.select(
         "doc_id",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         dup_lines.cast("long").alias("n_dup_lines"),
-        repeat_words(words).cast("long").alias("n_repeat_words"),
+        repeat_words(F.col("windows")).cast("long").alias("n_repeat_words"),
         *scorer(words, F.col("text")),
     )
 
