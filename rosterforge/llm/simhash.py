@@ -8,10 +8,11 @@ shard needs its boundary queried there and no link is lost. (In the full 64 dime
 radius of 4 straddles nearly every split.) Inside a shard a vantage-point tree over the full distance, pruned
 by the triangle bound with radius 4, finds exact neighbours. A shard gives back a spanning forest of its links, never all pairs.
 
-Wide fingerprints (WIDE_WORDS * 64 bits over distinct shingles) serve a similarity instead of a radius: the share of differing
-bits estimates the angle between shingle sets, hence their Jaccard similarity. At such radii no set of bands is sure to
-agree, so the trees are grown in PROJECTIONS seeded choices of PROJECTION_BITS bits; a pair at similarity 0.8 shares a
-leaf in at least one with a chance of 0.98 (0.9999 at 0.9), and the distance inside the leaf decides.
+Near copies at a Jaccard similarity (`similar_documents`, the pipeline's stage) are decided by that similarity itself, not by a
+fingerprint: at such similarities fingerprints lie 39 +- 6 of 256 bits apart, so no radius tells 0.8 from 0.7. Candidates share a band of MIN_ROWS min-hashes
+of their distinct shingles in one of MIN_BANDS bands; a pair at similarity s does so with a chance of 1 - (1 - s**MIN_ROWS)**MIN_BANDS, whatever its
+length: all but 3 in a million pairs at 0.8. Bands of the same members are searched once; a band's members meet in one task with their
+whole shingle sets, which gives a spanning forest of the pairs that reach the similarity, never all pairs.
 
 Equal fingerprints are one row from the start, so exact copies cost nothing. A shard holds 16 bytes a fingerprint.
 
@@ -37,8 +38,8 @@ RADIUS, BANDS, KEEP = 4, 6, 2
 VANTAGE_POINTS = 12
 #: Shards up to this size compare neighbours directly; larger ones grow a tree whose leaves are of this size.
 LEAF = 64
-#: Wide fingerprints: words of 64 bits, and the projections in which their trees are grown. More documents ask for more bits.
-WIDE_WORDS, PROJECTIONS, PROJECTION_BITS = 4, 48, 15
+#: Min-hashes of the candidates for a similarity: bands, and min-hashes of one band.
+MIN_BANDS, MIN_ROWS = 32, 5
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -70,44 +71,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE_WORDS) -> list[int]:
-    """Words of 64 bits, each from another mix of the distinct shingles' hashes."""
-    hashes = np.unique(shingle_hashes(text, shingle))
-    out = []
-    for k in range(words):
-        x = (hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
-
-
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets with this Jaccard similarity, and one standard deviation of slack for its estimate."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(round(bits * share + np.sqrt(bits * share * (1 - share))))
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
-    """doc_id and the fingerprint as signed longs: fp, or fp0, fp1, ... if it is of several words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and the fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    names = fp_columns(words)
 
     def work(batches):
         for batch in batches:
-            if words == 1:
-                found = [[fingerprint(t.as_py(), shingle)] for t in batch.column(1)]
-            else:
-                found = [wide_fingerprint(t.as_py(), shingle, words) for t in batch.column(1)]
-            table = np.array(found, dtype=np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {n: pa.array(table[:, k]) for k, n in enumerate(names)})
+            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found)})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, {', '.join(f'{n} long' for n in names)}")
-
-
-def fp_columns(words: int) -> list[str]:
-    return ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
+    return rows.mapInArrow(work, f"doc_id {kind}, fp long")
 
 
 def band_masks(bands: int = BANDS, keep: int = KEEP) -> list[int]:
@@ -263,34 +237,119 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search(radius), "a long, b long")
 
 
-def projection_masks(words: int, projections: int = PROJECTIONS, bits: int = PROJECTION_BITS) -> np.ndarray:
-    """Seeded choices of bits, as masks over the words."""
-    rng = np.random.default_rng(SEED)
-    out = np.zeros((projections, words), dtype=np.uint64)
-    for row in out:
-        for bit in rng.choice(64 * words, size=bits, replace=False):
-            row[bit // 64] |= np.uint64(1 << int(bit % 64))
-    return out
+def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of min-hashes of distinct shingle hashes."""
+    import xxhash
+
+    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(hashes), 4096):
+        x = hashes[a : a + 4096, None] * factors + offsets
+        x ^= x >> np.uint64(32)
+        x *= factors
+        least = np.minimum(least, x.min(axis=0))
+    rows = least.reshape(MIN_BANDS, MIN_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64)
 
 
-def wide_links(nodes: DataFrame, radius: int, words: int = WIDE_WORDS) -> DataFrame:
-    """a, b: links of nodes (node long, fp0, fp1, ...) within radius that share a leaf in some projection."""
-    names = fp_columns(words)
-    masks = projection_masks(words)
-    points = np.random.default_rng(SEED + 1).integers(0, 1 << 63, size=(VANTAGE_POINTS, words), dtype=np.uint64)
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id, text, key (digest of the set of shingles), bands (no band without shingles)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    factors, offsets = np.random.default_rng(SEED).integers(0, 1 << 63, size=(2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
+    factors = factors * np.uint64(2) + np.uint64(1)
+
+    def work(batches):
+        import xxhash
 
-    def deal(batches):
         for batch in batches:
-            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
-            for k, mask in enumerate(masks):
-                leaf = np.full(len(fps), k + 1, dtype=np.uint64)
-                for v in points:
-                    leaf = (leaf + distance(fps & mask, v & mask).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    leaf ^= leaf >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), *batch.columns], names=["leaf", "node", *names])
-
-    dealt = nodes.select("node", *names).mapInArrow(deal, f"leaf long, node long, {', '.join(f'{n} long' for n in names)}")
-    return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search(radius), "a long, b long")
+            keys, bands = [], []
+            for text in batch.column(1):
+                hashes = np.unique(shingle_hashes(text.as_py(), shingle))
+                keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                bands.append(band_keys(hashes, factors, offsets).view(np.int64) if len(hashes) else [])
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "text": batch.column(1), "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                "bands": pa.array(bands, type=pa.list_(pa.int64())),
+            })
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"doc_id {kind}, text string, key long, bands array<long>")
+
+
+def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Positions (a, b) of a spanning forest of the pairs of sets whose Jaccard similarity is at least `similarity`; sets hold distinct values."""
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return ([0], [1]) if both / (len(sets[0]) + len(sets[1]) - both) >= similarity else ([], [])
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    alive = np.ones(len(sets), dtype=bool)
+
+    def index(members):
+        """Owners of each value, by value, and where each value's owners begin."""
+        own = np.repeat(members, sizes[members])
+        held = np.concatenate([values[starts[m] : starts[m + 1]] for m in members])
+        return own[np.argsort(held, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(held, minlength=values.max() + 1))])
+
+    indexed = len(sets)
+    owners, begins = index(np.arange(indexed))
+    a, b = [], []
+    for first in range(len(sets)):
+        if not alive[first]:
+            continue
+        alive[first], todo = False, [first]
+        while todo and alive.any():
+            left = np.flatnonzero(alive)
+            if 2 * len(left) < indexed:  # the index follows the sets that are left, so that it costs little to ask it again
+                indexed = len(left)
+                owners, begins = index(left)
+            q = todo.pop()
+            mine = values[starts[q] : starts[q + 1]]
+            both = np.bincount(np.concatenate([owners[begins[v] : begins[v + 1]] for v in mine]), minlength=len(sets))
+            hits = left[both[left] / (sizes[q] + sizes[left] - both[left]) >= similarity]
+            alive[hits] = False
+            todo.extend(hits.tolist())
+            a.extend([q] * len(hits))
+            b.extend(hits.tolist())
+    return a, b
+
+
+def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: keys of a forest of the pairs of nodes (key, bands) that share a band and reach the similarity; texts: key, text."""
+    banded = nodes.select("key", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y"))
+    shared = materialize(groups.where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"))
+    members = materialize(banded.join(broadcast_if_small(shared), "band"))
+    needed = materialize(members.select("key").distinct())
+    # Any of the texts of a key: all have the same shingles.
+    rows = texts.join(broadcast_if_small(needed), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+
+    def read(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"key": batch.column(0), "shingles": pa.array(sets, type=pa.binary())})
+
+    def search(batches):
+        band, keys, sets = None, [], []
+
+        def found():
+            a, b = similarity_forest(sets, similarity)
+            return pa.RecordBatch.from_pydict({k: pa.array([keys[i] for i in at], type=pa.int64()) for k, at in (("a", a), ("b", b))})
+
+        for batch in batches:
+            for now, key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != band:
+                    if len(keys) > 1:
+                        yield found()
+                    band, keys, sets = now, [], []
+                keys.append(key)
+                sets.append(np.frombuffer(data, dtype=np.uint64))
+        if len(keys) > 1:
+            yield found()
+
+    read_sets = materialize(rows.mapInArrow(read, "key long, shingles binary"))
+    dealt = members.join(read_sets, "key").select("band", "key", "shingles").repartition("band").sortWithinPartitions("band", "key")
+    return dealt.mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -305,17 +364,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable over links of wide fingerprints at the estimated similarity or more).
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over pairs whose distinct shingles have this Jaccard similarity or more).
 
     Documents without words are one component.
     """
-    names = fp_columns(words)
-    found = materialize(fingerprints(docs, id_col, text_col, shingle, words))
-    nodes = materialize(found.groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")))
-    grouped = connected_components(wide_links(nodes.where("node IS NOT NULL"), radius_of(similarity, BITS * words), words))
-    named = materialize(nodes.join(grouped, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
-    return found.join(broadcast_if_small(named), names).select("doc_id", "component_id")
+    found = materialize(shingle_sets(docs, id_col, text_col, shingle))
+    nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")))
+    grouped = materialize(connected_components(similar_pairs(nodes, found.select("key", "text"), shingle, similarity)))
+    inside = nodes.join(grouped.withColumnRenamed("node", "key"), "key").select("key", "component", "least")
+    least = inside.groupBy("component").agg(F.min("least").alias("component_id"))
+    merged = materialize(inside.join(broadcast_if_small(materialize(least)), "component").select("key", "component_id"))
+    named = nodes.select("key", "least").join(broadcast_if_small(merged), "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    return found.select("doc_id", "key").join(broadcast_if_small(materialize(named)), "key").select("doc_id", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

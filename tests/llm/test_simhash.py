@@ -100,6 +100,46 @@ def test_similar_documents_find_near_copies_and_leave_others(spark):
     assert kept.columns == ["doc_id", "text", "component_id"] and kept.count() == len(set(got.values()))
 
 
+def similarity(a, b, shingle=5):
+    sets = [{tuple(t[i : i + shingle]) for i in range(max(1, len(t) - shingle + 1))} for t in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_documents_link_by_the_exact_similarity(spark):
+    """Pairs just over and just under 0.8, short and long, are told apart as by brute force."""
+    rng = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    rows, want = [], {}
+    for i in range(400):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((14, 30, 80, 300)))]
+        k = len(base) - 4  # shingles; a changed tail of n words leaves k - n of k in common
+        n = next(n for n in range(k) if (k - n) / (k + n) < 0.8) - (i % 2)
+        copy = base[: len(base) - n] + [rng.choice(vocabulary) + "z" for _ in range(n)]
+        rows += [(2 * i, " ".join(base), "x"), (2 * i + 1, " ".join(copy), "x")]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + 1 - i % 2}
+    assert all((similarity(rows[d][1], rows[d - 1][1]) >= 0.8) == (want[d] == d - 1) for d in range(1, len(rows), 2))
+    rows += [(5000, None, "x"), (5001, " \n", "x")]
+    want |= {5000: 5000, 5001: 5000}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_similarity_forest_matches_brute_force():
+    """A graded group: some members are linked only over others, some not at all."""
+    rng = np.random.default_rng(4)
+    base = rng.choice(10**6, size=100, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(100) < rng.uniform(0.7, 1)], rng.integers(10**6, 10**9, size=rng.integers(0, 12)).astype(np.uint64)])) for _ in range(150)]
+    label = list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8]
+    for _ in sets:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    a, b = simhash.similarity_forest(sets, 0.8)
+    assert set(zip(a, b, strict=True)) <= {p for i, j in pairs for p in ((i, j), (j, i))}
+    assert len(a) == len(sets) - len(set(label)) and 1 < len(set(label)) < len(sets)
+
+
 def test_empty_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame([], SCHEMA))
     assert got.columns == ["doc_id", "fingerprint", "component_id"] and got.isEmpty()
+    assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).isEmpty()
