@@ -2,9 +2,11 @@
 
 The standard library's streaming parser yields events, from which the page becomes lines: one for each block of text, with its
 number of characters and tags. The text-to-tag ratio of the lines is smoothed by a Gaussian kernel, and a two-means
-threshold over the smoothed ratios marks the lines that read like content. These vote, by their characters, for the region (article,
-main, or the container they stand in) that holds the article; all of that region's lines are its text. Lines inside
-menus, sidebars, notices, adverts, forms, comments and other marked subtrees never count.
+threshold over the smoothed ratios marks the lines that read like content. These vote, by their characters (other lines by a share of
+theirs), for every container around them. The text is that of all articles and mains together where they hold a QUARTER of the votes, else of the smallest
+container that holds nearly all (HOME of the votes): siblings that share the content are kept together. Lines inside
+menus, sidebars, notices, adverts, forms, comments and other marked subtrees never count; but a class, id or role marks no subtree that holds most
+of the text of articles and mains or, on a page without them, MOST of the text, unless it names comments.
 
 Defined cases: a null or empty page, or one without text outside such subtrees, has an empty text; cut-off pages,
 unclosed and stray tags are read as far as they go; repeated rows give repeated results; an empty table gives an
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, RADIUS = 1.0, 2
+QUARTER, HOME, MOST = 0.25, 0.9, 0.75
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -43,6 +46,8 @@ MARKS = frozenset(
     "navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar skip search searchform pager pagination "
     "complementary contentinfo dialog alertdialog form hidden toc".split()
 )
+#: Those that mark it however much text it holds.
+COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
 REGIONS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 #: An open element that the start of one of these tags ends.
@@ -57,12 +62,12 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 class Line:
-    """A block of text: its text, tags, containers from the outside in, and whether its subtree is furniture."""
+    """A block of text: its text, tags, containers from the outside in, whether its subtree is furniture, and the numbers of the words that mark it so."""
 
-    __slots__ = ("containers", "furniture", "tags", "text")
+    __slots__ = ("containers", "furniture", "marks", "tags", "text")
 
-    def __init__(self, text, tags, containers, furniture):
-        self.text, self.tags, self.containers, self.furniture = text, tags, containers, furniture
+    def __init__(self, text, tags, containers, furniture, marks=()):
+        self.text, self.tags, self.containers, self.furniture, self.marks = text, tags, containers, furniture, marks
 
 
 class LineReader(HTMLParser):
@@ -71,7 +76,8 @@ class LineReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open: list[tuple[str, bool, int]] = []  # tag, starts furniture, container number or -1
+        self._open: list[tuple[str, bool, int, bool]] = []  # tag, starts furniture, container number or -1, starts a mark
+        self._marks: tuple[int, ...] = ()
         self._furniture = 0
         self._containers: tuple[tuple[str, int], ...] = ()
         self._text: list[str] = []
@@ -81,31 +87,37 @@ class LineReader(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.lines.append(Line(text, max(1, self._tags), self._containers, self._furniture > 0))
+            self.lines.append(Line(text, max(1, self._tags), self._containers, self._furniture > 0, self._marks))
             self._tags = 0
         self._text = []
 
-    def _is_furniture(self, tag: str, attrs: list) -> bool:
+    def _is_furniture(self, tag: str, attrs: list) -> tuple[bool, bool]:
+        """Whether the subtree is furniture, and whether a word marks it as such."""
+        marked = False
         if tag in SKIPPED:
-            return True
+            return True, False
         if tag == "header":  # a site header is furniture; that of an article may hold its title
-            return not any(t in REGIONS for t, _ in self._containers)
+            return not any(t in REGIONS for t, _ in self._containers), False
         for name, value in attrs:
             if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-                return True
+                return True, False
             if value and name in ("class", "id", "role") and tag not in ("html", "body", "main"):
                 words = set(_TOKEN.findall(value.lower()))
                 if words & MARKS and not (tag == "article" and not words & {"comment", "comments", "reply", "ad", "advert", "related", "sponsored"}):
-                    return True
+                    if words & COMMENTS:
+                        return True, False
+                    marked = True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return True, False
+        return False, marked
 
     def _pop(self) -> None:
-        tag, furniture, container = self._open.pop()
-        if tag in BLOCKS:
-            self._flush()
+        tag, furniture, container, marked = self._open.pop()
+        if tag in BLOCKS or furniture or marked:
+            self._flush()  # text of inline furniture, such as a script, is a line of its own
         self._furniture -= furniture
+        if marked:
+            self._marks = self._marks[:-1]
         if container >= 0:
             self._containers = self._containers[:-1]
 
@@ -119,14 +131,19 @@ class LineReader(HTMLParser):
             self._text.append(" ")
         if tag in VOID:
             return
-        furniture = self._is_furniture(tag, attrs)
+        furniture, marked = self._is_furniture(tag, attrs)
+        if furniture or marked:
+            self._flush()
         number = -1
         if tag in CONTAINERS:
             self._n += 1
             number = self._n
             self._containers = (*self._containers, (tag, number))
         self._furniture += furniture
-        self._open.append((tag, furniture, number))
+        if marked:
+            self._n += 1
+            self._marks = (*self._marks, self._n)
+        self._open.append((tag, furniture, number, marked))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -194,23 +211,47 @@ def two_means_threshold(values: list[float]) -> float:
         low, high = a, b
 
 
+def _in_region(line: Line) -> bool:
+    return any(tag in REGIONS for tag, _ in line.containers)
+
+
+def settle_marks(lines: list[Line]) -> None:
+    """Make furniture of the lines under a marking word, unless its subtree holds most of the text."""
+    free = [x for x in lines if not x.furniture]
+    inside = [x for x in free if _in_region(x)]
+    pool, share = (inside, 0.5) if inside else (free, MOST)
+    total = sum(len(x.text) for x in pool)
+    held: dict[int, int] = {}
+    for x in pool:
+        for mark in x.marks:
+            held[mark] = held.get(mark, 0) + len(x.text)
+    for x in free:
+        x.furniture = any(held.get(mark, 0) <= share * total for mark in x.marks)
+
+
 def select(lines: list[Line]) -> list[Line]:
     """The lines of the region that the content-like lines vote for."""
+    settle_marks(lines)
     usable = [x for x in lines if not x.furniture]
     if not usable:
         return []
     smoothed = smooth([0.0 if x.furniture else len(x.text) / x.tags for x in lines])
-    ratio = {id(x): r for x, r in zip(lines, smoothed, strict=True)}
     cut = two_means_threshold(smoothed)
-    votes: dict[tuple[str, int], int] = {}
-    for x in usable:
-        weight = len(x.text) if ratio[id(x)] >= cut else 1
-        regions = [c for c in x.containers if c[0] in REGIONS]
-        home = (regions or list(x.containers) or [("", 0)])[0 if regions else -1]
-        votes[home] = votes.get(home, 0) + weight
-    marked = {c: v for c, v in votes.items() if c[0] in REGIONS}
-    best = max((marked or votes).items(), key=lambda kv: (kv[1], -kv[0][1]))[0]
-    return [x for x in usable if best in x.containers or (best == ("", 0) and not x.containers)]
+    votes: dict[tuple[str, int], float] = {}
+    total = regions = 0.0
+    for x, ratio in zip(lines, smoothed, strict=True):
+        if x.furniture:
+            continue
+        weight = len(x.text) * (1.0 if ratio >= cut else ratio / cut)
+        total += weight
+        regions += weight if _in_region(x) else 0.0
+        for c in x.containers:
+            votes[c] = votes.get(c, 0.0) + weight
+    if regions >= QUARTER * total:
+        return [x for x in usable if _in_region(x)]
+    # Containers that hold nearly all lie inside each other; the last one opened is the smallest.
+    home = max((c for c, v in votes.items() if v >= HOME * total), key=lambda c: c[1], default=None)
+    return [x for x in usable if home is None or home in x.containers]
 
 
 def extract(html: str | None) -> str:

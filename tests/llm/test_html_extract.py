@@ -24,3 +24,22 @@ def test_smoothing_and_threshold():
     assert html_extract.two_means_threshold([3.0, 3.0]) == 3.0
     flat = html_extract.smooth([2.0] * 6)
     assert all(abs(x - 2.0) < 1e-12 for x in flat)
+
+
+def test_siblings_and_wrappers_are_kept():
+    a, b = "The first part tells of many things at some length. " * 4, "The second part is shorter. " * 3
+    a, b = a.strip(), b.strip()
+    both = f"{a}\n\n{b}"
+    extract = html_extract.extract
+    assert extract(f"<body><nav>menu</nav><div class=content><section>{a}</section><section>{b}</section></div></body>") == both
+    assert extract(f"<body><div>{a}</div><div>{b}</div><div class=ad>Buy</div></body>") == both
+    assert extract(f"<body><article>{a}</article><article>{b}</article><footer>x</footer></body>") == both
+    many = [f"Paragraph {i} of the text, which goes on for a while." for i in range(12)]
+    assert extract("<body>" + "".join(f"<div>{x}</div>" for x in many) + "</body>") == "\n\n".join(many)
+    for name in ("content has-sidebar", "container overflow-hidden"):
+        page = f"<body><div class='{name}'>%s<div class='sidebar'>side links</div></div></body>"
+        assert extract(page % f"<article>{a}</article>") == a
+        assert extract(page % f"<div>{a}</div>") == a
+    assert extract(f"<body><div>{a}</div><div class='comments'>{'A long comment. ' * 90}</div></body>") == a
+    assert extract(f"<body><article>{a}</article><div class='related'><article>teaser</article></div></body>") == a
+    assert extract(f"<html><head><style>p{{margin:0}}</style><script>{a}</script></head><body><div>{b}</div></body>") == b
