@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +11,43 @@ from rosterforge.plans.storage import broadcast_if_small, materialize, remove_tr
 #: A run of the six ASCII white-space characters, and a word, which is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Column that tells the rows of a table apart, whatever their ids are.
+ROW = "__row_key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_rows(docs: DataFrame) -> DataFrame:
+    """docs with ROW, the same at every reading: the Parquet file and the place in it.
+
+    docs is a Parquet table as read, whose rows and columns may have been selected; any other frame is keyed() instead.
+    """
+    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        return docs.select("*", F.struct(F.unhex(F.md5(file)).alias("file"), place.alias("place")).alias(ROW))
+    except AnalysisException:  # no Parquet table
+        return keyed(docs)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW; without it, the rows are numbered and written out, so that the numbers stay."""
+    return docs if ROW in docs.columns else materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose ROW is not in gone; only narrow keys move where gone is small enough to broadcast."""
+    return docs.join(broadcast_if_small(materialize(gone.select(ROW))), ROW, "left_anti")
+
+
+def surplus(rows: DataFrame, group: str) -> DataFrame:
+    """ROW of the rows that share their group with another row of rows whose ROW is smaller."""
+    many = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row")).where("n > 1")
+    many = broadcast_if_small(materialize(many.select(group, "first_row")))
+    return rows.join(many, group).where(F.col(ROW) != F.col("first_row")).select(ROW)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and bind it in body, which the optimizer can't inline again."""
     return F.transform(F.array(value), body)[0]

@@ -1,15 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target number of words by water-filling: shares follow the weights, none passes its cap, the
-excess is shared again by weight. A source whose target is r times its size takes floor(r) whole copies of each
-document, then a Pareto order sample fills the rest: documents are ranked by the odds of a fixed hash-based uniform
-divided by the odds of the inclusion probability, and taken in that order while they bring the sum nearer the target.
+excess is shared again by weight. Inside a source each document gets an expected number of copies, in proportion to its
+size class (bits of its size, so that longer documents are likelier) and at most the cap, such that the expected words are
+the target. The whole part of it is taken for certain; its fraction is the document's inclusion probability in a Pareto order
+sample: documents are ranked by the odds of a fixed hash-based uniform divided by the odds of their inclusion probability, and
+taken in that order while they bring the sum nearer the target.
 
 The cut in the order is found without sorting a source: the rank is an integer key of 27 bits, and three passes over narrow rows sum sizes
-by 9-bit digits of it (map-side combined, at most 512 sums a source); only the rows that share the key of the cut are sorted.
+by 9-bit digits of it (map-side combined, at most 512 sums a source); only documents with the very key of the cut are sorted. Sources
+that take whole copies only have no cut. What a document is taken for follows from its source's few numbers, so no document is shuffled.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; equal
-ranks fall back to doc_id; repeated rows count as so many documents; an empty table gives an empty result.
+ranks fall back to doc_id, null first; rows that repeat an id and a size share one fate and count as so many documents; an empty table
+gives an empty result; other columns are ignored, and kept by `apply_mix`.
 """
 
 from __future__ import annotations
@@ -56,6 +60,65 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return per.select("source", "source_size", target.alias("target"))
 
 
+def copy_rates(sizes: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
+    """src, weight, source_size, target, whole, part, rest: for every source and size class, the certain copies and the
+    inclusion probability of one more; rest is what the target leaves to the sample.
+
+    The rates are cap or level times the weight, whichever is less; the level is found over a source's few classes,
+    the heaviest first, as the first at which its own class stays under the cap.
+    """
+    per = sizes.groupBy(F.col("source").alias("src"), "weight").agg(F.sum("size").alias("held"))
+    known = targets.withColumnRenamed("source", "own")
+    per = per.join(broadcast_if_small(known), F.col("src").eqNullSafe(F.col("own"))).drop("own")
+    source = Window.partitionBy("src")
+    heavy = source.orderBy(F.desc("weight"))
+    before = F.coalesce(F.sum("held").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * cap
+    ahead = F.sum(F.col("held") * F.col("weight")).over(heavy.rowsBetween(0, Window.unboundedFollowing))
+    level = (F.col("target") - before) / F.nullif(ahead, F.lit(0))
+    per = per.withColumn("level", level)
+    free = (F.col("level") * F.col("weight") < cap) & (F.col("target") < F.col("source_size") * cap)
+    per = per.withColumn("level", F.max_by("level", F.when(free, F.col("weight"))).over(source))
+    rate = F.least(F.lit(float(cap)), F.coalesce(F.col("level") * F.col("weight"), F.lit(float(cap))))
+    per = per.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
+    certain = F.sum(F.col("whole") * F.col("held")).over(source)
+    return per.withColumn("rest", F.greatest(F.col("target") - certain, F.lit(0.0))).drop("level", "held")
+
+
+class Mix:
+    """What a mix of docs takes: a few numbers for each source, found in passes over narrow rows."""
+
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, seed: int, id_col: str, text_col: str, source_col: str):
+        self.seed = seed
+        self.sizes = materialize(self.sized(docs.select(
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+        )))
+        targets = materialize(source_targets(self.sizes, weights, share, cap))
+        self.rates = materialize(copy_rates(self.sizes, targets, cap))
+        ranked = materialize(self.ranked(self.sizes).where("part > 0").select("source", "doc_id", "size", "rank", "key", "rest"))
+        self.cuts = materialize(_boundaries(ranked, _cuts(ranked)))
+
+    @staticmethod
+    def sized(rows: DataFrame) -> DataFrame:
+        """rows (size) with the weight of their size class."""
+        return rows.withColumn("weight", F.length(F.bin("size")))
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, source, size, weight) with their rates, rank and key."""
+        rates = broadcast_if_small(self.rates.withColumnRenamed("weight", "own"))
+        known = rows.join(rates, F.col("source").eqNullSafe(F.col("src")) & (F.col("weight") == F.col("own"))).drop("src", "own")
+        u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), self.seed)
+        known = known.withColumn("rank", F.when(F.col("part") > 0.0, pareto_rank(u, F.col("part"))))
+        return known.withColumn("key", F.least(F.floor(F.col("rank") * float(2**KEY_BITS)), F.lit(2**KEY_BITS - 1)))
+
+    def decided(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, source, size, weight) with source_size, target, copies, taken."""
+        placed = self.ranked(rows).join(broadcast_if_small(self.cuts), F.col("source").eqNullSafe(F.col("cut_source")), "left")
+        at_cut = (F.col("key") == F.col("cut")) & (F.struct("rank", "doc_id") <= F.col("last"))
+        inside = F.coalesce((F.col("key") < F.col("cut")) | at_cut, F.lit(False))
+        copies = (F.col("whole") + inside.cast("long")).cast("long")
+        return placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -67,65 +130,56 @@ def mix(
     source_col: str = "source",
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies (taken = copies * size)."""
-    sizes = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    )
-    targets = materialize(source_targets(sizes, weights, share, cap).withColumnRenamed("source", "src"))
-    rows = sizes.join(broadcast_if_small(targets), F.col("source").eqNullSafe(F.col("src")))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(ratio)
-    rank = F.when(
-        F.col("part") > 0.0, pareto_rank(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed), F.col("part"))
-    ).otherwise(1.0)
-    ranked = materialize(
-        rows.withColumn("whole", whole)
-        .withColumn("part", ratio - whole)
-        .withColumn("rest", F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0)))
-        .withColumn("rank", rank)
-        .withColumn("key", F.least(F.floor(F.col("rank") * float(2**KEY_BITS)), F.lit(2**KEY_BITS - 1)))
-        .drop("src", "part")
-    )
-    cuts = _cuts(ranked, targets)
-    placed = ranked.join(broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("cut_source")))
-    at_cut = placed.where("key = cut").select("source", "doc_id", "rank", "size", "rest", "below")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    fits = F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0 <= F.col("rest")
-    edge = at_cut.withColumn("in_mix", fits).select("source", "doc_id", "size", "rank", "in_mix")
-    above = placed.where("key <> cut").select("*", (F.col("key") < F.col("cut")).alias("in_mix"))
-    # The rows of the cut carry their own columns on, so that no join back is needed.
-    keep = ["doc_id", "size", "source_size", "target", "whole", "in_mix"]
-    edge = edge.join(broadcast_if_small(targets), F.col("source").eqNullSafe(F.col("src")))
-    edge = edge.withColumn("whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    out = above.select(*keep).unionByName(edge.select(*keep))
-    copies = (F.col("whole") + F.col("in_mix").cast("long")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
-
-
-def _cuts(ranked: DataFrame, targets: DataFrame) -> DataFrame:
+    plan = Mix(docs, weights, share, cap, seed, id_col, text_col, source_col)
+    return plan.decided(plan.sizes).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def _cuts(ranked: DataFrame) -> DataFrame:
     """cut_source, cut, below: the first key at which a source's running sum passes its rest, and the sum before it."""
-    spark = ranked.sparkSession
-    cuts = materialize(targets.select(F.col("src").alias("cut_source"), F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("below")))
+    cuts = None
     for digit in reversed(range(DIGITS)):
         shift = DIGIT_BITS * digit
         step = F.shiftright(F.col("key"), shift)
-        sums = (
-            ranked.join(broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("cut_source")))
-            .where(F.shiftright(F.col("key"), shift + DIGIT_BITS) == F.col("cut"))
-            .groupBy("source", "rest", "below", step.alias("step")).agg(F.sum("size").alias("size"))
-        )
+        if cuts is None:
+            rows = ranked.withColumn("below", F.lit(0).cast("long"))
+        else:
+            rows = ranked.join(broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("cut_source")))
+            rows = rows.where(F.shiftright(F.col("key"), shift + DIGIT_BITS) == F.col("cut"))
+        sums = rows.groupBy("source", "rest", "below", step.alias("step")).agg(F.sum("size").alias("size"))
         order = Window.partitionBy("source").orderBy("step")
         run = sums.withColumn("before", F.col("below") + F.sum("size").over(order) - F.col("size"))
         # The last step that starts at or under the rest; all earlier steps are taken whole.
         reached = run.where(F.col("before") <= F.col("rest"))
-        last = reached.groupBy(F.col("source").alias("cut_source")).agg(
+        cuts = materialize(reached.groupBy(F.col("source").alias("cut_source")).agg(
             F.max("step").alias("cut"), F.max_by("before", "step").alias("below")
-        )
-        cuts = materialize(last)
+        ))
     return cuts
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def _boundaries(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """cut_source, cut, last: the last (rank, doc_id) that the sample takes among those with the key of the cut; null if none."""
+    at_cut = ranked.join(broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("key") == F.col("cut")))
+    alike = at_cut.groupBy("cut_source", "cut", "below", "rest", "rank", "doc_id").agg(F.sum("size").alias("size"))
+    order = Window.partitionBy("cut_source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    fits = F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0 <= F.col("rest")
+    last = F.max(F.when(F.col("fits"), F.struct("rank", "doc_id")))
+    return alike.withColumn("fits", fits).groupBy("cut_source", "cut").agg(last.alias("last"))
+
+
+def apply_mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: int = 2,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The rows of docs, each repeated as often as the mix takes it; documents without words are not taken."""
-    chosen = mix(docs, id_col=id_col, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(chosen, F.col(id_col) == F.col("__id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    plan = Mix(docs, weights, share, cap, seed, id_col, text_col, source_col)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+    )
+    taken = plan.decided(plan.sized(rows)).where("taken > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

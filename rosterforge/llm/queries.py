@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterforge.llm import bpe, exact_dedup, html_extract, langid, licenses, mixing, quality, secrets, simhash, substring_dedup
-from rosterforge.llm.common import table
+from rosterforge.llm.common import table, table_rows
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +19,15 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table_rows(table(spark, sf_dir, "documents")), path_col="source")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup.substring_dedup(table_rows(table(spark, sf_dir, "documents")))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table_rows(table(spark, sf_dir, "documents")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table_rows(table(spark, sf_dir, "documents")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,25 +92,35 @@ WITH d AS (
   SELECT source, source_size,
     least(cap::DOUBLE, coalesce(w::DOUBLE * (arg_min(water, place) FILTER (WHERE cap::DOUBLE / w::DOUBLE > water) OVER ()), cap::DOUBLE)) AS target
   FROM m
-), r AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0 END AS ratio,
+), x AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, length(bin(d.size)) AS g,
     (('0x' || substr(md5(d.doc_id::VARCHAR || ':42'), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), y AS (
+  SELECT source, g, any_value(target) AS target, any_value(source_size) AS source_size, sum(size)::BIGINT AS held FROM x GROUP BY source, g
+), z AS (
+  SELECT a.source, a.g, (a.target - 2 * coalesce(sum(b.held) FILTER (WHERE b.g > a.g), 0)::DOUBLE)
+    / nullif(sum(b.held * b.g) FILTER (WHERE b.g <= a.g), 0)::DOUBLE AS level
+  FROM y a JOIN y b ON a.source IS NOT DISTINCT FROM b.source
+  WHERE a.target < 2 * a.source_size GROUP BY a.source, a.g, a.target
+), v AS (
+  SELECT source, arg_max(level, g) AS level FROM z WHERE level * g < 2 GROUP BY source
+), e AS (
+  SELECT x.*, least(2::DOUBLE, coalesce(v.level * x.g, 2::DOUBLE)) AS rate FROM x LEFT JOIN v ON x.source IS NOT DISTINCT FROM v.source
 ), p AS (
-  SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS part,
-    greatest(target - floor(ratio) * source_size::DOUBLE, 0) AS rest
-  FROM r
+  SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS part,
+    greatest(target - (sum(floor(rate)::BIGINT * size) OVER (PARTITION BY source))::DOUBLE, 0) AS rest
+  FROM e
 ), q AS (
   SELECT *, CASE WHEN part > 0 THEN (u / (1.0::DOUBLE - u)) / (part / (1.0::DOUBLE - part)) END AS odds FROM p
 ), k AS (
-  SELECT *, CASE WHEN part > 0 THEN odds / (1.0::DOUBLE + odds) ELSE 1.0::DOUBLE END AS rk FROM q
+  SELECT *, odds / (1.0::DOUBLE + odds) AS rk FROM q
 ), c AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rk, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before_size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, part > 0 ORDER BY rk, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before_size
   FROM k
 )
 SELECT doc_id, size, source_size, target,
-  (whole + CASE WHEN before_size + size::DOUBLE / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::BIGINT * size AS taken
+  (whole + CASE WHEN part > 0 AND before_size + size::DOUBLE / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::BIGINT * size AS taken
 FROM c
 """
 

@@ -64,6 +64,80 @@ def test_order_is_the_pareto_rank(spark):
         assert all(r.taken == chosen[-1] for r in mine if u(r.doc_id) <= cut)
 
 
+def brute_mix(rows, cap=2):
+    """taken of every distinct id, by sorting whole sources."""
+    import hashlib
+
+    size = {i: len((t or "").split()) for i, t, *_ in rows}
+    source = {i: s for i, _, s, *_ in rows}
+    sizes = {}
+    for i, s in source.items():
+        sizes[s] = sizes.get(s, 0) + size[i]
+    targets, out = brute_targets(sizes), {}
+    for s, target in targets.items():
+        mine = [i for i in size if source[i] == s]
+        weight = {i: len(bin(size[i])) - 2 for i in mine}
+        rate = dict.fromkeys(mine, float(cap))
+        if target < cap * sizes[s]:
+            for heaviest in sorted(set(weight.values()), reverse=True):
+                full = sum(cap * size[i] for i in mine if weight[i] > heaviest)
+                level = (target - full) / sum(weight[i] * size[i] for i in mine if weight[i] <= heaviest)
+                if level * heaviest < cap:
+                    rate = {i: min(float(cap), level * weight[i]) for i in mine}
+                    break
+        rest = target - sum(int(rate[i]) * size[i] for i in mine)
+
+        def rank(i, rate=rate):
+            part, u = rate[i] % 1, (int(hashlib.md5(f"{i}:42".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            odds = u / (1 - u) / (part / (1 - part))
+            return odds / (1 + odds)
+
+        run = 0
+        for i in sorted((i for i in mine if rate[i] % 1 > 0), key=lambda i: (rank(i), i)):
+            out[i] = (int(rate[i]) + (run + size[i] / 2 <= rest)) * size[i]
+            run += size[i]
+        out |= {i: int(rate[i]) * size[i] for i in mine if rate[i] % 1 == 0}
+    return out
+
+
+def test_equals_brute_force(spark):
+    rows = corpus()
+    got = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_mix(rows)
+
+
+def test_longer_documents_are_likelier_and_certain_copies_come_first(spark):
+    rows = [(i, "w " * (2 if i % 2 else 200), "big" if i < 2000 else "cap", "") for i in range(2200)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), weights=(1, 1)).collect()
+    share = lambda rs: sum(r.copies for r in rs) / len(rs)
+    short, long = ([r for r in got if r.doc_id < 2000 and r.size == n] for n in (2, 200))
+    assert share(short) < 0.9 * share(long)
+    assert all(r.copies == 2 for r in got if r.doc_id >= 2000)  # a source at its cap
+
+
+def test_capped_sources_have_no_cut(spark):
+    """All rows of a source at its cap are settled by the rate: none is ranked."""
+    docs = spark.createDataFrame([(i, "one two three", "a" if i % 40 else "b", "") for i in range(400)], SCHEMA)
+    plan = mixing.Mix(docs, (1, 3), 1.5, 2, 42, "doc_id", "text", "source")
+    assert {r.cut_source for r in plan.cuts.collect()} == {"a"}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(7, "one two", "s", ""), (7, "one two", "s", ""), (None, "a b c", "s", ""), (None, "a b c d", "t", ""), (8, "x", "t", ""), (7, "q " * 30, "t", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    assert len({r.taken for r in got if r.doc_id == 7 and r.size == 2}) == 1
+    want = {}
+    for r in got:
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.copies
+    seen = {}
+    for r in mixing.apply_mix(docs).collect():
+        key = (r.doc_id, len(r.text.split()))
+        seen[key] = seen.get(key, 0) + 1
+    assert seen == {k: n for k, n in want.items() if n}
+
+
 def test_apply_mix_repeats_rows_and_empty_table(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     plan = {r.doc_id: r.copies for r in mixing.mix(docs).where("taken > 0").collect()}
