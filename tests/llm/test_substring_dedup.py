@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from rosterforge.llm import substring_dedup as sd
+from rosterforge.llm.common import ROW, keyed
 
 
 def brute(rows):
@@ -55,13 +58,32 @@ def test_batches_equal_one_run_and_compact(spark):
     got, history = {}, None
     step = -(-len(rows) // sd.FAN_OUT)
     for a in range(0, len(rows), step):
-        batch = spark.createDataFrame(rows[a : a + step], "doc_id long, text string")
+        batch = keyed(spark.createDataFrame(rows[a : a + step], "doc_id long, text string"))
+        batch = batch.withColumn(ROW, F.struct(F.lit(a).alias("batch"), F.col(ROW).alias("n")))
         got |= digest(sd.ingest(log, batch, history))
         history = batch if history is None else history.union(batch)
     assert got == brute(rows)
     assert len(log.runs) == 1
 
 
+def test_a_later_batch_of_smaller_ids(spark):
+    """Batches need not come in order of their ids: each is judged by the smaller ids known so far."""
+    words = " ".join(f"w{k}" for k in range(70))
+    frame = lambda n, rows: keyed(spark.createDataFrame(rows, "doc_id long, text string")).withColumn(ROW, F.struct(F.lit(n).alias("batch"), F.col(ROW).alias("n")))
+    log = sd.FingerprintLog(spark)
+    one = frame(1, [(5, words), (6, words + " x")])
+    assert {i: v[1] for i, v in digest(sd.ingest(log, one)).items()} == {5: 0, 6: 70}
+    two = frame(2, [(2, "y " + words), (9, words), (10, "z " + words)])
+    assert {i: v[1] for i, v in digest(sd.ingest(log, two, one)).items()} == {2: 0, 9: 70, 10: 70}
+
+
+def test_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(70)) for c in "ab")
+    rows = [(3, a), (7, a), (7, b), (9, b + " end"), (None, a), (None, b), (9, b + " end")]
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=3).collect())
+    assert got == [(-1, 70, 0), (-1, 70, 0), (3, 70, 0), (7, 70, 0), (7, 70, 70), (9, 71, 70), (9, 71, 70)]
+
+
 def test_colliding_window_hashes(spark, monkeypatch):
     monkeypatch.setattr(sd, "BASES", (1, sd.BASES[1]))  # base 1: the order of words is lost
     rows = [(1, " ".join(f"a{i}" for i in range(60))), (2, " ".join(f"a{i}" for i in reversed(range(60))))]
