@@ -5,9 +5,9 @@ Texts are equal when identical after each run of ASCII white space became one sp
 of the row that stays; a large group is salted over as many tasks as its size asks for. Groups in which
 bytes differ (a collision of the hash) are regrouped by the texts themselves.
 
-Defined cases: a null text counts as empty; null ids sort first out of the choice (the smallest non-null id stays; a
-group of null ids only has a null keep_id and keeps all of its rows); rows that repeat both id and text count in
-group_size and share one verdict; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text counts as empty; null ids sort behind all others (the smallest non-null id stays; a group of null
+ids only has a null keep_id); of rows that repeat the id that stays, one row is kept, and all count in group_size; an
+empty table gives an empty result; other columns are ignored, and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterforge.llm.common import SPACE_RUN, broadcast_if_small, materialize
+from rosterforge.llm.common import ROW, SPACE_RUN, broadcast_if_small, keyed, materialize, surplus, without_rows
 
 #: Members of a group that one task compares before the group is salted.
 ROWS_PER_SALT = 512
@@ -32,9 +32,14 @@ def content_hash(norm: Column) -> Column:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_fn=content_hash) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. hash_fn is replaceable for tests."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"))
+    return judge(keyed(docs), id_col, text_col, hash_fn).drop(ROW)
+
+
+def judge(rows: DataFrame, id_col: str, text_col: str, hash_fn=content_hash) -> DataFrame:
+    """exact_dedup of rows that have ROW, with ROW."""
+    texts = rows.select(ROW, F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"))
     hashed = texts.withColumn("h", hash_fn(F.col("norm")))
-    narrow = materialize(hashed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")))
+    narrow = materialize(hashed.select(ROW, "doc_id", "h", F.sha2("norm", 256).alias("text_sha256")))
     groups = materialize(
         narrow.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
@@ -47,25 +52,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The texts of colliding hashes are compared as grouping keys; every other row keeps its hash group.
     collided = hashed.join(broadcast_if_small(bad), "h", "left_semi")
     exact = collided.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = (
-        collided.join(exact, "norm")
-        .select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
+    again = collided.join(exact, "norm").withColumn("text_sha256", F.sha2("norm", 256))
     clean = by_hash.join(broadcast_if_small(bad), "h", "left_anti")
-    return _verdict(clean).unionByName(_verdict(again))
+    columns = [ROW, "doc_id", "text_sha256", "keep_id", "group_size"]
+    return _verdict(clean.select(columns).unionByName(again.select(columns)))
 
 
 def _collisions(hashed: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of groups whose normalised bytes differ from those of the row that stays."""
-    small = broadcast_if_small(groups.where("keep_id IS NOT NULL"))
+    small = broadcast_if_small(groups)
     salts = F.ceil(F.col("group_size") / ROWS_PER_SALT).cast("int")
     members = (
         hashed.join(small, "h")
-        .select("h", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), "norm")
+        .select("h", F.pmod(F.xxhash64(ROW), salts).cast("int").alias("salt"), "norm")
     )
     keepers = (
         hashed.withColumnRenamed("h", "own_h")
-        .join(small, (F.col("doc_id") == F.col("keep_id")) & (F.col("own_h") == F.col("h")))
+        .join(small, (F.col("own_h") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy("h", "group_size").agg(F.min("norm").alias("keep_norm"))
         .select("h", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "keep_norm")
     )
@@ -73,17 +76,24 @@ def _collisions(hashed: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _verdict(rows: DataFrame) -> DataFrame:
-    keep = F.coalesce("keep_id", "doc_id")
-    return rows.select(
+    """Rows of equal texts agree in text_sha256; of those with the smallest id, one is kept."""
+    first = F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    repeated = materialize(surplus(rows.where("group_size > 1").where(first), "text_sha256"))
+    out = rows.select(
+        ROW,
         "doc_id",
-        keep.alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep, F.col("keep_id").isNull()).alias("kept"),
+        first.alias("kept"),
         "text_sha256",
     )
+    if repeated.isEmpty():
+        return out
+    marked = out.join(broadcast_if_small(repeated.withColumn("again", F.lit(True))), ROW, "left")
+    return marked.withColumn("kept", F.col("kept") & F.col("again").isNull()).drop("again")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs that stay, with all their columns: one of each text."""
+    rows = keyed(docs)
+    return without_rows(rows, judge(rows, id_col, text_col).where("NOT kept")).select(*docs.columns)

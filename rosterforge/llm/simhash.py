@@ -17,8 +17,9 @@ whole shingle sets, which gives a spanning forest of the pairs that reach the si
 Equal fingerprints are one row from the start, so exact copies cost nothing. A shard holds 16 bytes a fingerprint.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a shingle make
-one shingle; repeated rows share their verdict; rows with a null id get a fingerprint, and the component of their fingerprint; an
-empty table gives an empty result; other columns are ignored.
+one shingle; ids may be of any type that can be ordered; repeated rows share their component; rows with a null id link like any other, and
+a component of null ids only has a null component_id; an empty table gives an empty result; other columns are ignored. `keep_representatives`
+keeps one row of every component: of the rows that repeat its smallest id (or of null ids only) the first.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rosterforge.llm.common import ROW, broadcast_if_small, keyed, materialize, surplus, without_rows
 from rosterforge.plans.components import connected_components
-from rosterforge.plans.storage import broadcast_if_small, materialize
 
 SHINGLE, SEED, BITS = 4, 42, 64
 RADIUS, BANDS, KEEP = 4, 6, 2
@@ -123,9 +125,12 @@ class VantageTree:
     def __init__(self, fps: np.ndarray, ids: np.ndarray):
         self.left = self.right = None
         if len(fps) > LEAF:
-            self.vantage = fps[0]
+            # The point farthest from the first one: it lies at the rim, and a child's is another one than its parent's.
+            self.vantage = fps[int(np.argmax(distance(fps, fps[0])))]
             d = distance(fps, self.vantage)
             self.cut = int(np.median(d))
+            if self.cut == d.max():
+                self.cut -= 1
             near = d <= self.cut
             if 0 < near.sum() < len(fps):
                 self.left, self.right = VantageTree(fps[near], ids[near]), VantageTree(fps[~near], ids[~near])
@@ -252,8 +257,8 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> n
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, text, key (digest of the set of shingles), bands (no band without shingles)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """ROW, doc_id, text, key (digest of the set of shingles), bands (no band without shingles)."""
+    rows = docs.select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     factors, offsets = np.random.default_rng(SEED).integers(0, 1 << 63, size=(2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
     factors = factors * np.uint64(2) + np.uint64(1)
 
@@ -262,17 +267,17 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
         for batch in batches:
             keys, bands = [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 hashes = np.unique(shingle_hashes(text.as_py(), shingle))
                 keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 bands.append(band_keys(hashes, factors, offsets).view(np.int64) if len(hashes) else [])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "text": batch.column(1), "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                **{c: batch.column(c) for c in (ROW, "doc_id", "text")}, "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
                 "bands": pa.array(bands, type=pa.list_(pa.int64())),
             })
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, text string, key long, bands array<long>")
+    schema = T.StructType([*rows.schema, T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(work, schema)
 
 
 def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -315,8 +320,8 @@ def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[i
 
 
 def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b: keys of a forest of the pairs of nodes (key, bands) that share a band and reach the similarity; texts: key, text."""
-    banded = nodes.select("key", F.explode("bands").alias("band"))
+    """a, b: keys of a forest of the pairs of nodes (node: their key, bands) that share a band and reach the similarity; texts: key, text."""
+    banded = nodes.select(F.col("node").alias("key"), F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y"))
     shared = materialize(groups.where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"))
     members = materialize(banded.join(broadcast_if_small(shared), "band"))
@@ -355,32 +360,45 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     found = materialize(fingerprints(docs, id_col, text_col, shingle))
-    nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
-    grouped = connected_components(links(nodes.where("node IS NOT NULL"), radius))
-    named = nodes.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = materialize(named)
-    return found.join(broadcast_if_small(named), "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    nodes = materialize(found.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")))
+    named = _smallest_ids(nodes, connected_components(links(nodes.select("node", F.col("node").alias("fp")), radius)))
+    return found.withColumnRenamed("fp", "node").join(broadcast_if_small(named), "node").select(
+        "doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def _smallest_ids(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """node, component_id: the smallest id (nodes: node, least) in the component of a node; grouped: node, component of linked nodes."""
+    inside = nodes.join(broadcast_if_small(materialize(grouped)), "node").select("node", "component", "least")
+    least = inside.groupBy("component").agg(F.min("least").alias("component_id"))
+    merged = inside.join(broadcast_if_small(materialize(least)), "component").select("node", "component_id", F.lit(True).alias("linked"))
+    named = nodes.join(broadcast_if_small(materialize(merged)), "node", "left")
+    return materialize(named.select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over pairs whose distinct shingles have this Jaccard similarity or more).
 
     Documents without words are one component.
     """
-    found = materialize(shingle_sets(docs, id_col, text_col, shingle))
-    nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")))
-    grouped = materialize(connected_components(similar_pairs(nodes, found.select("key", "text"), shingle, similarity)))
-    inside = nodes.join(grouped.withColumnRenamed("node", "key"), "key").select("key", "component", "least")
-    least = inside.groupBy("component").agg(F.min("least").alias("component_id"))
-    merged = materialize(inside.join(broadcast_if_small(materialize(least)), "component").select("key", "component_id"))
-    named = nodes.select("key", "least").join(broadcast_if_small(merged), "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    return found.select("doc_id", "key").join(broadcast_if_small(materialize(named)), "key").select("doc_id", "component_id")
+    return _similar_rows(keyed(docs), id_col, text_col, shingle, similarity).select("doc_id", "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component of similar documents, with all their columns."""
-    gone = similar_documents(docs, id_col, **options).where("doc_id <> component_id")
-    gone = materialize(gone.select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(broadcast_if_small(gone), id_col, "left_anti")
+def _similar_rows(rows: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """ROW, doc_id, component (a number of it), component_id of rows that have ROW."""
+    found = materialize(shingle_sets(rows, id_col, text_col, shingle))
+    nodes = materialize(found.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")))
+    grouped = materialize(connected_components(similar_pairs(nodes, found.select("key", "text"), shingle, similarity)))
+    named = _smallest_ids(nodes.select("node", "least"), grouped)
+    named = named.join(broadcast_if_small(grouped), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "component_id")
+    return found.select(ROW, "doc_id", F.col("key").alias("node")).join(broadcast_if_small(materialize(named)), "node").drop("node")
+
+
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """One row of each component of similar documents, that of the smallest id, with all its columns."""
+    rows = keyed(docs)
+    marked = materialize(_similar_rows(rows, id_col, text_col, shingle, similarity).withColumn("first", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    gone = marked.where("NOT first").select(ROW).unionByName(surplus(marked.where("first"), "component"))
+    return without_rows(rows, gone).select(*docs.columns)

@@ -1,9 +1,10 @@
 import hashlib
+import re
 
 import public_tokenizers as P
 
 import corpus_pipeline
-from rosterforge.llm import queries
+from rosterforge.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,6 +34,68 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in out)
 
 
+def words(text):
+    return text.encode().lower().split()
+
+
+def brute_stages(rows):
+    """Rows left by the three filtering stages: (id, text) rows told apart by their position."""
+    left = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    firsts = {}
+    for r in left:
+        norm = re.sub(r"[ \t-\r]+", " ", r[1])
+        if norm not in firsts or order(r) < order(firsts[norm]):
+            firsts[norm] = r
+    left = list(firsts.values())
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(r[1]) for r in left)]
+    label = list(range(len(left)))
+    for _ in left:
+        for i in range(len(left)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    best = {}
+    for r, k in zip(left, label, strict=True):
+        if k not in best or order(r) < order(best[k]):
+            best[k] = r
+    return list(best.values())
+
+
+def hard_corpus():
+    """Null and repeated ids, repeated rows, near copies, an empty, a blank and a very long text."""
+    base = [" ".join(f"w{(7 * i + k * k) % 900}" for k in range(80)) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(3, base[3]), (3, base[4].replace(" ", "  ")), (None, base[5]), (None, base[5] + " tail"), (None, "only null id here to be kept ok"), (None, "only null id here to be kept ok")]
+    rows += [(50, base[6] + " tail"), (50, "unique text under a repeated id"), (51, base[7][:-3]), (60, None), (61, ""), (62, " \n\t"), (63, "1 2 3"), (64, "long " * 60_000), (65, "z")]
+    return rows
+
+
+def test_stages_equal_brute_force_on_rows(spark, tmp_path):
+    rows = hard_corpus()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, size string"
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", 0, "extra", "clash") for k, (i, t) in enumerate(rows)], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, seen, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        seen = spark.read.parquet(f"{tmp_path}/{name}")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(brute_stages(rows), key=key)
+    assert sorted([(r.doc_id, r.text) for r in seen.collect()], key=key) == want
+    mixed = corpus_pipeline.STAGES[3][1](spark, seen, str(tmp_path))
+    plan = mixing.mix(seen).collect()
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in plan if r.taken)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == mixed.count()
+
+
+def test_empty_table_passes_through(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
 def test_registry():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

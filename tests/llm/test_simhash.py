@@ -139,6 +139,37 @@ def test_similarity_forest_matches_brute_force():
     assert len(a) == len(sets) - len(set(label)) and 1 < len(set(label)) < len(sets)
 
 
+def test_null_repeated_and_text_ids(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", base), ("a", base), (None, base), ("c", "other words here and there"), ("c", base), (None, "alone one two three"), (None, "alone one two three")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id or "-", r.component_id or "-") for r in simhash.near_duplicates(docs).collect())
+    assert got == [("-", "-"), ("-", "-"), ("-", "a"), ("a", "a"), ("b", "a"), ("c", "a"), ("c", "c")]
+    kept = sorted((r.doc_id or "-", r.text) for r in simhash.keep_representatives(docs).collect())
+    assert kept == [("-", rows[5][1]), ("a", base), ("c", rows[3][1])]
+
+
+def test_equal_rows_leave_one(spark):
+    docs = spark.createDataFrame([(4, "same text of some words here"), (4, "same text of some words here"), (4, "quite another text of words there")], "doc_id long, text string")
+    assert sorted(r.text[:4] for r in simhash.keep_representatives(docs).collect()) == ["quit", "same"]
+
+
+def test_children_of_the_tree_use_other_vantage_points():
+    fps = np.random.default_rng(1).integers(0, 2**63, size=5000, dtype=np.uint64).reshape(-1, 1)
+    tree, inner, shared, leaves = simhash.VantageTree(fps, np.arange(len(fps))), 0, 0, []
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        if node.left is None:
+            leaves.append(node.size)
+            continue
+        for child in (node.left, node.right):
+            todo.append(child)
+            if child.left is not None:
+                inner, shared = inner + 1, shared + bool((child.vantage == node.vantage).all())
+    assert inner > 20 and shared == 0 and max(leaves) <= simhash.LEAF
+
+
 def test_empty_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame([], SCHEMA))
     assert got.columns == ["doc_id", "fingerprint", "component_id"] and got.isEmpty()
