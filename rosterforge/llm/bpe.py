@@ -18,6 +18,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,9 @@ CHUNK_CHARS, OVERLAP_CHARS = 16_384, 256
 #: A boundary nearer than this to a chunk's end may depend on characters after it.
 MARGIN = 8
 #: Pieces longer than this are encoded each time; the memo is emptied when it holds MEMO_PIECES.
-MEMO_CHARS, MEMO_PIECES = 48, 200_000
+MEMO_CHARS, MEMO_PIECES = 48, 100_000
 #: Characters of text that one outgoing Arrow batch holds at most (a longer text is a batch of its own).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def pretokenize(pattern, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
@@ -76,8 +77,8 @@ class Codec:
         import tiktoken
 
         self.pattern = regex.compile(pattern)
-        core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._single = core._core_bpe.encode_single_piece
+        # One match takes a whole piece, so that pieces are merged as they were cut here.
+        self._merge = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.raw = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.raw[i] = token
@@ -86,7 +87,7 @@ class Codec:
     def _piece(self, piece: str) -> list[int]:
         ids = self._memo.get(piece)
         if ids is None:
-            ids = self._single(piece.encode())
+            ids = self._merge(piece)
             if len(piece) <= MEMO_CHARS:
                 if len(self._memo) >= MEMO_PIECES:
                     self._memo.clear()
@@ -113,16 +114,16 @@ def _ids_array(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int32()))
 
 
-def _slices(batch: pa.RecordBatch, texts: list) -> Iterator[tuple[int, int]]:
+def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths sum to BATCH_CHARS at most, or of one row."""
     begin, size = 0, 0
-    for i, text in enumerate(texts):
-        length = len(text or "")
+    for i, length in enumerate(lengths):
         if i > begin and size + length > BATCH_CHARS:
             yield begin, i
             begin, size = i, 0
         size += length
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(lengths):
+        yield begin, len(lengths)
 
 
 def _read_ranks(path: str) -> bytes:
@@ -138,14 +139,14 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, value_col:
     def work(batches):
         codec = _codec(shared.value, pattern)
         for batch in batches:
-            values = batch.column(1).to_pylist() if kind == "decode" else batch.column(1)
-            texts = values if kind == "decode" else values.to_pylist()
-            for a, b in _slices(batch, texts):
+            lengths = pc.list_value_length(batch.column(1)) if kind == "decode" else pc.utf8_length(batch.column(1))
+            for a, b in _slices(lengths.fill_null(0).to_pylist()):
                 columns = {"doc_id": batch.column(0).slice(a, b - a)}
+                values = batch.column(1).slice(a, b - a).to_pylist()
                 if kind == "decode":
-                    ids = [np.asarray(x or (), dtype=np.int32) for x in texts[a:b]]
+                    ids = [np.asarray(x or (), dtype=np.int32) for x in values]
                 else:
-                    ids = [codec.encode(x) for x in texts[a:b]]
+                    ids = [codec.encode(x) for x in values]
                     columns["ids"] = _ids_array(ids)
                 if kind != "encode":
                     columns["decoded"] = pa.array([codec.decode(x) for x in ids], type=pa.binary())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,13 @@ def surplus(rows: DataFrame, group: str) -> DataFrame:
     return rows.join(many, group).where(F.col(ROW) != F.col("first_row")).select(ROW)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most: what Python holds of a batch at a time stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and bind it in body, which the optimizer can't inline again."""
     return F.transform(F.array(value), body)[0]

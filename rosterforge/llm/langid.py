@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterforge.llm.common import ROW
+from rosterforge.llm.common import ROW, slices
 
 ORDER = 3
 MAX_DOCS, MAX_BYTES = 3_000, 6_000_000
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
 
     def work(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             raw = batch.column(1).to_pylist()
             known = [m is not None and bool(t) and any(map(str.isalpha, t)) for t in raw]
             texts = [t.encode() if k else b"" for t, k in zip(raw, known, strict=True)]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterforge.llm.common import ROW, broadcast_if_small, keyed, materialize, surplus, without_rows
+from rosterforge.llm.common import ROW, broadcast_if_small, keyed, materialize, slices, surplus, without_rows
 from rosterforge.plans.components import connected_components
 
 SHINGLE, SEED, BITS = 4, 42, 64
@@ -265,7 +265,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     def work(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             keys, bands = [], []
             for text in batch.column("text"):
                 hashes = np.unique(shingle_hashes(text.as_py(), shingle))
@@ -330,7 +330,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     rows = texts.join(broadcast_if_small(needed), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"key": batch.column(0), "shingles": pa.array(sets, type=pa.binary())})
 
@@ -341,7 +341,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
             a, b = similarity_forest(sets, similarity)
             return pa.RecordBatch.from_pydict({k: pa.array([keys[i] for i in at], type=pa.int64()) for k, at in (("a", a), ("b", b))})
 
-        for batch in batches:
+        for batch in slices(batches):
             for now, key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != band:
                     if len(keys) > 1:
