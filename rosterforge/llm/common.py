@@ -56,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def let(value: Column, body) -> Column:
