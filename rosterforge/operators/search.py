@@ -17,21 +17,14 @@ LINEUP_SIZE, MAX_SIGNATURE_PLAYERS = 4, 8
 
 
 def canonical_ids(values) -> tuple[int, ...]:
-    """Positive integer ids of possibly nested values, once each, ascending."""
-    found: set[int] = set()
-    stack = [values]
-    while stack:
-        v = stack.pop()
-        if isinstance(v, (list, tuple, set, range)):
-            stack.extend(v)
-            continue
-        try:
-            i = int(str(v).strip())
-        except ValueError:
-            continue
-        if i > 0:
-            found.add(i)
-    return tuple(sorted(found))
+    """Positive integer ids of possibly nested values, once each, in the order given."""
+    if isinstance(values, (list, tuple, set, range)):
+        return tuple(dict.fromkeys(i for v in values for i in canonical_ids(v)))
+    try:
+        i = int(str(values).strip())
+    except ValueError:
+        return ()
+    return (i,) if i > 0 else ()
 
 
 @dataclass
@@ -52,7 +45,7 @@ def _unit(v: list[float]) -> list[float]:
 
 def player_profile(players, idf: dict[int, float], semantic_dim: int = 64, identity_dim: int = 256, beta: float = 3.0) -> QueryProfile:
     """Profile of a whole player set: hashed vector, idf weights, pair weights, and 4-player signatures for 4 to 8 players."""
-    ids = canonical_ids(players)
+    ids = tuple(sorted(canonical_ids(players)))
     semantic, identity = [0.0] * semantic_dim, [0.0] * identity_dim
     for p in ids:
         sb, ss, ib, is_ = slots(p, semantic_dim, identity_dim)

@@ -71,10 +71,21 @@ def tournament_teams(entries: DataFrame, tournament_id: int, text: str | None =
 
 
 def remote_team_match(teams: DataFrame, text: str) -> DataFrame:
-    """Remote roster rows (name) that text names: equal keys, containment for longer queries, a short token, or all tokens."""
+    """Remote roster rows that text names, by team_name, display_name or one of member_names (as far as teams has these columns).
+
+    A name fits if its letters and digits contain those of text, if it has a short text as a token, or all tokens of text;
+    a text without letters and digits passes every row.
+    """
     q = text.strip().lower()
+    names = [F.array(*(F.col(c) for c in ("team_name", "display_name") if c in teams.columns))]
+    if "member_names" in teams.columns:
+        names.append(F.coalesce("member_names", F.array().cast("array<string>")))
     key = alnum_key(F.lit(q))
-    have, want = tokens(F.col("name")), tokens(F.lit(q))
-    subset = (F.size(want) > 0) & (F.size(F.array_except(want, have)) == 0)
-    hit = (alnum_key(F.col("name")) == key) | (F.lit(len(q) > 4) & alnum_key(F.col("name")).contains(key)) | F.array_contains(have, q) | subset
-    return teams.where((key != "") & hit)
+    want = tokens(F.lit(q))
+
+    def fits(name):
+        have = tokens(name)
+        short = (F.length(key) <= 4) & F.array_contains(have, key)
+        return alnum_key(name).contains(key) | short | ((F.size(want) > 0) & (F.size(F.array_except(want, have)) == 0))
+
+    return teams.where((key == "") | F.exists(F.filter(F.concat(*names), lambda n: F.trim(n) != ""), fits))

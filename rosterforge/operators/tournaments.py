@@ -15,17 +15,18 @@ def latest_rankings(rankings: DataFrame) -> DataFrame:
 
 
 def strength(rosters: DataFrame, rankings: DataFrame, position: int = STRENGTH_POSITION) -> DataFrame:
-    """tournament_id, ranked_players, strength: the rank at place min(position, players) of a tournament's ranked players.
+    """tournament_id, ranked_players, strength: the rank at place min(position, players) of a tournament's players.
 
-    Players without a rank are placed by score behind the others, at their place by score in the tournament.
+    Players with a rank come first, by rank; those without (a rank of 0 is none) follow by score, and their place is their rank.
+    Players with neither are left out.
     """
-    known = rosters.join(latest_rankings(rankings), "player_id")
+    known = rosters.join(latest_rankings(rankings), "player_id").withColumn("rank", F.nullif(F.col("player_rank"), F.lit(0.0)))
+    known = known.where("rank IS NOT NULL OR score IS NOT NULL")
     per = Window.partitionBy("tournament_id")
-    by_score = F.row_number().over(per.orderBy(F.col("score").desc_nulls_last(), "player_id"))
-    known = known.withColumn("value", F.coalesce(F.nullif(F.col("player_rank"), F.lit(0.0)), by_score.cast("double")))
-    order = per.orderBy(F.when(F.col("player_rank").isNotNull(), 0).otherwise(1), "value", "player_id")
+    order = per.orderBy(F.col("rank").isNull(), F.coalesce(F.col("rank"), -F.col("score")), "player_id")
     placed = known.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(per))
-    at = F.max(F.when(F.col("place") == F.least(F.lit(position), F.col("n")), F.col("value")))
+    value = F.coalesce("rank", F.col("place").cast("double"))
+    at = F.max(F.when(F.col("place") == F.least(F.lit(position), F.col("n")), value))
     return placed.groupBy("tournament_id").agg(F.max("n").alias("ranked_players"), at.alias("strength"))
 
 

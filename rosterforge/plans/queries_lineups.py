@@ -133,8 +133,13 @@ def top_lineup_summary(spark, d):
 
 _STRENGTH = """
 latest AS (SELECT player_id, score, player_rank FROM player_rankings WHERE calculated_at_ms = (SELECT max(calculated_at_ms) FROM player_rankings)),
-v{x} AS (SELECT tournament_id, player_id, player_rank, coalesce(nullif(player_rank, 0), row_number() OVER (PARTITION BY tournament_id ORDER BY score DESC NULLS LAST, player_id))::DOUBLE AS value FROM {source} JOIN latest USING (player_id)),
-p{x} AS (SELECT *, row_number() OVER (PARTITION BY tournament_id ORDER BY CASE WHEN player_rank IS NOT NULL THEN 0 ELSE 1 END, value, player_id) AS place, count(*) OVER (PARTITION BY tournament_id) AS n FROM v{x}),
+v{x} AS (SELECT tournament_id, player_id, nullif(player_rank, 0)::DOUBLE AS player_rank, score FROM {source} JOIN latest USING (player_id) WHERE score IS NOT NULL OR nullif(player_rank, 0) IS NOT NULL),
+b{x} AS (SELECT *, count(player_rank) OVER t AS n_ranked, count(*) OVER t AS n FROM v{x} WINDOW t AS (PARTITION BY tournament_id)),
+p{x} AS (
+  SELECT tournament_id, n, player_rank AS value, row_number() OVER (PARTITION BY tournament_id ORDER BY player_rank, player_id) AS place FROM b{x} WHERE player_rank IS NOT NULL
+  UNION ALL
+  SELECT tournament_id, n, place::DOUBLE, place FROM (SELECT *, n_ranked + row_number() OVER (PARTITION BY tournament_id ORDER BY score DESC, player_id) AS place FROM b{x} WHERE player_rank IS NULL)
+),
 strength{x} AS (SELECT tournament_id, max(n) AS ranked_players, max(value) FILTER (WHERE place = least(10, n)) AS strength FROM p{x} GROUP BY tournament_id)
 """
 _ENTRY = A.with_frames("appearances", "roster_entries", "player_rankings") + "," + _STRENGTH.format(x="", source="roster_entries")
@@ -158,17 +163,17 @@ def tournament_tiers(spark, d):
 
 @query(_ENTRY + "," + _STRENGTH[_STRENGTH.index("v{x}"):].format(x="2", source="(SELECT DISTINCT tournament_id, player_id FROM appearances) a") + """
 SELECT tournament_id, coalesce(s.strength, s2.strength) AS strength, s.strength IS NOT NULL AS from_entries
-FROM (SELECT * FROM strength WHERE tournament_id % 2 = 0) s FULL JOIN strength2 s2 USING (tournament_id)""")
+FROM strength s FULL JOIN strength2 s2 USING (tournament_id)""")
 def tournament_strength_merged(spark, d):
     appeared = T.strength(A.appearances(spark, d).select("tournament_id", "player_id").distinct(), A.player_rankings(spark, d))
-    return T.merged_strength(entry_strength(spark, d).where("tournament_id % 2 = 0"), appeared)
+    return T.merged_strength(entry_strength(spark, d), appeared)
 
 
 _W = f"start_time_ms // 1000 BETWEEN {_SINCE} AND {_UNTIL}"
 
 
 @query(lineup_sql().replace("WITH appearances", "WITH teams AS (" + A.FRAMES["teams"] + "), tournament_teams AS (" + A.FRAMES["tournament_teams"] + "), appearances", 1) + f""",
-a AS (SELECT * FROM appearances JOIN tournaments USING (tournament_id) WHERE match_id % 3 <> 0), e AS (SELECT * FROM tournament_teams JOIN tournaments USING (tournament_id)),
+a AS (SELECT * FROM appearances JOIN tournaments USING (tournament_id)), e AS (SELECT * FROM tournament_teams JOIN tournaments USING (tournament_id)),
 c0 AS (SELECT team_id, count(DISTINCT tournament_id) AS c0 FROM a WHERE {_W} GROUP BY 1), c1 AS (SELECT team_id, count(DISTINCT tournament_id) AS c1 FROM a GROUP BY 1),
 c2 AS (SELECT team_id, count(DISTINCT tournament_id) AS c2 FROM e WHERE {_W} GROUP BY 1), c3 AS (SELECT team_id, count(DISTINCT tournament_id) AS c3 FROM e GROUP BY 1)
 SELECT t.team_id, coalesce(c0, c1, c2, c3, CASE WHEN total > 0 THEN 1 END, 0)::BIGINT AS tournament_count
@@ -176,6 +181,6 @@ FROM teams t LEFT JOIN c0 USING (team_id) LEFT JOIN c1 USING (team_id) LEFT JOIN
 def tournament_counts(spark, d):
     starts = A.tournaments(spark, d).select("tournament_id", "start_time_ms")
     inside = F.floor(F.col("start_time_ms") / 1000).between(_SINCE, _UNTIL)
-    a = A.appearances(spark, d).where("match_id % 3 <> 0").join(starts, "tournament_id")
+    a = A.appearances(spark, d).join(starts, "tournament_id")
     e = A.tournament_teams(spark, d).join(starts, "tournament_id")
     return T.tournament_counts(A.teams(spark, d), a.where(inside), a, e.where(inside), e, lineups(spark, d))

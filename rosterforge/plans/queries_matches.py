@@ -169,9 +169,10 @@ def name_search(spark, d):
     return X.name_search(names(spark, d), "large ring")
 
 
-@query(_NAMES + "SELECT team_id, name, 1::INT AS priority FROM names WHERE team_id = 17")
+@query(_NAMES + """, p AS (SELECT *, CASE WHEN lower(name) = '17' THEN 0 WHEN team_id = 17 THEN 1 WHEN regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') = '17' THEN 2 WHEN contains(lower(name), '17') THEN 3 END AS priority FROM names)
+SELECT team_id, name, priority FROM p WHERE priority IS NOT NULL ORDER BY priority, lineup_count DESC, team_id LIMIT 20""")
 def name_search_by_id(spark, d):
-    return X.name_search(names(spark, d), "17").where("priority = 1")
+    return X.name_search(names(spark, d), "17")
 
 
 @query(_NAMES + _sim("smal rnig") + "SELECT team_id, name, round(similarity, 6) AS similarity FROM s JOIN names USING (team_id) WHERE similarity >= 0.3")
@@ -217,9 +218,30 @@ def tournament_teams(spark, d):
     return X.tournament_teams(entries, fourth, "00")
 
 
-@query(_NAMES + ", t AS (SELECT *, regexp_extract_all(lower(name), '[a-z0-9]+') AS tok FROM names) SELECT team_id, name FROM t WHERE regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') = 'ringlarge' OR contains(regexp_replace(lower(name), '[^a-z0-9]+', '', 'g'), 'ringlarge') OR list_contains(tok, 'ring large') OR (list_contains(tok, 'ring') AND list_contains(tok, 'large'))")
+_REMOTE = """WITH t AS (SELECT p_partkey + 1 AS team_id, unnest([p_name, p_brand, p_type]) AS label FROM part),
+m AS (SELECT team_id, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS k, regexp_extract_all(lower(label), '[a-z0-9]+') AS tok FROM t)
+SELECT DISTINCT team_id FROM m WHERE {}"""
+
+
+def remote_teams(spark, d):
+    """Parts as remote teams: their name, brand and type stand for the team's, the shown and a member's name."""
+    p = A.read(spark, d, "part")
+    return p.select((F.col("p_partkey") + 1).alias("team_id"), F.col("p_name").alias("team_name"), F.col("p_brand").alias("display_name"), F.array("p_type").alias("member_names"))
+
+
+@query(_REMOTE.format("contains(k, 'ringlarge') OR (list_contains(tok, 'ring') AND list_contains(tok, 'large'))"))
 def remote_team_match(spark, d):
-    return X.remote_team_match(names(spark, d), "ring large").select("team_id", "name")
+    return X.remote_team_match(remote_teams(spark, d), "Ring  large").select("team_id")
+
+
+@query(_REMOTE.format("contains(k, 'in')"))
+def remote_team_match_short(spark, d):
+    return X.remote_team_match(remote_teams(spark, d), "in").select("team_id")
+
+
+@query("SELECT p_partkey + 1 AS team_id FROM part")
+def remote_team_match_blank(spark, d):
+    return X.remote_team_match(remote_teams(spark, d), " - ").select("team_id")
 
 
 @query("WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT name, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS alnum_key, trim(regexp_replace(regexp_replace(lower(name || ' (EU)'), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS family_key FROM n")

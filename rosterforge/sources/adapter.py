@@ -112,8 +112,8 @@ def player_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tournament_id, player_id: registrations, thinned to every seventh supplier."""
-    return appearances(spark, sf_dir).where("(player_id - 1) % 7 = 0").select("tournament_id", "player_id").distinct()
+    """tournament_id, player_id: players register for the month in which they ship."""
+    return read(spark, sf_dir, "lineitem").select(month_id(F.col("l_shipdate")).alias("tournament_id"), (F.col("l_suppkey") + 1).alias("player_id")).distinct()
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """team_id, cluster_id, cluster_size, cluster_name of clustered teams (a tenth are noise, cluster -1)."""
+    """team_id, cluster_id, cluster_size of clustered teams (a tenth are noise, cluster -1)."""
     e = read(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("team_id"), F.when(F.col("vec_id") % 10 == 3, -1).otherwise(F.col("label")).cast("long").alias("cluster_id"))
     sizes = e.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
     return e.join(F.broadcast(sizes), "cluster_id").select("team_id", "cluster_id", "cluster_size")
@@ -205,7 +205,7 @@ FRAMES = {
     "players": "SELECT s_suppkey + 1 AS player_id, CASE WHEN s_suppkey % 10 = 0 THEN (s_suppkey * 7)::VARCHAR WHEN s_suppkey % 10 = 1 THEN '  ' ELSE s_name END AS display_name FROM supplier",
     "player_rankings": """SELECT s_suppkey + 1 AS player_id, s_acctbal + x AS score, (CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE floor((10000 - s_acctbal) / 100) + 1 END) + 5 * x AS player_rank, 2000 - 1000 * x AS calculated_at_ms
         FROM supplier, (VALUES (0), (1)) v(x)""",
-    "roster_entries": "SELECT DISTINCT tournament_id, player_id FROM appearances WHERE (player_id - 1) % 7 = 0",
+    "roster_entries": "SELECT DISTINCT (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS tournament_id, l_suppkey + 1 AS player_id FROM lineitem",
     "rounds": "SELECT i AS round_id, CASE WHEN i % 9 = 0 THEN NULL ELSE i % 6 + 1 END AS number, CASE WHEN i % 4 = 0 THEN NULL ELSE i % 30 - 2 END AS maps_count, CASE WHEN i % 2 = 0 THEN 'BEST_OF' ELSE 'PLAY_ALL' END AS maps_type FROM range(1, 51) r(i)",
     "snapshot": """SELECT team_id, cluster_id, v AS final_vector, [x / sn for x in v[1:32]] AS semantic_vector, [x / idn for x in v[33:64]] AS identity_vector,
         (team_id - 1) % 17 + 1 AS lineup_count, (team_id - 1) % 5 + 1 AS distinct_lineup_count, ((team_id - 1) % 9 + 1) / 10.0::DOUBLE AS top_lineup_share, ((team_id - 1) % 11) / 10.0::DOUBLE AS lineup_entropy,
@@ -219,7 +219,7 @@ FRAMES = {
     "cluster_map": "SELECT team_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM (SELECT vec_id + 1 AS team_id, CASE WHEN vec_id % 10 = 3 THEN -1 ELSE label END::BIGINT AS cluster_id FROM embeddings)",
     "runs": "SELECT tournament_id AS run_id, CASE WHEN tournament_id % 5 = 0 THEN 'failed' WHEN tournament_id % 7 = 0 THEN 'running' ELSE 'completed' END AS status, CASE WHEN tournament_id % 6 = 0 THEN NULL ELSE start_time_ms + (tournament_id % 3) * 31 * 86400000 END AS finished_at_ms FROM tournaments",
 }
-_NEEDS = {"roster_entries": ("appearances",), "previous_snapshot": ("snapshot",), "current_snapshot": ("snapshot",), "runs": ("tournaments",)}
+_NEEDS = {"previous_snapshot": ("snapshot",), "current_snapshot": ("snapshot",), "runs": ("tournaments",)}
 
 
 def with_frames(*names: str) -> str:

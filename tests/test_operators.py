@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterforge.functions import scalars
 from rosterforge.functions.hashing import slots
-from rosterforge.operators import analytics, consolidate, lineups, matches, search, snapshots, text, vectors
+from rosterforge.operators import analytics, consolidate, lineups, matches, search, snapshots, text, tournaments, vectors
 from rosterforge.plans.components import connected_components
 from rosterforge.sources import remote_roster
 
@@ -93,7 +93,7 @@ def test_subset_projection_counts_subsets(spark):
 
 
 def test_canonical_ids():
-    assert search.canonical_ids([3, "2", [1, [2, -4, 0]], None, "x"]) == (1, 2, 3)
+    assert search.canonical_ids([3, "2", [1, [2, -4, 0]], None, "x"]) == (3, 2, 1)
     assert search.player_profile([1, 2, 3], {}).signatures == ()
     assert search.player_profile([4, 3, 2, 1], {}).signatures == ((1, 2, 3, 4),)
     assert len(search.player_profile(range(1, 9), {}).signatures) == 70
@@ -119,16 +119,25 @@ def test_remote_roster(spark, tmp_path):
         {"id": 31921, "name": "Moonlight", "members": [{"userId": 5, "username": "Ann", "inGameName": "ann"}, {"userId": 5, "username": "Bo"}]},
         {"id": 7, "name": " ", "members": [{"username": x} for x in "abcd"]}, {"id": 8}, "junk"]}}}
     payload = [{"_1": 2, "_3": -4}, "some/route", {"_4": 5}, "x", "data", json.dumps(teams)]
-    got = remote_roster.teams_of(json.dumps(payload))
-    assert [t["display_name"] for t in got] == ["Moonlight", "[No team name] a / b / c +1", "Untitled team 8"]
-    assert got[0]["member_user_ids"] == [5] and got[0]["member_names"] == ["Ann", "Bo"]
-    assert remote_roster.teams_of("{") == []
+    assert remote_roster.plain_teams("{") == "[]"
     assert remote_roster.decode([{"_1": -2}, "flag"]) == {"flag": True}
     (tmp_path / "a.json").write_text(json.dumps(payload))
     frame = remote_roster.read_rosters(spark, str(tmp_path))
-    assert frame.count() == 3
-    names = frame.withColumn("name", F.col("display_name"))
-    assert [r.team_id for r in text.remote_team_match(names, "moonlight").collect()] == [31921]
+    got = {r.team_id: r for r in frame.collect()}
+    assert {i: r.display_name for i, r in got.items()} == {31921: "Moonlight", 7: "[No team name] a / b / c +1", 8: "Untitled team 8"}
+    assert got[31921].member_user_ids == [5] and got[31921].member_names == ["Ann", "Bo"]
+    found = lambda q: sorted(r.team_id for r in text.remote_team_match(frame, q).collect())
+    assert found("moonlight") == [31921] and found("onl") == [31921] and found("bo") == [31921] and found("c") == [7]
+    assert found(" ") == [7, 8, 31921]
+
+
+def test_tournament_strength_ranks_unranked_players_behind_all_others(spark):
+    """Twelve players, five of them unranked: the tenth place is the third of those by score; rank 0 is none, and neither score nor rank is no player."""
+    rosters = spark.createDataFrame([(1, p) for p in range(1, 16)] + [(2, 1), (2, 13), (3, 14)], "tournament_id long, player_id long")
+    rows = [(p, 100.0 - p, float(50 + p), 9) for p in range(1, 8)] + [(p, 1000.0 + p, None, 9) for p in range(8, 12)] + [(12, 500.0, 0.0, 9), (13, 1.0, 2.0, 9), (14, None, None, 9), (15, None, 0.0, 9)]
+    rankings = spark.createDataFrame([*rows, (1, 5.0, 1.0, 3)], "player_id long, score double, player_rank double, calculated_at_ms long")
+    got = {r.tournament_id: (r.ranked_players, r.strength) for r in tournaments.strength(rosters, rankings).collect()}
+    assert got == {1: (13, 10.0), 2: (2, 51.0)}
 
 
 def test_snapshot_store_round_trip(spark, tmp_path):
