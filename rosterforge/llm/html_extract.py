@@ -2,9 +2,9 @@
 
 The standard library's streaming parser yields events, from which the page becomes lines: one for each block of text, with its
 number of characters and tags. The text-to-tag ratio of the lines is smoothed by a Gaussian kernel, and a two-means
-threshold over the smoothed ratios marks the lines that read like content. These vote, by their characters (other lines by a share of
-theirs), for every container around them. The text is that of all articles and mains together where they hold a QUARTER of the votes, else of the smallest
-container that holds nearly all (HOME of the votes): siblings that share the content are kept together. Lines inside
+threshold over the smoothed ratios marks the lines that read like content. These alone vote, by their characters, for every container
+around them, and the smallest container that holds nearly all (HOME of the votes) is the text's: siblings that share the content are kept together, and
+its headings and short paragraphs stay. Tags refine this: where articles and mains hold a QUARTER of the votes, they are taken, all of them. Lines inside
 menus, sidebars, notices, adverts, forms, comments and other marked subtrees never count; but a class, id or role marks no subtree that holds most
 of the text of articles and mains or, on a page without them, MOST of the text, unless it names comments.
 
@@ -237,18 +237,20 @@ def select(lines: list[Line]) -> list[Line]:
         return []
     smoothed = smooth([0.0 if x.furniture else len(x.text) / x.tags for x in lines])
     cut = two_means_threshold(smoothed)
-    votes: dict[tuple[str, int], float] = {}
-    total = regions = 0.0
+    votes: dict[tuple[str, int], int] = {}
+    total = regions = 0
     for x, ratio in zip(lines, smoothed, strict=True):
         if x.furniture:
             continue
-        weight = len(x.text) * (1.0 if ratio >= cut else ratio / cut)
+        weight = len(x.text) if ratio >= cut else 0
         total += weight
-        regions += weight if _in_region(x) else 0.0
+        regions += weight if _in_region(x) else 0
         for c in x.containers:
-            votes[c] = votes.get(c, 0.0) + weight
-    if regions >= QUARTER * total:
+            votes[c] = votes.get(c, 0) + weight
+    if total and regions >= QUARTER * total:
         return [x for x in usable if _in_region(x)]
+    if not total:  # the ratios tell nothing: the lines that read most like content are furniture
+        return usable
     # Containers that hold nearly all lie inside each other; the last one opened is the smallest.
     home = max((c for c, v in votes.items() if v >= HOME * total), key=lambda c: c[1], default=None)
     return [x for x in usable if home is None or home in x.containers]
