@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rosterforge.functions.scalars import recency
 from rosterforge.functions.vectors import dot
 from rosterforge.operators import consolidate as C
+from rosterforge.operators import entity_search as E
 from rosterforge.operators import lineups as L
 from rosterforge.operators import search as S
 from rosterforge.operators import vectors as V
@@ -17,6 +18,8 @@ from rosterforge.sources import adapter as A
 #: Query of the player-set searches, targets of the adaptive one, and the anchor of the neighbour lists.
 PLAYERS, TARGETS, ANCHOR = (2, 3, 5, 7), (4, 9, 15), 7
 
+SCORES = ("rerank_score", "embed_score", "player_overlap", "pair_overlap", "lineup_overlap")
+
 _DOT = "list_dot_product"
 _SNAP = A.with_frames("snapshot")
 
@@ -305,30 +308,18 @@ def greedy_clusters_explore(spark, d):
 @query()
 def rescored_groups(spark, d):
     """Groups of the search result, scored by their centroid, merged supports and best member."""
-    from rosterforge.functions.vectors import literal
-
     index = index_of(spark, d)
     p = profile(spark, d, index.support)
-    found = S.whole_set_search(index, p)
-    rows = found.join(top_rows(spark, d).select("team_id", "lineup", "distinct_lineup_count", "top_lineup_share"), "team_id")
-    rows = C.materialize(rows)
-    member = C.materialize(C.groups(rows, C.eligible_pairs(rows)))
-    joined = rows.join(member, "team_id")
-    centre = V.weighted_centroid(joined, "final_vector", F.greatest(F.col("lineup_count"), F.lit(1)), ["group_id"])
-    best = joined.groupBy("group_id").agg(F.sum("lineup_count").alias("lineup_count"), F.min("team_id").alias("team_id"), *(F.max(c).alias(c) for c in ("embed_score", "player_overlap", "pair_overlap", "lineup_overlap")))
-    as_team = lambda frame: frame.withColumnRenamed("group_id", "team_id")
-    overlaps = [
-        S.player_overlap(as_team(C.merged_support(index.support, rows, member, ["player_id"])), p.weights),
-        S.pair_overlap(as_team(C.merged_support(index.pairs, rows, member, ["lo", "hi"])), p.pair_weights),
-        S.lineup_overlap(as_team(C.merged_variants(index.counted, member)), p.signatures),
-    ]
-    out = best.join(centre, "group_id")
-    for name, frame in zip(("player_overlap", "pair_overlap", "lineup_overlap"), overlaps, strict=True):
-        merged = frame.select(F.col("team_id").alias("group_id"), F.col(name).alias("merged"))
-        out = out.join(merged, "group_id", "left").withColumn(name, S.blend_with_best(F.coalesce("merged", F.lit(0.0)), F.col(name))).drop("merged")
-    out = out.withColumn("embed_score", S.blend_with_best(dot(F.col("centroid"), literal(p.vector)), F.col("embed_score")))
-    out = out.withColumn("rerank_score", S.rerank_score(*(F.col(c) for c in ("embed_score", "player_overlap", "pair_overlap", "lineup_overlap"))))
-    return out.select("group_id", "lineup_count", *(F.round(c, 5).alias(c) for c in ("rerank_score", "embed_score", "player_overlap", "pair_overlap", "lineup_overlap")))
+    out = E.rescored(S.whole_set_search(index, p), top_rows(spark, d), index, p)
+    return out.select("group_id", "lineup_count", *(F.round(c, 5).alias(c) for c in SCORES))
+
+
+@query()
+def entity_search(spark, d):
+    """The whole search: retrieval, widening, consolidation, rescoring, order and cut."""
+    index = index_of(spark, d)
+    out = E.entity_search(index, top_rows(spark, d), profile(spark, d, index.support), top_n=10)
+    return out.select("place", "group_id", "team_ids", "relaxed", "lineup_count", *(F.round(c, 5).alias(c) for c in SCORES))
 
 
 _MEMBERS = A.with_frames("tournament_teams", "snapshot") + """, m AS (SELECT cluster_id, team_id, name, lineup_count, event_time_ms + tournament_id AS event_time_ms FROM tournament_teams JOIN snapshot USING (team_id)),

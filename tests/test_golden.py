@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterforge.operators import consolidate as C
+from rosterforge.operators import entity_search as E
 from rosterforge.operators import lineups as L
 from rosterforge.operators import search as S
 from rosterforge.operators import vectors as V
@@ -53,12 +54,12 @@ def world(spark):
     stats = L.team_stats(counted).select("team_id", "lineup_count", "distinct_lineup_count", "top_lineup_share")
     top = L.top_lineup(counted).drop("n").join(stats, "team_id")
     groups = {r.team_id: r.group_id for r in C.groups(top, C.eligible_pairs(top)).collect()}
-    return index, {r.player_id: r.idf for r in idf.collect()}, groups
+    return index, {r.player_id: r.idf for r in idf.collect()}, groups, top.persist()
 
 
 @pytest.mark.parametrize(("players", "first", "group"), QUERIES)
 def test_top_hit_and_group(world, players, first, group):
-    index, idf, groups = world
+    index, idf, groups, _ = world
     ranked = S.whole_set_search(index, S.player_profile(players, idf)).orderBy(*S.best_first()).limit(5).collect()
     best = ranked[0].team_id
     assert best in first
@@ -77,7 +78,7 @@ def test_unit_vectors(world):
 
 def test_recall_of_the_published_queries(spark, world):
     """recall@1, recall@5 and MRR of the seven benchmark queries are 1."""
-    index, idf, _ = world
+    index, idf, *_ = world
     ranked, expected = [], []
     for k, (players, first, _) in enumerate(QUERIES[:7]):
         hits = S.whole_set_search(index, S.player_profile(players, idf)).orderBy(*S.best_first()).limit(5).collect()
@@ -85,3 +86,14 @@ def test_recall_of_the_published_queries(spark, world):
         expected += [(f"q{k}", t) for t in first]
     r = S.evaluate(spark.createDataFrame(ranked, "query string, rank int, team_id long"), spark.createDataFrame(expected, "query string, team_id long")).first()
     assert (r.recall_at_1, r.recall_at_5, r.mrr) == (1.0, 1.0, 1.0)
+
+
+def test_search_from_end_to_end(world):
+    """Aliases come as one group, in order, cut to top_n; a threshold that nothing reaches is lifted."""
+    index, idf, _, top = world
+    profile = S.player_profile((51, 52, 53, 54, 55), idf)
+    got = E.entity_search(index, top, profile, top_n=3).collect()
+    assert [r.place for r in got] == [1, 2, 3] and got[0].team_ids == [501, 502] and not got[0].relaxed
+    assert [r.rerank_score for r in got] == sorted((r.rerank_score for r in got), reverse=True)
+    assert all(r.relaxed for r in E.entity_search(index, top, profile, top_n=1, min_score=0.999).collect())
+    assert [E.candidate_count(n, 200) for n in (1, 5, 20, 100, 300)] == [11, 25, 100, 200, 300]
