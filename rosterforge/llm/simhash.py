@@ -11,8 +11,9 @@ by the triangle bound with radius 4, finds exact neighbours. A shard gives back
 Near copies at a Jaccard similarity (`similar_documents`, the pipeline's stage) are decided by that similarity itself, not by a
 fingerprint: at such similarities fingerprints lie 39 +- 6 of 256 bits apart, so no radius tells 0.8 from 0.7. Candidates share a band of MIN_ROWS min-hashes
 of their distinct shingles in one of MIN_BANDS bands; a pair at similarity s does so with a chance of 1 - (1 - s**MIN_ROWS)**MIN_BANDS, whatever its
-length: all but 3 in a million pairs at 0.8. Bands of the same members are searched once; a band's members meet in one task with their
-whole shingle sets, which gives a spanning forest of the pairs that reach the similarity, never all pairs.
+length: all but 3 in a million pairs at 0.8. Bands of the same members are searched once; a band's members meet with their
+whole shingle sets, which gives a spanning forest of the pairs that reach the similarity, never all pairs. A band of more than BLOCK_SHINGLES
+shingles is dealt in blocks, and each two blocks of it meet in a task of their own, so that no task holds a whole heavy band.
 
 Equal fingerprints are one row from the start, so exact copies cost nothing. A shard holds 16 bytes a fingerprint.
 
@@ -42,6 +43,8 @@ VANTAGE_POINTS = 12
 LEAF = 64
 #: Min-hashes of the candidates for a similarity: bands, and min-hashes of one band.
 MIN_BANDS, MIN_ROWS = 32, 5
+#: Distinct shingles of one block of a band, 8 bytes each; a task holds two blocks at a time.
+BLOCK_SHINGLES = 1 << 22
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -257,7 +260,7 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> n
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """ROW, doc_id, text, key (digest of the set of shingles), bands (no band without shingles)."""
+    """ROW, doc_id, text, key (digest of the set of shingles), size (shingles in it), bands (no band without shingles)."""
     rows = docs.select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     factors, offsets = np.random.default_rng(SEED).integers(0, 1 << 63, size=(2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
     factors = factors * np.uint64(2) + np.uint64(1)
@@ -266,17 +269,18 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
         import xxhash
 
         for batch in slices(batches):
-            keys, bands = [], []
+            keys, sizes, bands = [], [], []
             for text in batch.column("text"):
                 hashes = np.unique(shingle_hashes(text.as_py(), shingle))
                 keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(len(hashes))
                 bands.append(band_keys(hashes, factors, offsets).view(np.int64) if len(hashes) else [])
             yield pa.RecordBatch.from_pydict({
                 **{c: batch.column(c) for c in (ROW, "doc_id", "text")}, "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
-                "bands": pa.array(bands, type=pa.list_(pa.int64())),
+                "size": pa.array(sizes, type=pa.int64()), "bands": pa.array(bands, type=pa.list_(pa.int64())),
             })
 
-    schema = T.StructType([*rows.schema, T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema, T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(work, schema)
 
 
@@ -320,11 +324,15 @@ def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[i
 
 
 def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b: keys of a forest of the pairs of nodes (node: their key, bands) that share a band and reach the similarity; texts: key, text."""
-    banded = nodes.select(F.col("node").alias("key"), F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y"))
-    shared = materialize(groups.where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"))
-    members = materialize(banded.join(broadcast_if_small(shared), "band"))
+    """a, b: keys of a forest of the pairs of nodes that share a band and reach the similarity.
+
+    nodes: node (their key), size, bands; texts: key, text.
+    """
+    banded = nodes.select(F.col("node").alias("key"), "size", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y"))
+    shared = materialize(groups.where("n > 1").groupBy("n", "x", "y").agg(
+        F.min("band").alias("band"), F.ceil(F.max("size") / BLOCK_SHINGLES).alias("blocks")).select("band", "blocks"))
+    members = materialize(banded.select("key", "band").join(broadcast_if_small(shared), "band"))
     needed = materialize(members.select("key").distinct())
     # Any of the texts of a key: all have the same shingles.
     rows = texts.join(broadcast_if_small(needed), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
@@ -335,7 +343,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
             yield pa.RecordBatch.from_pydict({"key": batch.column(0), "shingles": pa.array(sets, type=pa.binary())})
 
     def search(batches):
-        band, keys, sets = None, [], []
+        part, keys, sets = None, [], []
 
         def found():
             a, b = similarity_forest(sets, similarity)
@@ -343,17 +351,20 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
 
         for batch in slices(batches):
             for now, key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != band:
+                if now != part:
                     if len(keys) > 1:
                         yield found()
-                    band, keys, sets = now, [], []
+                    part, keys, sets = now, [], []
                 keys.append(key)
                 sets.append(np.frombuffer(data, dtype=np.uint64))
         if len(keys) > 1:
             yield found()
 
     read_sets = materialize(rows.mapInArrow(read, "key long, shingles binary"))
-    dealt = members.join(read_sets, "key").select("band", "key", "shingles").repartition("band").sortWithinPartitions("band", "key")
+    own, others = F.expr("pmod(key, blocks)"), F.expr("sequence(0L, blocks - 1)")
+    met = members.withColumn("own", own).withColumn("other", F.explode(F.filter(others, lambda x: (x != F.col("own")) | (F.col("blocks") == 1))))
+    met = met.select("key", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("part"))
+    dealt = met.join(read_sets, "key").select("part", "key", "shingles").repartition("part").sortWithinPartitions("part", "key")
     return dealt.mapInArrow(search, "a long, b long")
 
 
@@ -387,7 +398,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _similar_rows(rows: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """ROW, doc_id, component (a number of it), component_id of rows that have ROW."""
     found = materialize(shingle_sets(rows, id_col, text_col, shingle))
-    nodes = materialize(found.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")))
+    nodes = materialize(found.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     grouped = materialize(connected_components(similar_pairs(nodes, found.select("key", "text"), shingle, similarity)))
     named = _smallest_ids(nodes.select("node", "least"), grouped)
     named = named.join(broadcast_if_small(grouped), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "component_id")

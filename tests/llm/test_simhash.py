@@ -139,6 +139,16 @@ def test_similarity_forest_matches_brute_force():
     assert len(a) == len(sets) - len(set(label)) and 1 < len(set(label)) < len(sets)
 
 
+def test_heavy_bands_in_blocks_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: 140 + rng.randint(0, 60)] + [f"t{i % 7}"] * rng.randint(0, 3)), "x") for i in range(150)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(simhash.similar_documents(docs).collect())
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1500)
+    assert sorted(simhash.similar_documents(docs).collect()) == whole and len({r.component_id for r in whole}) < 150
+
+
 def test_null_repeated_and_text_ids(spark):
     base = " ".join(f"w{k}" for k in range(60))
     rows = [("b", base), ("a", base), (None, base), ("c", "other words here and there"), ("c", base), (None, "alone one two three"), (None, "alone one two three")]
