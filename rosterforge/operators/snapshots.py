@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +65,23 @@ class SnapshotStore:
         self._log([(run_id, "running", at_ms, None, None)])
         return run_id
 
+    def start_next(self, at_ms: int) -> int:
+        """Start the run after the latest one; one writer at a time."""
+        try:
+            last = self.runs().agg(F.max("run_id")).first()[0] or 0
+        except AnalysisException:  # no run yet
+            last = 0
+        return self.start(last + 1, at_ms)
+
+    @contextmanager
+    def failing(self, run_id: int, at_ms: int) -> Iterator[None]:
+        """Mark the run failed where the body raises, and raise again."""
+        try:
+            yield
+        except Exception as error:
+            self.mark(run_id, "failed", at_ms, None, str(error)[:500])
+            raise
+
     def mark(self, run_id: int, status: str, at_ms: int, teams_indexed: int | None = None, message: str | None = None) -> None:
         self._log([(run_id, status, at_ms, teams_indexed, message)])
 
@@ -68,13 +90,10 @@ class SnapshotStore:
 
     def publish(self, run_id: int, tables: dict[str, DataFrame], at_ms: int) -> None:
         """Write all tables of a run, then complete it; any error marks it failed and is raised again."""
-        try:
+        with self.failing(run_id, at_ms):
             for name, rows in tables.items():
                 self.write(run_id, name, rows)
             n = self.read("embeddings", run_id).count() if "embeddings" in tables else None
-        except Exception as error:
-            self.mark(run_id, "failed", at_ms, None, str(error)[:500])
-            raise
         self.mark(run_id, "completed", at_ms, n)
 
     def read(self, table: str, run_id: int) -> DataFrame:
@@ -93,6 +112,35 @@ class SnapshotStore:
         return old
 
 
+def of_dimension(rows: DataFrame, dim: int, vector: str = "final_vector") -> DataFrame:
+    """rows, which raise an error when read if a vector has another dimension than dim."""
+    wrong = F.raise_error(F.concat(F.lit(f"{vector} should have {dim} values, not "), F.size(vector).cast("string")))
+    return rows.withColumn(vector, F.when(F.size(vector) == dim, F.col(vector)).otherwise(wrong.cast(rows.schema[vector].dataType)))
+
+
+def to_json_columns(rows: DataFrame, *columns: str) -> DataFrame:
+    """Nested columns as JSON texts, the entries of maps in the order of their keys."""
+    def ordered(c):
+        if not rows.schema[c].dataType.typeName() == "map":
+            return F.to_json(c)
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+
+    return rows.withColumns({c: ordered(c) for c in columns})
+
+
+def from_json_columns(rows: DataFrame, **types: str) -> DataFrame:
+    """JSON texts as columns of the given types; a text that isn't of its type gives null."""
+    return rows.withColumns({c: F.from_json(c, t) for c, t in types.items()})
+
+
+def identifier(name: str) -> str:
+    """A table's or column's name, trimmed; anything but letters, digits and underscores is an error."""
+    name = name.strip()
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"no identifier: {name!r}")
+    return name
+
+
 def mirror(source: DataFrame, path: str) -> int:
     """Copy a table to path and check the count; returns it."""
     source.write.mode("overwrite").parquet(path)
@@ -104,7 +152,8 @@ def mirror(source: DataFrame, path: str) -> int:
 
 
 def jdbc_source(spark: SparkSession, table: str, url: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options) -> DataFrame:
-    """A table over JDBC, read by ranges of key in parallel where bounds are given."""
+    """A table (a name, or schema.name) over JDBC, read by ranges of key in parallel where bounds are given."""
+    table = ".".join(identifier(part) for part in table.split("."))
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     if key and bounds:
         reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)

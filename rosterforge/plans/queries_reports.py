@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from rosterforge.operators import lineups as L
 from rosterforge.operators import matches as M
+from rosterforge.operators import refresh as J
 from rosterforge.operators import reports as R
+from rosterforge.operators import snapshots as P
 from rosterforge.plans import queries_analytics as QA
 from rosterforge.plans import queries_matches as QM
 from rosterforge.plans.queries_lineups import lineup_sql
 from rosterforge.plans.queries_search import wide_counted
 from rosterforge.plans.registry import ORACLE, query
+from rosterforge.plans.storage import new_folder
 from rosterforge.sources import adapter as A
 
 
@@ -163,3 +166,16 @@ def player_team_sorts(spark, d):
     a, b = (R.placed(rows, R.PLAYER_TEAMS[k], 20).withColumnRenamed("place", f"by_{k}") for k in ("matches", "lineups"))
     both = a.join(b.select("team_id", "by_lineups"), "team_id")
     return both.select("team_id", "by_matches", R.usage(F.col("matches"), F.col("lineup_count"), F.col("by_matches")).alias("usage"), "by_lineups")
+
+
+@query(lineup_sql(2, 6) + """, t AS (SELECT team_id, sum(n)::BIGINT AS lineup_count, count(*) AS distinct_lineup_count, round(max(n)::DOUBLE / sum(n), 6) AS top_lineup_share FROM variants GROUP BY 1),
+b AS (SELECT team_id, array_to_string(lineup, '|') AS top_lineup FROM variants QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY n DESC, lineup) = 1),
+s AS (SELECT team_id, count(*)::INT AS unique_player_count, max(matches)::BIGINT AS most_matches FROM support GROUP BY 1)
+SELECT *, 64 + 256 AS final_dim FROM t JOIN b USING (team_id) JOIN s USING (team_id)""")
+def refreshed_embeddings(spark, d):
+    """The refresh job into a new store, and the embeddings read back from its snapshot."""
+    store = P.SnapshotStore(spark, new_folder(spark))
+    rows = store.read("embeddings", J.refresh(store, wide_counted(spark, d), 1_700_000_000_000))
+    return P.of_dimension(rows, 320).select(
+        "team_id", "lineup_count", "distinct_lineup_count", F.round("top_lineup_share", 6).alias("top_lineup_share"), L.key_of(F.col("top_lineup")).alias("top_lineup"),
+        "unique_player_count", F.col("match_counts")[0].alias("most_matches"), F.size("final_vector").alias("final_dim"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterforge.functions import scalars
 from rosterforge.functions.hashing import slots
-from rosterforge.operators import analytics, consolidate, lineups, matches, search, snapshots, text, tournaments, vectors
+from rosterforge.operators import analytics, consolidate, lineups, matches, refresh, reports, search, snapshots, text, tournaments, vectors
 from rosterforge.plans.components import connected_components
 from rosterforge.sources import remote_roster
 
@@ -159,6 +159,47 @@ def test_snapshot_store_round_trip(spark, tmp_path):
     assert snapshots.config_of(store.runs(), 3).first().identity_idf_cap == 3.0
 
 
+def test_refresh_publishes_a_snapshot_and_marks_failures(spark, tmp_path):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    rows = [(1, [1, 2, 3, 4], 5), (2, [1, 2, 3, 4], 3), (3, [1, 2, 3, 4], 2), (4, [7, 8, 9, 10], 6), (4, [7, 8, 9, 11], 1)]
+    counted = spark.createDataFrame(rows, "team_id long, lineup array<long>, n long")
+    small = refresh.Settings(semantic_dim=8, identity_dim=16)
+    assert [refresh.refresh(store, counted, at, small, keep=1) for at in (1000, 2000)] == [1, 2]
+    assert {r.run_id: r.status for r in store.runs().collect()} == {1: "deleted", 2: "completed"}
+    teams = {r.team_id: r for r in snapshots.of_dimension(store.read("embeddings", 2), 24).collect()}
+    assert teams[4].lineup_count == 7 and teams[4].top_lineup == [7, 8, 9, 10] and teams[4].players[:3] == [7, 8, 9]
+    found = {p: sorted(r.team_id for r in store.read("clusters", 2).where(F.col("profile") == p).collect()) for p in ("strict", "explore", "family")}
+    assert found == {"strict": [1, 2, 3], "explore": [1, 2, 3], "family": [1, 2, 3]}
+    assert snapshots.config_of(store.read("configs", 2), 2).first().identity_dim == 16
+    with pytest.raises(Exception, match="should have 25"):
+        snapshots.of_dimension(store.read("embeddings", 2), 25).collect()
+    with pytest.raises(Exception):
+        refresh.refresh(store, counted.withColumn("n", F.raise_error(F.lit("no")).cast("long")), 3000, small)
+    assert {r.run_id: r.status for r in store.runs().collect()}[3] == "failed"
+
+
+def test_json_columns_and_identifiers(spark):
+    rows = spark.createDataFrame([(1, {"b": 2, "a": 1}, [3, 4])], "team_id long, counts map<string,long>, ids array<long>")
+    texts = snapshots.to_json_columns(rows, "counts", "ids")
+    assert texts.first().counts == '{"a":1,"b":2}' and texts.first().ids == "[3,4]"
+    back = snapshots.from_json_columns(texts, counts="map<string,long>", ids="array<long>").first()
+    assert back.counts == {"a": 1, "b": 2} and back.ids == [3, 4]
+    assert snapshots.from_json_columns(texts.withColumn("ids", F.lit("x{")), ids="array<long>").first().ids is None
+    assert snapshots.identifier(" team_1 ") == "team_1"
+    for bad in ("", "1a", "a;b", "a b", "a\n1"):
+        with pytest.raises(ValueError):
+            snapshots.identifier(bad)
+
+
+def test_labels_of_reports(spark):
+    n, f = F.lit(None).cast("double"), F.lit
+    got = spark.range(1).select(
+        reports.confidence_band(reports.confidence(n, f(0.8), f(1.2))), reports.confidence_band(reports.confidence(n, n, n)), reports.confidence_band(reports.confidence(f(0.96), n, n)),
+        reports.continuity(n, f(1)), reports.continuity(f(0.6), f(2)), reports.usage(f(0), f(5), f(1)), reports.usage(f(3), f(0), f(5)), reports.usage(f(1), f(9), f(1)), reports.usage(f(4), f(9), f(1)),
+    ).first()
+    assert list(got) == ["Medium", "n/a", "High", "Continuity unavailable", "Mostly stable core", "top-lineup reference", "sub", "one-off", "regular"]
+
+
 def test_windows():
     assert lineups.window_bounds(None, 10) == (None, None)
     assert lineups.window_bounds(-1, 10) == (None, None)
