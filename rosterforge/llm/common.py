@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from rosterforge.plans.storage import broadcast_if_small, materialize, remove_tr
 #: A run of the six ASCII white-space characters, and a word, which is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one Arrow batch where the job sets no number: the JVM, Arrow and Python each hold a batch of whole texts.
+BATCH_ROWS = 1000
 #: Column that tells the rows of a table apart, whatever their ids are.
 ROW = "__row_key"
 
@@ -22,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows in this session, unless the job has set their number itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table_rows(docs: DataFrame) -> DataFrame:
     """docs with ROW, the same at every reading: the Parquet file and the place in it.
 
@@ -57,6 +67,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
     pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # a worker lives on after its task, so it gives back what is free
+        libc.malloc_trim(0)
 
 
 def let(value: Column, body) -> Column:
