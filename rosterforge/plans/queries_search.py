@@ -9,10 +9,12 @@ from rosterforge.functions.vectors import dot
 from rosterforge.operators import consolidate as C
 from rosterforge.operators import entity_search as E
 from rosterforge.operators import lineups as L
+from rosterforge.operators import scope as O
 from rosterforge.operators import search as S
 from rosterforge.operators import vectors as V
 from rosterforge.plans.queries_lineups import counted, lineup_sql, lineups
 from rosterforge.plans.registry import query
+from rosterforge.plans.storage import materialize
 from rosterforge.sources import adapter as A
 
 #: Query of the player-set searches, targets of the adaptive one, and the anchor of the neighbour lists.
@@ -252,6 +254,32 @@ def consolidation_pairs(spark, d):
     return C.eligible_pairs(top_rows(spark, d))
 
 
+_SCOPES = _TOP + """, gr AS MATERIALIZED (SELECT a AS t, b AS m FROM el UNION SELECT b, a FROM el UNION SELECT team_id, team_id FROM top),
+nmd AS (SELECT c_custkey + 1 AS m, c_mktsegment AS name, greatest(coalesce(lineup_count, 0), 1) AS w FROM customer LEFT JOIN top ON team_id = c_custkey + 1),
+sz AS (SELECT t, count(*) AS size FROM gr GROUP BY 1),
+gn AS (SELECT t, name FROM (SELECT t, name, sum(w) AS w FROM gr JOIN nmd USING (m) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY t ORDER BY w DESC, length(name), name DESC) = 1),
+an AS MATERIALIZED (SELECT gr.t, gr.m AS anchor FROM gr JOIN gn USING (t) JOIN nmd ON nmd.m = gr.m AND nmd.name = gn.name QUALIFY row_number() OVER (PARTITION BY gr.t ORDER BY gr.m) <= 12),
+vo AS MATERIALIZED (SELECT an.t, gr.m, count(*) AS votes FROM an JOIN gr ON gr.t = an.anchor GROUP BY 1, 2),
+ag AS MATERIALIZED (SELECT t, m FROM vo JOIN (SELECT t, count(*) AS k FROM an GROUP BY 1) USING (t) WHERE votes >= 2 AND votes * 2 > k),
+ok AS MATERIALIZED (SELECT t FROM ag GROUP BY t HAVING count(*) > 1 AND bool_or(m = t)),
+le AS (SELECT an.t, anchor FROM an JOIN sz ON sz.t = anchor QUALIFY row_number() OVER (PARTITION BY an.t ORDER BY size, anchor) = 1),
+sc AS MATERIALIZED (SELECT t, m FROM gr JOIN sz USING (t) WHERE size = 1 UNION ALL SELECT t, m FROM ag JOIN ok USING (t)
+  UNION ALL SELECT le.t, gr.m FROM le JOIN sz ON sz.t = le.t AND size > 1 JOIN gr ON gr.t = le.anchor WHERE le.t NOT IN (SELECT t FROM ok)),
+sn AS (SELECT t, name FROM (SELECT t, name, sum(w) AS w FROM sc JOIN nmd USING (m) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY t ORDER BY w DESC, length(name), name DESC) = 1)
+SELECT t AS team_id, m AS member, name AS scope_name FROM sc JOIN sn USING (t)"""
+
+
+@query(_SCOPES)
+def family_scopes(spark, d):
+    """Scopes of all teams: their groups are the teams they may be consolidated with, their names the market segments, which many share."""
+    rows = materialize(top_rows(spark, d))
+    pairs = materialize(C.eligible_pairs(rows))
+    both = pairs.select(F.col("a").alias("team_id"), F.col("b").alias("member")).unionByName(pairs.select(F.col("b").alias("team_id"), F.col("a").alias("member")))
+    groups = both.unionByName(rows.select("team_id", F.col("team_id").alias("member")))
+    segments = A.read(spark, d, "customer").select((F.col("c_custkey") + 1).alias("team_id"), F.col("c_mktsegment").alias("name"))
+    return O.consensus_scopes(groups, segments.join(rows.select("team_id", "lineup_count"), "team_id", "left"))
+
+
 def recursive(sql: str, edges: str, nodes: str, tail: str) -> str:
     """Components of edges by a recursive closure, as comp(team_id, group_id), then tail."""
     return sql.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ed AS MATERIALIZED (SELECT a AS x, b AS y FROM {edges} UNION SELECT b, a FROM {edges}),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rosterforge.functions import scalars
 from rosterforge.functions.hashing import slots
-from rosterforge.operators import analytics, consolidate, lineups, matches, refresh, reports, search, snapshots, text, tournaments, vectors
+from rosterforge.operators import analytics, consolidate, lineups, matches, refresh, reports, scope, search, snapshots, text, tournaments, vectors
 from rosterforge.plans.components import connected_components
 from rosterforge.sources import remote_roster
 
@@ -204,3 +204,30 @@ def test_windows():
     assert lineups.window_bounds(None, 10) == (None, None)
     assert lineups.window_bounds(-1, 10) == (None, None)
     assert lineups.window_bounds(1, 86_400_000 * 3) == (86_400 * 2, 86_400 * 3)
+
+
+def test_family_scopes_by_consensus(spark):
+    groups = {1: [1, 2, 3, 9], 2: [1, 2, 3], 3: [2, 3], 9: [1, 9], 5: [5], 6: [6, 7], 7: [6, 7, 8], 8: [7, 8]}
+    names = [(1, "Wolves", 9), (2, "wolves!", 3), (3, "Wolves", 0), (9, "Other", 1), (5, " Solo ", 2), (6, None, 4), (7, "", 1), (8, None, None)]
+    rows = spark.createDataFrame([(t, m) for t, g in groups.items() for m in g], "team_id long, member long")
+    got = {}
+    for r in scope.consensus_scopes(rows, spark.createDataFrame(names, "team_id long, name string, lineup_count long")).collect():
+        got.setdefault((r.team_id, r.scope_name), []).append(r.member)
+    # The anchors of 1 agree on all but 9; the only namesake in the group of 9 is 1, so its group; 6, 7 and 8 have no names, so all members are anchors.
+    assert {k: sorted(v) for k, v in got.items()} == {
+        (1, "Wolves"): [1, 2, 3], (2, "Wolves"): [1, 2, 3], (3, "wolves!"): [2, 3], (9, "Wolves"): [1, 2, 3, 9],
+        (5, "Solo"): [5], (6, None): [6, 7], (7, None): [6, 7, 8], (8, None): [7, 8]}
+
+
+def test_family_scopes_take_twelve_anchors(spark):
+    # Team 1's group holds 14 namesakes; the first twelve keep to the smaller ids, the last two don't count.
+    groups = {t: list(range(1, 15)) if t == 1 else [1, 2] if t <= 12 else [1, t] for t in range(1, 15)}
+    rows = spark.createDataFrame([(t, m) for t, g in groups.items() for m in g], "team_id long, member long")
+    names = spark.createDataFrame([(t, "A", 1) for t in range(1, 15)], "team_id long, name string, lineup_count long")
+    found = scope.consensus_scopes(rows, names).where("team_id = 1").collect()
+    assert sorted(r.member for r in found) == [1, 2]
+
+
+def test_family_scopes_of_nothing(spark):
+    none = spark.createDataFrame([], "team_id long, member long")
+    assert scope.consensus_scopes(none, spark.createDataFrame([], "team_id long, name string, lineup_count long")).collect() == []
