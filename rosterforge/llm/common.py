@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterforge.plans.storage import broadcast_if_small, materialize, remove_tree, shared_dir  # noqa: F401
+from rosterforge.plans.storage import broadcast_if_small, materialize, new_folder, remove_tree, shared_dir  # noqa: F401
 
 #: A run of the six ASCII white-space characters, and a word, which is a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterforge.llm import bpe, exact_dedup, html_extract, langid, licenses, mixing, quality, secrets, simhash, substring_dedup
+from rosterforge.llm import bpe, exact_dedup, html_extract, langid, licenses, mixing, quality, secrets, simhash, substring_dedup, token_output
 from rosterforge.llm.common import table, table_rows
 
 
@@ -51,6 +51,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("llr")
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table_rows(table(spark, sf_dir, "documents"))
+    return token_output.read_digests(spark, token_output.write_ids(documents, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_html_extract": op2_html_extract,
@@ -62,6 +67,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
+    "op11_token_output": op11_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
