@@ -11,9 +11,9 @@ The cut in the order is found without sorting a source: the rank is an integer k
 by 9-bit digits of it (map-side combined, at most 512 sums a source); only documents with the very key of the cut are sorted. Sources
 that take whole copies only have no cut. What a document is taken for follows from its source's few numbers, so no document is shuffled.
 
-Defined cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; equal
-ranks fall back to doc_id, null first; rows that repeat an id and a size share one fate and count as so many documents; an empty table
-gives an empty result; other columns are ignored, and kept by `apply_mix`.
+Defined cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; every row has a fate of its own:
+its number is drawn from its id, and where rows share an id (or have none) from id, source, text and its number among rows that are alike in all three, so
+that reruns agree however the table is dealt; equal ranks fall back to doc_id, null first, then to the place; an empty table gives an empty result; other columns are ignored, and kept by `apply_mix`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterforge.llm.common import broadcast_if_small, materialize, word_count
+from rosterforge.llm.common import ROW, broadcast_if_small, keyed, materialize, word_count
 
 DIGIT_BITS, DIGITS = 9, 3
 KEY_BITS = DIGIT_BITS * DIGITS
@@ -89,12 +89,18 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, seed: int, id_col: str, text_col: str, source_col: str):
         self.seed = seed
-        self.sizes = materialize(self.sized(docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+        self.sizes = materialize(self.sized(keyed(docs).select(
+            ROW, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("mark")
         )))
+        # Narrow rows only; an id of very many rows is one row of the map side's sums.
+        repeated = materialize(self.sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("of")))
+        sharing = self.sizes.join(broadcast_if_small(repeated), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+        like = Window.partitionBy("doc_id", "source", "mark").orderBy(ROW)
+        drawn = F.concat_ws("@", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "source", "mark", F.row_number().over(like))
+        self.drawn = materialize(sharing.select(F.col(ROW).alias("of"), drawn.alias("drawn")))
         targets = materialize(source_targets(self.sizes, weights, share, cap))
         self.rates = materialize(copy_rates(self.sizes, targets, cap))
-        ranked = materialize(self.ranked(self.sizes).where("part > 0").select("source", "doc_id", "size", "rank", "key", "rest"))
+        ranked = materialize(self.ranked(self.sizes).where("part > 0").select("source", "doc_id", ROW, "size", "rank", "key", "rest"))
         self.cuts = materialize(_boundaries(ranked, _cuts(ranked)))
 
     @staticmethod
@@ -103,17 +109,18 @@ class Mix:
         return rows.withColumn("weight", F.length(F.bin("size")))
 
     def ranked(self, rows: DataFrame) -> DataFrame:
-        """rows (doc_id, source, size, weight) with their rates, rank and key."""
+        """rows (ROW, doc_id, source, size, weight) with their rates, rank and key."""
         rates = broadcast_if_small(self.rates.withColumnRenamed("weight", "own"))
         known = rows.join(rates, F.col("source").eqNullSafe(F.col("src")) & (F.col("weight") == F.col("own"))).drop("src", "own")
-        u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), self.seed)
+        known = known.join(broadcast_if_small(self.drawn), F.col(ROW) == F.col("of"), "left")
+        u = uniform(F.coalesce("drawn", F.col("doc_id").cast("string")), self.seed)
         known = known.withColumn("rank", F.when(F.col("part") > 0.0, pareto_rank(u, F.col("part"))))
-        return known.withColumn("key", F.least(F.floor(F.col("rank") * float(2**KEY_BITS)), F.lit(2**KEY_BITS - 1)))
+        return known.drop("of", "drawn").withColumn("key", F.least(F.floor(F.col("rank") * float(2**KEY_BITS)), F.lit(2**KEY_BITS - 1)))
 
     def decided(self, rows: DataFrame) -> DataFrame:
-        """rows (doc_id, source, size, weight) with source_size, target, copies, taken."""
+        """rows (ROW, doc_id, source, size, weight) with source_size, target, copies, taken."""
         placed = self.ranked(rows).join(broadcast_if_small(self.cuts), F.col("source").eqNullSafe(F.col("cut_source")), "left")
-        at_cut = (F.col("key") == F.col("cut")) & (F.struct("rank", "doc_id") <= F.col("last"))
+        at_cut = (F.col("key") == F.col("cut")) & (F.struct("rank", "doc_id", ROW) <= F.col("last"))
         inside = F.coalesce((F.col("key") < F.col("cut")) | at_cut, F.lit(False))
         copies = (F.col("whole") + inside.cast("long")).cast("long")
         return placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
@@ -157,13 +164,12 @@ def _cuts(ranked: DataFrame) -> DataFrame:
 
 
 def _boundaries(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
-    """cut_source, cut, last: the last (rank, doc_id) that the sample takes among those with the key of the cut; null if none."""
+    """cut_source, cut, last: the last (rank, doc_id, ROW) that the sample takes among those with the key of the cut; null if none."""
     at_cut = ranked.join(broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("key") == F.col("cut")))
-    alike = at_cut.groupBy("cut_source", "cut", "below", "rest", "rank", "doc_id").agg(F.sum("size").alias("size"))
-    order = Window.partitionBy("cut_source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("cut_source").orderBy("rank", "doc_id", ROW).rowsBetween(Window.unboundedPreceding, -1)
     fits = F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0 <= F.col("rest")
-    last = F.max(F.when(F.col("fits"), F.struct("rank", "doc_id")))
-    return alike.withColumn("fits", fits).groupBy("cut_source", "cut").agg(last.alias("last"))
+    last = F.max(F.when(F.col("fits"), F.struct("rank", "doc_id", ROW)))
+    return at_cut.withColumn("fits", fits).groupBy("cut_source", "cut").agg(last.alias("last"))
 
 
 def apply_mix(
@@ -177,9 +183,10 @@ def apply_mix(
     source_col: str = "source",
 ) -> DataFrame:
     """The rows of docs, each repeated as often as the mix takes it; documents without words are not taken."""
-    plan = Mix(docs, weights, share, cap, seed, id_col, text_col, source_col)
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+    rows = keyed(docs)
+    plan = Mix(rows, weights, share, cap, seed, id_col, text_col, source_col)
+    rows = rows.select(
+        ROW, F.struct(*(c for c in docs.columns if c != ROW)).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
     taken = plan.decided(plan.sized(rows)).where("taken > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -43,7 +43,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(table_rows(table(spark, sf_dir, "documents"))).drop("copies")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

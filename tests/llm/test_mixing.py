@@ -1,6 +1,7 @@
 import random
 
 from rosterforge.llm import mixing
+from rosterforge.llm.common import table_rows
 
 SCHEMA = "doc_id long, text string, source string, size string"
 
@@ -123,15 +124,23 @@ def test_capped_sources_have_no_cut(spark):
 
 
 def test_repeated_rows_and_null_ids(spark):
-    rows = [(7, "one two", "s", ""), (7, "one two", "s", ""), (None, "a b c", "s", ""), (None, "a b c d", "t", ""), (8, "x", "t", ""), (7, "q " * 30, "t", "")]
+    """Rows without an id, or with one they share, are decided one by one, so a source of them meets its target, too."""
+    rows = [(None, f"w{i} " * 100, "n", "") for i in range(300)] + [(7, f"w{i} " * 100, "r", "") for i in range(300)] + [(1000 + i, "x " * 100, "u", "") for i in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = mixing.mix(docs).collect()
+    got = mixing.mix(docs, weights=(1, 1, 5), share=1.0).collect()
     assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
-    assert len({r.taken for r in got if r.doc_id == 7 and r.size == 2}) == 1
-    want = {}
-    for r in got:
-        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.copies
-    seen = {}
+    for ids in ({None}, {7}, set(range(1000, 1300))):
+        mine = [r for r in got if r.doc_id in ids]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 100
+
+
+def test_rows_that_share_an_id_are_applied_as_planned(spark, tmp_path):
+    rows = [(None, f"w{i} " * (i % 9), "s", "") for i in range(200)] + [(i % 5, "q " * 30, "t", "") for i in range(100)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = table_rows(spark.read.parquet(str(tmp_path / "d")))
+    want, seen = {}, {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + (r.copies if r.taken else 0)
     for r in mixing.apply_mix(docs).collect():
         key = (r.doc_id, len(r.text.split()))
         seen[key] = seen.get(key, 0) + 1

@@ -97,6 +97,6 @@ def test_empty_table_passes_through(spark, tmp_path):
 
 
 def test_registry():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5 and P.PATTERN
