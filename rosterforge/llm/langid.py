@@ -7,7 +7,7 @@ that lead from the last three bytes to the longest known context; a text's code
 bytes. The shortest code wins.
 
 The trees are fitted on a bounded sample of labelled documents: at most about MAX_DOCS documents and MAX_BYTES bytes
-a language, chosen by hash of the id. Every language with a label and every context of the sample is kept; a language is compiled in one task,
+a language, chosen by hash of the id, and one document at least, however long it is. Every language with a label and every context of the sample is kept; a language is compiled in one task,
 and its tables are as large as the contexts of its sample ask for.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; with nothing to learn from every
@@ -66,12 +66,13 @@ def _count_batches(batches):
 def fit(train: DataFrame) -> dict | None:
     """The compiled trees of train (doc_id, text, lang) by language, in order; None where there is nothing to learn from."""
     usable = train.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes"))
-    shares = {r["lang"]: min(1.0, MAX_DOCS / r["docs"], MAX_BYTES / r["bytes"]) for r in per.collect()}  # a row a language
-    if not shares:
-        return None
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20))
-    wanted = F.create_map(*(F.lit(x) for lang, s in shares.items() for x in (lang, max(1, int(s * (1 << 20))))))
+    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes"), F.min(place).alias("first"))
+    # A row a language. The first document by place is always in: few long texts must not lose their language.
+    ends = {r["lang"]: max(int(min(1.0, MAX_DOCS / r["docs"], MAX_BYTES / r["bytes"]) * (1 << 20)), r["first"] + 1) for r in per.collect()}
+    if not ends:
+        return None
+    wanted = F.create_map(*(F.lit(x) for lang, end in ends.items() for x in (lang, end)))
     sample = usable.where(place < F.try_element_at(wanted, F.col("lang"))).select("text", "lang")
     counts = sample.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     compiled = counts.groupBy("lang").applyInArrow(_compile_group, "lang string, tree binary").orderBy("lang").collect()

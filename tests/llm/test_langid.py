@@ -70,3 +70,10 @@ def test_nothing_to_learn_and_empty_table(spark):
     none = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(none).collect()] == ["und"]
     assert langid.identify(none.limit(0)).isEmpty()
+
+
+def test_language_of_few_long_documents_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_BYTES", 4_000)
+    for begin in range(0, 60, 10):
+        rows = [(begin + i, "kurze worte " * 50, "de") for i in range(5)] + [(begin + 5 + i, "lange texte weiter " * 9_000, "xx") for i in range(2)]
+        assert set(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {"de", "xx"}
