@@ -44,7 +44,7 @@ LEAF = 64
 #: Min-hashes of the candidates for a similarity: bands, and min-hashes of one band.
 MIN_BANDS, MIN_ROWS = 32, 5
 #: Distinct shingles of one block of a band, 8 bytes each; a task holds two blocks at a time.
-BLOCK_SHINGLES = 1 << 22
+BLOCK_SHINGLES = 1 << 19
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -291,7 +291,7 @@ def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[i
         return ([0], [1]) if both / (len(sets[0]) + len(sets[1]) - both) >= similarity else ([], [])
     sizes = np.array([len(x) for x in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    values = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    values = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     alive = np.ones(len(sets), dtype=bool)
 
     def index(members):
@@ -301,7 +301,7 @@ def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[i
         return own[np.argsort(held, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(held, minlength=values.max() + 1))])
 
     indexed = len(sets)
-    owners, begins = index(np.arange(indexed))
+    owners, begins = index(np.arange(indexed, dtype=np.int32))
     a, b = [], []
     for first in range(len(sets)):
         if not alive[first]:
@@ -311,7 +311,7 @@ def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[i
             left = np.flatnonzero(alive)
             if 2 * len(left) < indexed:  # the index follows the sets that are left, so that it costs little to ask it again
                 indexed = len(left)
-                owners, begins = index(left)
+                owners, begins = index(left.astype(np.int32))
             q = todo.pop()
             mine = values[starts[q] : starts[q + 1]]
             both = np.bincount(np.concatenate([owners[begins[v] : begins[v + 1]] for v in mine]), minlength=len(sets))
