@@ -1,7 +1,7 @@
 """Source divergence audit: how far each source of a language departs from the language and from its other sources.
 
 Terms are counted once, task by task, into (lang, source, term, occurrences, documents); the sums meet by (lang, term), where the terms of at least
-MIN_DOCS documents of the language are kept. The kept rows are dealt by range of (lang, term), so that each partition is one chunk of the language's integer
+MIN_DOCS documents of the language are kept. The kept rows are dealt by range of (lang, term), and neighbouring ranges of CHUNK_ROWS rows are one chunk of the language's integer
 dictionary: its kept terms as a sorted array in UTF-8 order, ids by binary search in it, and a count vector per group by bincount. Order of
 ids is order of terms, so ties need no look at the texts. Each chunk gets its language's groups (source, total of its counts, number of kept terms) as rows ahead of its
 counts, and works out every group's dense vector of smoothed shares block by block, the sums of differences of all pairs of sources,
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterforge.llm.common import materialize, slices
+from rosterforge.llm.common import broadcast_if_small, materialize, slices
 
 MIN_DOCS, TOP = 30, 50
 #: Share of everything, and what is added to every count (fixed values of the audit).
@@ -33,6 +33,8 @@ UNIT, PRIOR = 1_000_000_000, 5
 HELD_COUNTS, PIECE_BYTES = 300_000, 1 << 20
 #: Cells of a chunk's dense block: groups of the language times terms.
 BLOCK_CELLS = 1 << 20
+#: Kept rows of a chunk at least; with very many sources as many as pairs of sources, so that what a chunk gives is less than what it gets.
+CHUNK_ROWS = 1 << 16
 #: Bytes of terms, in UTF-8: small letters stay, capitals become small, bytes of other letters stay, all else separates.
 _SEPARATED = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -179,9 +181,15 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         .withColumn("docs", F.sum("docs").over(of_term)).withColumn("first", F.min("source").over(of_term) == F.col("source"))
         .where(F.col("docs") >= min_docs).select("lang", "term", "source", "n", "first")
     )
-    kept = materialize(counted.repartitionByRange("lang", "term").withColumn("chunk", F.spark_partition_id()))
+    ranges = materialize(materialize(counted).repartitionByRange("lang", "term").withColumn("range", F.spark_partition_id()))
+    sources = texts.select("lang", "source").distinct()
+    most = sources.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # One row a range: a chunk is full when its rows are as many as they should be.
+    ahead = F.sum("n").over(Window.orderBy("range")) - F.col("n")
+    chunk_of = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.floor(ahead / max(CHUNK_ROWS, most * most)).cast("int").alias("chunk"))
+    kept = ranges.join(broadcast_if_small(materialize(chunk_of)), "range").drop("range")
     groups = (
-        texts.select("lang", "source").distinct()
+        sources
         .join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left")
         .join(kept.where("first").groupBy("lang").agg(F.count(F.lit(1)).alias("kept")), "lang", "left")
         .select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kept", F.lit(0)).alias("kept"))
