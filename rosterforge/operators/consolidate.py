@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterforge.functions.scalars import casing_penalty, family_key, near_match, qualifier_penalty
 from rosterforge.functions.vectors import dot
+from rosterforge.operators.set_join import sharing_pairs
+from rosterforge.operators.vector_join import similarity_join
 from rosterforge.plans.components import connected_components
-from rosterforge.plans.storage import materialize
+from rosterforge.plans.storage import broadcast_if_small, materialize, new_folder, remove_tree
 
 MIN_OVERLAP = 0.72
 
@@ -23,11 +25,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def candidate_pairs(rows: DataFrame, lineup: str = "lineup", min_shared: int = 3) -> DataFrame:
     """a, b (a < b): rows that share min_shared players, or have equal lineups."""
-    each = rows.select("team_id", F.explode(lineup).alias("p"))
-    left, right = each.withColumnRenamed("team_id", "a"), each.withColumnRenamed("team_id", "b")
-    shared = left.join(right, "p").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
-    same = rows.select(F.col("team_id").alias("a"), F.col(lineup).alias("l")).join(rows.select(F.col("team_id").alias("b"), F.col(lineup).alias("l")), "l").where("a < b")
-    return shared.select("a", "b").unionByName(same.where(F.size("l") > 0).select("a", "b")).distinct()
+    shared = sharing_pairs(rows, min_shared, lineup).select("a", "b")
+    few = rows.where(F.size(lineup).between(1, min_shared - 1))  # too few players for the join on prefixes
+    same = few.select(F.col("team_id").alias("a"), F.col(lineup).alias("l")).join(few.select(F.col("team_id").alias("b"), F.col(lineup).alias("l")), "l").where("a < b")
+    return shared.unionByName(same.select("a", "b"))
 
 
 def with_sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -69,26 +70,14 @@ def groups(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def clusters(rows: DataFrame, pairs: DataFrame, min_size: int = 2) -> DataFrame:
     """team_id, cluster_id, cluster_size: components numbered by size descending, then smallest team; smaller ones dropped."""
     member = groups(rows, pairs)
-    sizes = member.groupBy("group_id").agg(F.count(F.lit(1)).alias("cluster_size")).where(F.col("cluster_size") >= min_size)
-    numbered = sizes.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("cluster_size"), "group_id")).cast("long") - 1)
-    return member.join(numbered, "group_id").select("team_id", "cluster_id", "cluster_size")
+    sizes = member.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+    ordered = member.join(broadcast_if_small(materialize(sizes)), "group_id").select("team_id", F.struct((-F.col("n")).alias("o"), "group_id").alias("g"))
+    return numbered(materialize(ordered), "g", F.col("team_id"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, vector: str = "final_vector", blocks: int = 8) -> DataFrame:
-    """a, b, similarity of all pairs of unit vectors with a dot product of threshold or more.
-
-    Dense vectors have no key that keeps all such pairs, so blocks of rows meet block by block: each pair of blocks is one evenly
-    sized task, no task holds more than two blocks. Raise blocks with the input.
-    """
-    block = F.pmod(F.xxhash64("team_id"), F.lit(blocks)).cast("int")
-    base = rows.select("team_id", F.col(vector).alias("v"), block.alias("k"))
-    dealt = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    dealt = dealt.select("team_id", "v", "k", F.least("k", "other").alias("x"), F.greatest("k", "other").alias("y"))
-    a = dealt.where("k = x").select("x", "y", F.col("team_id").alias("a"), F.col("v").alias("va"))
-    b = dealt.where("k = y").select("x", "y", F.col("team_id").alias("b"), F.col("v").alias("vb"))
-    met = a.join(b.hint("shuffle_hash"), ["x", "y"]).where((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
-    scored = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dot(F.col("va"), F.col("vb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+def similar_pairs(rows: DataFrame, threshold: float, vector: str = "final_vector") -> DataFrame:
+    """a, b, similarity of all pairs of vectors with a dot product of threshold or more."""
+    return similarity_join(rows, threshold, vector)
 
 
 def similar_pairs_within(rows: DataFrame, threshold: float, key: str = "cluster_id", vector: str = "final_vector") -> DataFrame:
@@ -114,39 +103,71 @@ CLUSTERINGS = {
 }
 
 
-def greedy_clusters(rows: DataFrame, threshold: float, min_size: int, max_teams: int = 2500, vector: str = "final_vector") -> DataFrame:
-    """team_id, cluster_id, cluster_size: seeds by lineup_count take the unassigned teams within threshold.
+def greedy_clusters(rows: DataFrame, threshold: float, min_size: int, max_teams: int | None = None, vector: str = "final_vector") -> DataFrame:
+    """team_id, cluster_id, cluster_size: teams in order of lineup_count (largest first, then id) take the unassigned teams within threshold.
+
+    A team that finds fewer than min_size teams, itself included, is used up alone. max_teams: only so many of the largest teams take part.
+    """
+    if max_teams is not None:
+        rows = rows.orderBy(F.desc("lineup_count"), "team_id").limit(max_teams)
+    rows = materialize(rows.select("team_id", "lineup_count", vector))
+    return greedy_choice(rows, similar_pairs(rows, threshold, vector).select("a", "b"), min_size)
+
+
+def greedy_choice(rows: DataFrame, pairs: DataFrame, min_size: int) -> DataFrame:
+    """team_id, cluster_id, cluster_size of the sequential choice over rows (team_id, lineup_count) linked by pairs, in parallel rounds.
 
-    Sequential by definition, so the loop runs in one group; it sees only the edges over threshold among the max_teams
-    largest teams (its stated bound), which Spark finds beforehand.
+    In a round every open team is chosen that comes before all open teams within two links over open teams. No team that comes before a chosen one can still want
+    any of its open neighbours, so its members are what the sequential choice gives it, and no two chosen teams share a member. The first open team is
+    always chosen, so rounds end; only narrow links move, each round is written out, and clusters are numbered in the order of their seeds.
     """
-    top = materialize(rows.orderBy(F.desc("lineup_count"), "team_id").limit(max_teams).select("team_id", "lineup_count", vector))
-    edges = similar_pairs(top, threshold, vector).select("a", "b")
-    order = top.select("team_id", "lineup_count", F.lit(None).cast("long").alias("other"))
-    links = edges.select(F.col("a").alias("team_id"), F.lit(None).cast("long").alias("lineup_count"), F.col("b").alias("other"))
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        teams = frame[frame["other"].isna()].sort_values(["lineup_count", "team_id"], ascending=[False, True])["team_id"].astype("int64").tolist()
-        near: dict[int, set[int]] = {t: {t} for t in teams}
-        for a, b in frame[frame["other"].notna()][["team_id", "other"]].astype("int64").itertuples(index=False):
-            near[a].add(b)
-            near[b].add(a)
-        taken: set[int] = set()
-        out: list[tuple[int, int, int]] = []
-        number = 0
-        for seed in teams:
-            if seed in taken:
-                continue
-            members = near[seed] - taken
-            if len(members) < min_size:
-                taken.add(seed)
-                continue
-            out += [(t, number, len(members)) for t in sorted(members)]
-            taken |= members
-            number += 1
-        return pd.DataFrame(out, columns=["team_id", "cluster_id", "cluster_size"]).astype("int64")
-
-    return order.unionByName(links).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(assign, "team_id long, cluster_id long, cluster_size long")
+    spark = rows.sparkSession
+    held = new_folder(spark)
+    key = F.struct((-F.col("lineup_count")).alias("o"), F.col("team_id").alias("t"))
+    keys = broadcast_if_small(materialize(rows.select("team_id", key.alias("k")), held))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    named = both.join(keys.select(F.col("team_id").alias("a"), F.col("k").alias("ka")), "a").join(keys.select(F.col("team_id").alias("b"), F.col("k").alias("kb")), "b")
+    links = materialize(named.select("ka", "kb"), held)
+    taken = []
+    if min_size <= 1:  # teams without a link are clusters, too
+        taken.append(materialize(rows.join(broadcast_if_small(links.select(F.col("ka.t").alias("team_id")).distinct()), "team_id", "left_anti").select(key.alias("seed"), key.alias("k")), held))
+    done = None
+    while not links.isEmpty():
+        near = materialize(links.groupBy(F.col("ka").alias("k")).agg(F.least(F.col("ka"), F.min("kb")).alias("first")), done or held)
+        over = links.join(broadcast_if_small(near.select(F.col("k").alias("kb"), "first")), "kb").groupBy("ka").agg(F.min("first").alias("first"))
+        chosen = materialize(over.where(F.col("first") == F.col("ka")).select("ka"), done or held)
+        members = links.join(broadcast_if_small(chosen), "ka").select(F.col("ka").alias("seed"), F.col("kb").alias("k"))
+        members = materialize(members.unionByName(chosen.select(F.col("ka").alias("seed"), F.col("ka").alias("k"))), done or held)
+        large = members.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("seed")
+        won = members.join(broadcast_if_small(materialize(large, done or held)), "seed")
+        taken.append(materialize(won, held))
+        gone = broadcast_if_small(materialize(taken[-1].select("k").unionByName(chosen.select(F.col("ka").alias("k"))).distinct(), done or held))
+        # Open teams whose last open neighbour goes are alone from now on: they are too small, or clusters of their own.
+        left = links.join(gone.select(F.col("k").alias("ka")), "ka", "left_anti")
+        lost = materialize(left.join(gone.select(F.col("k").alias("kb")), "kb", "left_anti"), new := new_folder(spark))
+        if min_size <= 1:
+            alone = left.select(F.col("ka").alias("k")).distinct().join(lost.select(F.col("ka").alias("k")).distinct(), "k", "left_anti")
+            taken.append(materialize(alone.select(F.col("k").alias("seed"), "k"), held))
+        if done:
+            remove_tree(spark, done)
+        links, done = lost, new
+    if done:
+        remove_tree(spark, done)
+    if not taken:
+        return spark.createDataFrame([], "team_id long, cluster_id long, cluster_size long")
+    every = materialize(reduce(DataFrame.unionByName, taken))
+    remove_tree(spark, held)
+    return numbered(every, "seed", F.col("k.t"))
+
+
+def numbered(members: DataFrame, group: str, team: Column) -> DataFrame:
+    """team_id, cluster_id, cluster_size: groups numbered from 0 in order of their key, without a window over all of them."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("cluster_size"))
+    placed = materialize(sizes.repartitionByRange(group).sortWithinPartitions(group).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
+    parts = placed.groupBy("part").agg(F.min("row").alias("begin"), F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    ids = placed.join(F.broadcast(parts.drop("n")), "part").select(group, "cluster_size", (F.col("before") + F.col("row") - F.col("begin")).alias("cluster_id"))
+    return members.join(broadcast_if_small(materialize(ids)), group).select(team.alias("team_id"), "cluster_id", "cluster_size")
 
 
 def representative_names(members: DataFrame, family: bool) -> DataFrame:
