@@ -87,12 +87,17 @@ def similar_pairs_within(rows: DataFrame, threshold: float, key: str = "cluster_
     return a.join(b, key).where("a < b").select(key, "a", "b", dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def hybrid_pairs(rows: DataFrame, rosters: DataFrame, vector_threshold: float = 0.88, min_shared: float = 0.60, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """a, b: eligible, or similar vectors that share enough of the smaller roster. rosters: team_id, players."""
+def similar_roster_pairs(rows: DataFrame, rosters: DataFrame, vector_threshold: float = 0.88, min_shared: float = 0.60) -> DataFrame:
+    """a, b: similar vectors whose rosters share enough of the smaller one. rosters: team_id, players."""
     near = with_sides(similar_pairs(rows, vector_threshold), rosters, "players")
     small = F.least(F.size("players_a"), F.size("players_b"))
     fraction = F.when(small > 0, F.size(F.array_intersect("players_a", "players_b")) / small).otherwise(0.0)
-    return eligible_pairs(rows, min_overlap).unionByName(near.where(fraction >= min_shared).select("a", "b")).distinct()
+    return near.where(fraction >= min_shared).select("a", "b")
+
+
+def hybrid_pairs(rows: DataFrame, rosters: DataFrame, vector_threshold: float = 0.88, min_shared: float = 0.60, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """a, b: eligible, or similar vectors that share enough of the smaller roster. rosters: team_id, players."""
+    return eligible_pairs(rows, min_overlap).unionByName(similar_roster_pairs(rows, rosters, vector_threshold, min_shared)).distinct()
 
 
 #: Named clusterings of rows (team_id, lineup, counts, vectors) and rosters.

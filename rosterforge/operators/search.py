@@ -80,13 +80,17 @@ def match_fraction(a: Column, b: Column) -> Column:
 
 
 def lineup_overlap(counted: DataFrame, signatures) -> DataFrame:
-    """team_id, lineup_overlap: best share of a variant that equals a signature, or share times overlap where it nearly does."""
+    """team_id, lineup_overlap: best share of a variant that equals a signature, or share times overlap where it nearly does.
+
+    counted: team_id, lineup, n, and total where it doesn't hold all of a team's lineups.
+    """
     q = _rows(counted, "sig array<long>", [(list(s),) for s in signatures])
-    total = counted.groupBy("team_id").agg(F.sum("n").alias("total"))
+    if "total" not in counted.columns:
+        counted = counted.join(counted.groupBy("team_id").agg(F.sum("n").alias("total")), "team_id")
     share = F.col("n") / F.col("total")
     # A near match shares at least three players, so variants meet signatures over their players, not all with all.
     touching = q.select("sig", F.explode("sig").alias("p"))
-    variants = counted.join(total, "team_id").select("team_id", "lineup", "n", "total", F.explode("lineup").alias("p"))
+    variants = counted.select("team_id", "lineup", "n", "total", F.explode("lineup").alias("p"))
     met = variants.join(F.broadcast(touching), "p").groupBy("team_id", "lineup", "n", "total", "sig").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 3")
     value = F.when(F.col("lineup") == F.col("sig"), share).when(near_match(F.col("lineup"), F.col("sig")), share * match_fraction(F.col("lineup"), F.col("sig")))
     return met.groupBy("team_id").agg(clamp01(F.max(value)).alias("lineup_overlap"))
@@ -119,7 +123,11 @@ class Index:
 def whole_set_search(index: Index, profile: QueryProfile, min_score: float = 0.0, rerank_limit: int = 200) -> DataFrame:
     """Teams with embed_score, the three overlaps and rerank_score; the best rerank_limit by embed_score, in no order."""
     scored = index.teams.withColumn("embed_score", dot(F.col("final_vector"), literal(profile.vector))).where(F.col("embed_score") >= min_score)
-    top = scored.orderBy(F.desc("embed_score"), "team_id").limit(rerank_limit)
+    return reranked(scored.orderBy(F.desc("embed_score"), "team_id").limit(rerank_limit), index, profile)
+
+
+def reranked(top: DataFrame, index: Index, profile: QueryProfile) -> DataFrame:
+    """top (team_id, embed_score and others) with the three overlaps and rerank_score."""
     out = top
     for frame in (player_overlap(index.support, profile.weights), pair_overlap(index.pairs, profile.pair_weights), lineup_overlap(index.counted, profile.signatures)):
         out = out.join(frame, "team_id", "left")

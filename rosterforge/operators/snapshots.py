@@ -85,8 +85,10 @@ class SnapshotStore:
     def mark(self, run_id: int, status: str, at_ms: int, teams_indexed: int | None = None, message: str | None = None) -> None:
         self._log([(run_id, status, at_ms, teams_indexed, message)])
 
-    def write(self, run_id: int, table: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/snapshot_id={run_id}")
+    def write(self, run_id: int, table: str, rows: DataFrame, folders: str | None = None) -> None:
+        """folders: the column by whose values the table's rows lie in folders of their own."""
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(folders) if folders else writer).parquet(f"{self.path}/{table}/snapshot_id={run_id}")
 
     def publish(self, run_id: int, tables: dict[str, DataFrame], at_ms: int) -> None:
         """Write all tables of a run, then complete it; any error marks it failed and is raised again."""

@@ -347,7 +347,7 @@ def entity_search(spark, d):
     """The whole search: retrieval, widening, consolidation, rescoring, order and cut."""
     index = index_of(spark, d)
     out = E.entity_search(index, top_rows(spark, d), profile(spark, d, index.support), top_n=10)
-    return out.select("place", "group_id", "team_ids", "relaxed", "lineup_count", *(F.round(c, 5).alias(c) for c in SCORES))
+    return out.select("place", "group_id", "team_id", "team_ids", "relaxed", "lineup_count", *(F.round(c, 5).alias(c) for c in SCORES))
 
 
 _MEMBERS = A.with_frames("tournament_teams", "snapshot") + """, m AS (SELECT cluster_id, team_id, name, lineup_count, event_time_ms + tournament_id AS event_time_ms FROM tournament_teams JOIN snapshot USING (team_id)),

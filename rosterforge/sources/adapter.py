@@ -141,6 +141,20 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def family_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """team_id, final_vector, lineup_count, players: teams of four share most of the first one's vector and roster, as lineups of one organisation do."""
+    from rosterforge.functions.vectors import l2_normalize
+
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    k = F.col("vec_id")
+    first = e.select(k.alias("first"), F.col("v").alias("shared"))
+    own = e.join(first, k - k % 4 == F.col("first")).withColumn("w", (k % 7 + 1) / 10.0)
+    vector = l2_normalize(F.zip_with("shared", F.transform("v", lambda x: x * F.col("w")), lambda a, b: a + b))
+    kept = lambda i: F.when(i <= 5 - k % 4, (k - k % 4) * 10 + i).otherwise(k * 10 + i + 1_000_000).cast("long")
+    players = F.transform(F.sequence(F.lit(1), F.lit(5)), kept)
+    return own.select((k + 1).alias("team_id"), vector.alias("final_vector"), (k % 17 + 1).cast("long").alias("lineup_count"), players.alias("players"))
+
+
 def previous_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot before: some teams moved to their neighbour's vector, some clusters shifted, some teams absent."""
     now = snapshot(spark, sf_dir)
@@ -212,6 +226,10 @@ FRAMES = {
         1700000000000 + ((team_id - 1) % 400) * 86400000 AS event_time_ms
         FROM (SELECT team_id, cluster_id, v, sqrt(list_dot_product(v[1:32], v[1:32])) AS sn, sqrt(list_dot_product(v[33:64], v[33:64])) AS idn
               FROM (SELECT vec_id + 1 AS team_id, label::BIGINT AS cluster_id, embedding::DOUBLE[] AS v FROM embeddings))""",
+    "family_snapshot": """SELECT team_id, [x / sqrt(list_dot_product(v, v)) for x in v] AS final_vector, lineup_count, players FROM (
+        SELECT o.vec_id + 1 AS team_id, [f.embedding[i]::DOUBLE + o.embedding[i]::DOUBLE * ((o.vec_id % 7 + 1) / 10.0::DOUBLE) for i in range(1, 65)] AS v, (o.vec_id % 17 + 1)::BIGINT AS lineup_count,
+          [CASE WHEN i <= 5 - o.vec_id % 4 THEN (o.vec_id - o.vec_id % 4) * 10 + i ELSE o.vec_id * 10 + i + 1000000 END for i in range(1, 6)]::BIGINT[] AS players
+        FROM embeddings o JOIN embeddings f ON f.vec_id = o.vec_id - o.vec_id % 4)""",
     "previous_snapshot": """SELECT n.team_id, CASE WHEN (n.team_id - 1) % 6 = 0 THEN (n.cluster_id + 1) % 10 ELSE n.cluster_id END AS cluster_id,
         CASE WHEN (n.team_id - 1) % 5 = 0 AND m.final_vector IS NOT NULL THEN m.final_vector ELSE n.final_vector END AS final_vector, n.lineup_count, round(n.lineup_entropy * 0.9::DOUBLE, 6) AS lineup_entropy
         FROM snapshot n LEFT JOIN snapshot m ON m.team_id = n.team_id + 1 WHERE (n.team_id - 1) % 11 <> 0""",
