@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterforge.functions.scalars import rivalry, stability_hint, volatility
 from rosterforge.functions.vectors import dot
 from rosterforge.operators.consolidate import jaccard, similar_pairs_within, with_sides
+from rosterforge.operators.vector_join import nearest_others
 from rosterforge.operators.vectors import weighted_centroid
 from rosterforge.plans.components import connected_components
 
@@ -37,11 +38,7 @@ def cluster_health(members: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cluster_size"), F.avg("similarity").alias("cohesion_mean"),
         F.percentile("similarity", 0.1).alias("cohesion_p10"), F.avg("lineup_entropy").alias("avg_lineup_entropy"),
     )
-    c = centroids(members)
-    # One row a cluster on both sides; there are few clusters beside the teams in them.
-    others = c.select("cluster_id", F.col("centroid").alias("x")).join(
-        F.broadcast(c.select(F.col("cluster_id").alias("other"), F.col("centroid").alias("y"))), F.col("cluster_id") != F.col("other"))
-    nearest = others.groupBy("cluster_id").agg(F.max(dot(F.col("x"), F.col("y"))).alias("nearest"))
+    nearest = nearest_others(centroids(members).select(F.col("cluster_id").alias("id"), F.col("centroid").alias("v"))).select(F.col("id").alias("cluster_id"), F.col("similarity").alias("nearest"))
     out = per.join(nearest, "cluster_id", "left").withColumn("nearest_cluster_similarity", F.coalesce("nearest", F.lit(0.0)))
     return out.withColumn("separation_gap", F.col("cohesion_mean") - F.col("nearest_cluster_similarity")).drop("nearest")
 

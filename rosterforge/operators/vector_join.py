@@ -145,3 +145,45 @@ def similarity_join(rows: DataFrame, threshold: float, vector: str = "final_vect
     if report is not None:
         report |= {"rows": n, "pivots": len(centres), "sent": met.count(), "compared": found.agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]}
     return found.where("a IS NOT NULL").select("a", "b", "similarity")
+
+
+def nearest_others(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id, similarity: the largest dot product of each vector (rows: id, v) with another row's; a row alone is absent.
+
+    Blocks of rows meet two by two in tasks of bounded memory, and each row's best is kept before anything is shuffled again.
+    """
+    rows = materialize(rows.select(F.col("id").cast("long").alias("id"), "v"))
+    blocks = max(1, -(-rows.count() // block_rows))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "v")
+
+    def best(batches):
+        now, held = None, []
+
+        def met():
+            side, ids = (np.array([r[k] for r in held]) for k in (0, 1))
+            vectors = np.array([r[2] for r in held], dtype=np.float64)
+            x = np.flatnonzero(side == 0)
+            y = x if now[0] == now[1] else np.flatnonzero(side == 1)
+            if not len(x) or not len(y):
+                return
+            dots = vectors[x] @ vectors[y].T
+            if now[0] == now[1]:
+                np.fill_diagonal(dots, -np.inf)
+            for at, top in ((x, dots.max(axis=1)), *(() if now[0] == now[1] else ((y, dots.max(axis=0)),))):
+                some = np.isfinite(top)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at][some]), pa.array(top[some])], names=["id", "similarity"])
+
+        for batch in batches:
+            for lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lo, hi) != now:
+                    if held:
+                        yield from met()
+                    now, held = (lo, hi), []
+                held.append(row)
+        if held:
+            yield from met()
+
+    tasks = dealt.repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+    return tasks.mapInArrow(best, "id long, similarity double").groupBy("id").agg(F.max("similarity").alias("similarity"))

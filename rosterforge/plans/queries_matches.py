@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterforge.functions.scalars import alnum_key, family_key, trigram_similarity, trigrams
 from rosterforge.operators import analytics as N
 from rosterforge.operators import lineups as L
 from rosterforge.operators import matches as M
+from rosterforge.operators import name_index as I
 from rosterforge.operators import text as X
 from rosterforge.plans.queries_lineups import _ENTRY, _SINCE, _TIME, _UNTIL, entry_strength, lineup_sql
 from rosterforge.plans.queries_search import wide_counted
 from rosterforge.plans.registry import query
+from rosterforge.plans.storage import new_folder
 from rosterforge.sources import adapter as A
 
 #: Two disjoint sets of teams that meet, and one team.
@@ -192,6 +197,55 @@ def name_suggest(spark, d):
     return X.suggest(names(spark, d), "smal")
 
 
+def _chain(text: str) -> str:
+    """The target search for text by scans: the rows of the first stage that finds any."""
+    q = text.strip().lower()
+    key = "".join(c for c in q if c.isascii() and c.isalnum())
+    flat = "regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')"
+    hit = f"list_contains(regexp_extract_all(lower(name), '[a-z0-9]+'), '{key}')" if len(key) <= 4 else f"contains({flat}, '{key}')"
+    return "(" + _NAMES + _sim(q) + f""", st AS (
+  SELECT *, 0 AS stage, (CASE WHEN lower(name) = '{q}' THEN 0 WHEN team_id::VARCHAR = '{q}' THEN 1 WHEN {flat} = '{key}' THEN 2 ELSE 3 END)::DOUBLE AS o FROM names
+    WHERE contains(lower(name), '{q}') OR team_id::VARCHAR = '{q}' OR {flat} = '{key}'
+  UNION ALL SELECT names.*, 1, -similarity FROM s JOIN names USING (team_id) WHERE similarity >= 0.3
+  UNION ALL SELECT *, 2, NULL FROM (SELECT * FROM names ORDER BY lineup_count DESC, team_id LIMIT 250) WHERE {hit})
+SELECT '{text}' AS text, row_number() OVER (ORDER BY o, lineup_count DESC, team_id)::INTEGER AS place, team_id, name, stage FROM st WHERE stage = (SELECT min(stage) FROM st) ORDER BY place LIMIT 25)"""
+
+
+#: A text that names hold, a number, a text with slips, and one whose letters and digits only are a word.
+TEXTS = ("Large ring", "17", "smal rnig", "ri-ng")
+
+
+@query(" UNION ALL ".join(map(_chain, TEXTS)))
+def name_targets(spark, d):
+    """The chain of target searches over an index of trigrams, for texts that end in each of its stages."""
+    index = I.build(names(spark, d).select(F.col("team_id").alias("id"), "name", F.col("lineup_count").alias("weight")), new_folder(spark))
+    found = (index.targets(t).select(F.lit(t).alias("text"), "place", F.col("id").alias("team_id"), "name", "stage") for t in TEXTS)
+    return reduce(DataFrame.unionByName, found)
+
+
+#: The beginning of names, and a name with a slip.
+PLAYER_TEXTS = ("Supplier#00000000", "Suplier#000000012")
+
+
+def _player_chain(text: str) -> str:
+    q = text.strip().lower()
+    return "(" + lineup_sql(2, 6).replace("WITH appearances", "WITH players AS (" + A.FRAMES["players"] + "), appearances", 1) + f""",
+names AS (SELECT player_id AS team_id, trim(display_name) AS name, count(DISTINCT support.team_id) AS teams FROM support JOIN players USING (player_id) WHERE trim(display_name) <> '' AND NOT regexp_full_match(trim(display_name), '[0-9]+') GROUP BY 1, 2)
+{_sim(q)}, st AS (SELECT *, 0 AS stage, 0.0::DOUBLE AS o FROM names WHERE starts_with(lower(name), '{q}')
+  UNION ALL SELECT names.*, 1, -similarity FROM s JOIN names USING (team_id) WHERE similarity >= 0.3 AND NOT starts_with(lower(name), '{q}'))
+SELECT '{text}' AS text, row_number() OVER (ORDER BY stage, o, teams DESC, team_id)::INTEGER AS place, team_id AS player_id, name, teams, stage FROM st ORDER BY place LIMIT 10)"""
+
+
+@query(" UNION ALL ".join(map(_player_chain, PLAYER_TEXTS)))
+def player_suggestions(spark, d):
+    """Players whose names begin with a text, and then those with similar names, by their numbers of teams."""
+    per = L.player_support(wide_counted(spark, d)).groupBy("player_id").agg(F.countDistinct("team_id").alias("weight"))
+    known = L.player_names(A.players(spark, d)).join(per, "player_id").select(F.col("player_id").alias("id"), "name", "weight")
+    index = I.build(known, new_folder(spark))
+    found = (index.suggestions(t).select(F.lit(t).alias("text"), "place", F.col("id").alias("player_id"), "name", F.col("weight").alias("teams"), "stage") for t in PLAYER_TEXTS)
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(_NAMES + "SELECT team_id, name FROM names QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY lineup_count DESC, team_id) = 1")
 def unique_names(spark, d):
     return X.unique_by_name(names(spark, d)).select("team_id", "name")

@@ -107,3 +107,14 @@ def test_greedy_choice_equals_the_loop(spark, seed, edges, min_size):
         found.setdefault(r.cluster_id, []).append(r.team_id)
     assert [sorted(found[k]) for k in sorted(found)] == want and sorted(found) == list(range(len(want)))
     assert all(r.cluster_size == len(found[r.cluster_id]) for r in got)
+
+
+@pytest.mark.parametrize("n,block", [(1, 2048), (2, 1), (90, 16), (90, 2048)])
+def test_nearest_others_equal_all_pairs(spark, n, block):
+    v = clustered()[:n]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    dots = v @ v.T
+    np.fill_diagonal(dots, -np.inf)
+    got = {r.id: r.similarity for r in V.nearest_others(df, block).collect()}
+    assert set(got) == (set(range(n)) if n > 1 else set())
+    assert all(abs(got[i] - dots[i].max()) < 1e-9 for i in got)
