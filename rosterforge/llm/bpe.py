@@ -13,6 +13,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -42,17 +43,18 @@ def pretokenize(pattern, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVE
 
 
 def stitch(pattern, text: str, starts: list[int], parts: list[list[str]], chunk: int, overlap: int) -> list[str]:
-    n, out, tokens, at = len(text), [], parts[0], 0
-    for k in range(1, len(starts)):
-        limit = min(n, starts[k - 1] + chunk + overlap) - MARGIN
+    n, out, tokens, at, k = len(text), [], parts[0], 0, 1
+    end = min(n, chunk + overlap)  # of the window that tokens were matched in, from at
+    while k < len(starts) and end < n:
+        limit = end - MARGIN
         left = {}
         sure, sure_at = 0, at
-        for i, end in enumerate(accumulate(map(len, tokens), initial=at)):
-            if end > limit:
+        for i, reached in enumerate(accumulate(map(len, tokens), initial=at)):
+            if reached > limit:
                 break
-            sure, sure_at = i, end
-            if end >= starts[k]:
-                left[end] = i
+            sure, sure_at = i, reached
+            if reached >= starts[k]:
+                left[reached] = i
         met = None
         for j, begin in enumerate(accumulate(map(len, parts[k]), initial=starts[k])):
             if begin > limit:
@@ -63,9 +65,13 @@ def stitch(pattern, text: str, starts: list[int], parts: list[list[str]], chunk:
         if met:
             out += tokens[: met[0]]
             tokens, at = parts[k][met[1] :], met[2]
-        else:  # one pre-token spans the overlap: go on from the last sure boundary
+            end = min(n, starts[k] + chunk + overlap)
+            k += 1
+        else:  # a pre-token spans the overlap: go on from the last sure boundary, in a window of twice the width, so that the work stays linear
             out += tokens[:sure]
-            tokens, at = pattern.findall(text, sure_at, min(n, starts[k] + chunk + overlap)), sure_at
+            end = min(n, max(starts[k] + chunk + overlap, sure_at + 2 * (end - sure_at)))
+            tokens, at = pattern.findall(text, sure_at, end), sure_at
+            k = max(k + 1, (end - overlap) // chunk)
     return out + tokens
 
 
@@ -82,12 +88,13 @@ class Codec:
         self.raw = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.raw[i] = token
-        self._memo: dict[str, list[int]] = {}
+        self._memo: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
+        """The ids as bytes, which are smaller to keep and quicker to join than numbers."""
         ids = self._memo.get(piece)
         if ids is None:
-            ids = self._merge(piece)
+            ids = np.array(self._merge(piece), dtype=np.int32).tobytes()
             if len(piece) <= MEMO_CHARS:
                 if len(self._memo) >= MEMO_PIECES:
                     self._memo.clear()
@@ -96,15 +103,23 @@ class Codec:
 
     def encode(self, text: str | None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
         pieces = pretokenize(self.pattern, text or "", chunk, overlap)
-        return np.fromiter(chain.from_iterable(map(self._piece, pieces)), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self._piece, pieces)), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
 
 
 def _codec(ranks: bytes, pattern: str) -> Codec:
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    return Codec(table, pattern)
+    """The codec of this worker process, which serves many tasks; the library's functions are shipped by value, so it is kept in a module made here."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_codecs_of_worker", types.ModuleType("_codecs_of_worker"))
+    key = (hash(ranks), pattern)
+    if getattr(kept, "key", None) != key:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        kept.key, kept.codec = key, Codec(table, pattern)
+    return kept.codec
 
 
 def _ids_array(parts: list[np.ndarray]) -> pa.ListArray:
@@ -126,13 +141,23 @@ def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(lengths)
 
 
+def _summed(columns: dict, ids: list[np.ndarray]) -> dict:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows with ids and decoded."""
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    return {
+        "doc_id": columns["doc_id"], "n_tokens": pa.array(map(len, ids), pa.int64()),
+        "ids_sha256": pa.array([sha(",".join(map(str, x.tolist())).encode()) for x in ids], pa.string()),
+        "decoded_sha256": pa.array([sha(x.as_buffer()) for x in columns["decoded"]], pa.string()),
+    }
+
+
 def _read_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 
 
 def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, value_col: str, kind: str) -> DataFrame:
-    """kind: encode, decode or both. The rank table (bounded by the vocabulary) is broadcast."""
+    """kind: encode, decode, both, or digests of both. The rank table (bounded by the vocabulary) is broadcast."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_read_ranks(ranks_path))
 
@@ -150,10 +175,10 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, value_col:
                     columns["ids"] = _ids_array(ids)
                 if kind != "encode":
                     columns["decoded"] = pa.array([codec.decode(x) for x in ids], type=pa.binary())
-                yield pa.RecordBatch.from_pydict(columns)
+                yield pa.RecordBatch.from_pydict(_summed(columns, ids) if kind == "digests" else columns)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(value_col).alias("value"))
-    kinds = {"encode": "ids array<int>", "decode": "decoded binary", "both": "ids array<int>, decoded binary"}
+    kinds = {"encode": "ids array<int>", "decode": "decoded binary", "both": "ids array<int>, decoded binary", "digests": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds[kind]}")
 
 
@@ -172,11 +197,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     return _run(docs, ranks_path, pattern, id_col, text_col, "both")
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of round_trip's rows."""
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of round_trip's ids and bytes, which stay in the task that made them."""
+    return _run(docs, ranks_path, pattern, id_col, text_col, "digests")

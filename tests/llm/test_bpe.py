@@ -33,7 +33,7 @@ def test_ids_and_bytes_equal_the_library(spark):
     enc = library()
     texts = [*samples(), None, "", " ", "long " * 30_000, "q" * 40_000]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(0, texts[0], "again")], "doc_id long, text string, ids string")
-    got = bpe.digests(bpe.round_trip(docs, PATH, P.PATTERN)).collect()
+    got = bpe.digests(docs, PATH, P.PATTERN).collect()
     assert len(got) == len(texts) + 1
     for r in got:
         ids = enc.encode_ordinary(texts[r.doc_id] or "")
@@ -42,6 +42,28 @@ def test_ids_and_bytes_equal_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_round_trip_gives_what_the_digests_are_of(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(samples())], "doc_id long, text string")
+    both = {r.doc_id: r for r in bpe.round_trip(docs, PATH, P.PATTERN).collect()}
+    for r in bpe.digests(docs, PATH, P.PATTERN).collect():
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, both[r.doc_id].ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(bytes(both[r.doc_id].decoded)).hexdigest()
+
+
+def test_work_is_linear_in_one_long_run():
+    """One pre-token of twenty million letters, between others: matched in windows that double."""
+    import time
+
+    pattern = regex.compile(P.PATTERN)
+    text = "ab 12 " * 5_000 + "q" * 20_000_000 + " tail!" * 5_000
+    began = time.process_time()
+    whole = pattern.findall(text)
+    plain = time.process_time() - began
+    began = time.process_time()
+    assert bpe.pretokenize(pattern, text) == whole
+    assert time.process_time() - began < 12 * plain + 2
+
+
 def test_encode_then_decode(spark):
     docs = spark.createDataFrame([(1, "Größe 1\n"), (2, None)], "doc_id long, text string")
     back = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
