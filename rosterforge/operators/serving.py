@@ -20,7 +20,7 @@ from rosterforge.functions.vectors import dot, literal
 from rosterforge.operators import entity_search as E
 from rosterforge.operators import lineups as L
 from rosterforge.operators import search as S
-from rosterforge.operators.snapshots import SnapshotStore, latest_completed
+from rosterforge.operators.snapshots import SnapshotStore
 from rosterforge.operators.vector_join import MAX_PIVOTS, SLACK, placed, sampled_pivots
 from rosterforge.plans.storage import materialize
 
@@ -75,13 +75,8 @@ class StoredSearch:
     """Searches over the serving tables of one snapshot, by default the newest completed one."""
 
     def __init__(self, store: SnapshotStore, run_id: int | None = None):
-        if run_id is None:
-            newest = latest_completed(store.runs()).select("run_id").first()
-            if newest is None:
-                raise LookupError("no completed snapshot")
-            run_id = newest.run_id
-        self.store, self.run_id = store, run_id
-        self._cells = store.read("serving_cells", run_id).collect()  # MAX_PIVOTS rows at most
+        self.store, self.run_id = store, store.current() if run_id is None else run_id
+        self._cells = store.read("serving_cells", self.run_id).collect()  # MAX_PIVOTS rows at most
 
     def _table(self, name: str) -> DataFrame:
         return self.store.read(name, self.run_id)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterforge.plans.storage import remove_tree
+from rosterforge.operators.tables import FOLDERS, conform, schema_of
+from rosterforge.plans.storage import create_new, path_exists, remove_tree
 
 DEFAULT_IDF_CAP = 3.0
 
@@ -42,13 +44,15 @@ def config_of(runs: DataFrame, run_id: int) -> DataFrame:
 
 
 class SnapshotStore:
-    """Snapshots under a folder: tables partitioned by snapshot_id, and an append-only log of run states.
+    """Snapshots under a folder: tables by snapshot_id, an append-only log of run states, and a manifest for each published snapshot.
 
-    A snapshot is published by its `completed` log row, which is written last; readers never see half of one.
+    Every write of a table goes to a folder of its own. The manifest, one file that is created once or not at all, names the folder and the number of rows of
+    each table, so a torn or repeated run is never read, and of two writers of one id one fails. The `completed` log row follows it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._written: dict[int, dict[str, dict]] = {}
 
     def _log(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, "run_id long, status string, at_ms long, teams_indexed long, message string").coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
@@ -62,16 +66,16 @@ class SnapshotStore:
             last("status"), F.min("at_ms").alias("started_at_ms"), F.max(F.when(F.col("status") != "running", F.col("at_ms"))).alias("finished_at_ms"), last("teams_indexed"), last("message"))
 
     def start(self, run_id: int, at_ms: int) -> int:
+        create_new(self.spark, f"{self.path}/claims/{run_id}", str(at_ms))
         self._log([(run_id, "running", at_ms, None, None)])
         return run_id
 
     def start_next(self, at_ms: int) -> int:
-        """Start the run after the latest one; one writer at a time."""
-        try:
-            last = self.runs().agg(F.max("run_id")).first()[0] or 0
-        except AnalysisException:  # no run yet
-            last = 0
-        return self.start(last + 1, at_ms)
+        """Start the run after the latest one; an id that another writer has claimed is left to it."""
+        run_id = 1 + ((self.runs().agg(F.max("run_id")).first()[0] or 0) if path_exists(self.spark, f"{self.path}/runs") else 0)
+        while not create_new(self.spark, f"{self.path}/claims/{run_id}", str(at_ms)):
+            run_id += 1
+        return self.start(run_id, at_ms)
 
     @contextmanager
     def failing(self, run_id: int, at_ms: int) -> Iterator[None]:
@@ -83,24 +87,59 @@ class SnapshotStore:
             raise
 
     def mark(self, run_id: int, status: str, at_ms: int, teams_indexed: int | None = None, message: str | None = None) -> None:
+        """Log a state; `completed` publishes what this store has written for the run."""
+        if status == "completed":
+            self._publish_manifest(run_id)
         self._log([(run_id, status, at_ms, teams_indexed, message)])
 
-    def write(self, run_id: int, table: str, rows: DataFrame, folders: str | None = None) -> None:
-        """folders: the column by whose values the table's rows lie in folders of their own."""
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(folders) if folders else writer).parquet(f"{self.path}/{table}/snapshot_id={run_id}")
+    def write(self, run_id: int, table: str, rows: DataFrame, folders: str | None = None) -> int:
+        """Write a table of a run, as declared if it is; returns its number of rows. folders: the column by whose values its rows lie in folders of their own."""
+        folder = f"{table}/snapshot_id={run_id}/write={uuid.uuid4().hex}"
+        seen, folders = Observation(), folders or FOLDERS.get(table)
+        writer = conform(rows, table).observe(seen, F.count(F.lit(1)).alias("rows")).write
+        (writer.partitionBy(folders) if folders else writer).parquet(f"{self.path}/{folder}")
+        self._written.setdefault(run_id, {})[table] = {"folder": folder, "rows": seen.get["rows"]}
+        return seen.get["rows"]
+
+    def _publish_manifest(self, run_id: int) -> None:
+        tables = self._written.pop(run_id, {})
+        if not create_new(self.spark, self._manifest_path(run_id), json.dumps({"run_id": run_id, "tables": tables})):
+            raise FileExistsError(f"snapshot {run_id} is published already")
+
+    def _manifest_path(self, run_id: int) -> str:
+        return f"{self.path}/manifests/{run_id}.json"
+
+    def manifest(self, run_id: int) -> dict[str, dict]:
+        """folder and rows of each table of a published snapshot; the writer of one that isn't published sees what it has written."""
+        if run_id in self._written:
+            return self._written[run_id]
+        path = self._manifest_path(run_id)
+        if not path_exists(self.spark, path):
+            raise LookupError(f"snapshot {run_id} is not published")
+        return json.loads(self.spark.read.text(path).first().value)["tables"]
 
     def publish(self, run_id: int, tables: dict[str, DataFrame], at_ms: int) -> None:
         """Write all tables of a run, then complete it; any error marks it failed and is raised again."""
         with self.failing(run_id, at_ms):
-            for name, rows in tables.items():
-                self.write(run_id, name, rows)
-            n = self.read("embeddings", run_id).count() if "embeddings" in tables else None
-        self.mark(run_id, "completed", at_ms, n)
+            rows = {name: self.write(run_id, name, frame) for name, frame in tables.items()}
+            self._publish_manifest(run_id)
+        self._log([(run_id, "completed", at_ms, rows.get("embeddings"), None)])
 
     def read(self, table: str, run_id: int) -> DataFrame:
-        """One snapshot's table; the filter prunes to its folder."""
-        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}/snapshot_id={run_id}")
+        """One snapshot's table, with the declared columns if it is declared."""
+        folder, schema = f"{self.path}/{self.manifest(run_id)[table]['folder']}", schema_of(table)
+        return (self.spark.read.schema(schema) if schema else self.spark.read).option("basePath", folder).parquet(folder)
+
+    def current(self) -> int:
+        """The newest completed run."""
+        newest = latest_completed(self.runs()).select("run_id").first()
+        if newest is None:
+            raise LookupError("no completed snapshot")
+        return newest.run_id
+
+    def clusters(self, profile: str, run_id: int | None = None) -> DataFrame:
+        """team_id, cluster_id, cluster_size and others of one profile, by default of the newest completed snapshot; one folder is read."""
+        return self.read("clusters", self.current() if run_id is None else run_id).where(F.col("profile") == profile)
 
     def retain(self, keep: int, tables: tuple[str, ...]) -> list[int]:
         """Delete the tables of completed runs beyond the newest keep; returns their ids (a handful a call)."""
@@ -108,6 +147,7 @@ class SnapshotStore:
         for run_id in old:
             for name in tables:
                 remove_tree(self.spark, f"{self.path}/{name}/snapshot_id={run_id}")
+            remove_tree(self.spark, self._manifest_path(run_id))
         if old:
             now = self.runs().agg(F.max("finished_at_ms")).collect()[0][0] or 0
             self._log([(r, "deleted", now + 1, None, None) for r in old])
@@ -144,12 +184,12 @@ def identifier(name: str) -> str:
 
 
 def mirror(source: DataFrame, path: str) -> int:
-    """Copy a table to path and check the count; returns it."""
-    source.write.mode("overwrite").parquet(path)
-    spark = source.sparkSession
-    wrote, there = spark.read.parquet(path).count(), source.count()
+    """Copy a table to path in one pass over the source, and compare what was seen on the way with what lies there; returns the number of rows."""
+    seen = Observation()
+    source.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    wrote, there = seen.get["rows"], source.sparkSession.read.schema(source.schema).parquet(path).count()  # a count is read from the files' ends
     if wrote != there:
-        raise RuntimeError(f"copied {wrote} of {there} rows to {path}")
+        raise RuntimeError(f"saw {wrote} rows, {there} lie in {path}")
     return wrote
 
 

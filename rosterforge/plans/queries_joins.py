@@ -11,6 +11,7 @@ from rosterforge.operators import serving
 from rosterforge.operators.set_join import sharing_pairs
 from rosterforge.operators.snapshots import SnapshotStore
 from rosterforge.operators.vector_join import similarity_join
+from rosterforge.plans.queries_lineups import lineups
 from rosterforge.plans.queries_search import _CLUSTERS, _DOT, _RERANK, _ROSTER, _TOP, PLAYERS, SCORES, anchor_vector, counted, recursive, top_rows, wide_counted
 from rosterforge.plans.registry import query
 from rosterforge.plans.storage import materialize, new_folder
@@ -103,3 +104,11 @@ def stored_entity_search(spark, d):
     rows = materialize(R.embeddings(counts, L.player_support(counts), R.Settings()))
     out = stored(spark, rows, counts).entity_search(PLAYERS, top_n=10)
     return out.select("place", "group_id", "team_id", "team_ids", "relaxed", "lineup_count", *(F.round(c, 5).alias(c) for c in SCORES))
+
+
+@query(recursive(_TOP, "el", "top", _CLUSTERS))
+def stored_family_profile(spark, d):
+    """The family profile of the newest snapshot of a store, after a refresh: one folder of its clusters is read."""
+    store = SnapshotStore(spark, new_folder(spark))
+    R.refresh(store, L.variants(lineups(spark, d, 3, 6)), 1_700_000_000_000, R.Settings(semantic_dim=16, identity_dim=48))
+    return store.clusters("family").select("team_id", "cluster_id", "cluster_size")

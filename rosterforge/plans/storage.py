@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,25 @@ def remove_tree(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small ASCII file that doesn't exist yet; False, and nothing written, where it does: of several writers one succeeds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.writeBytes(text)
+    out.close()
+    return True
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def clear_intermediates(spark: SparkSession) -> None:
     """Remove all intermediate tables of this session; for the end of a job, when its results are saved."""
     base = shared_dir(spark)
