@@ -118,13 +118,13 @@ def _compare(threshold: float, rho: float):
 def similarity_join(rows: DataFrame, threshold: float, vector: str = "final_vector", pivots: int | None = None, block_rows: int = BLOCK_ROWS, report: dict | None = None) -> DataFrame:
     """a, b (a < b), similarity: all pairs of vectors (rows: team_id, vector) with a dot product of threshold or more.
 
-    pivots: by default the square root of the number of rows, MAX_PIVOTS at most. report gets rows, pivots, sent (rows dealt, visits included)
+    pivots: by default half the number of rows, MAX_PIVOTS at most: a vector with a pivot nearby visits few cells. report gets rows, pivots, sent (rows dealt, visits included)
     and compared (pairs of vectors).
     """
     spark = rows.sparkSession
     rows = materialize(rows.select("team_id", F.col(vector).alias("v")).where(F.col("v").isNotNull()))
     n = rows.count()
-    centres = sampled_pivots(rows, "v", min(MAX_PIVOTS, max(1, pivots or math.isqrt(n))))
+    centres = sampled_pivots(rows, "v", min(MAX_PIVOTS, max(1, pivots or n // 2)))
     empty = "a long, b long, similarity double"
     if not len(centres):
         return spark.createDataFrame([], empty)

@@ -22,12 +22,12 @@ def lineups(n=220, players=40, hot=True):
     return [*rows, (n, [1, 2, 3, 4], "x"), (n + 1, [4, 3, 2, 1], "x"), (n + 2, [], "x"), (n + 3, None, "x")]
 
 
-@pytest.mark.parametrize("shared,block", [(1, 7), (2, 4096), (3, 5)])
-def test_sharing_pairs_equal_all_pairs(spark, shared, block):
+@pytest.mark.parametrize("shared,block,depth", [(1, 7, 2), (2, 4096, 2), (3, 5, 2), (3, 6, 1)])
+def test_sharing_pairs_equal_all_pairs(spark, shared, block, depth):
     rows = lineups()
     df = spark.createDataFrame(rows, "team_id long, lineup array<long>, p string")
     want = {(a[0], b[0]): n for a, b in combinations(rows, 2) if (n := len(set(a[1] or ()) & set(b[1] or ()))) >= shared}
-    got = S.sharing_pairs(df, shared, block_sets=block).collect()
+    got = S.sharing_pairs(df, shared, block_sets=block, depth=depth).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.shared for r in got} == want
 
 
@@ -69,7 +69,7 @@ def test_similarity_join_skips_far_cells(spark):
     v = centres[np.arange(600) % 20] + 0.1 * rng.normal(size=(600, 32))
     v /= np.linalg.norm(v, axis=1)[:, None]
     report = {}
-    pairs = V.similarity_join(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "team_id long, final_vector array<double>"), 0.94, report=report).count()
+    pairs = V.similarity_join(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "team_id long, final_vector array<double>"), 0.94, pivots=24, report=report).count()
     assert pairs == (np.triu(v @ v.T, 1) >= 0.94).sum()
     assert report["compared"] < 600 * 599 / 2 / 4 and report["sent"] < 3 * 600
 
