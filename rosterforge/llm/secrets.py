@@ -7,6 +7,9 @@ characters, how much of the value dictionary words cover, signs of a path in the
 and the one after it, and the kind of candidate. The forest is trained here on labelled findings: real-looking and false findings, drawn
 by a seeded generator (TRAINING_ROWS of them, the bound of the sample).
 
+A key block is its header, the header fields that an encrypted or armoured key may have, and its base64 up to the footer. Without a footer
+it is the header with the unbroken lines of 16 or more base64 characters behind it; whatever follows is searched like any other text.
+
 Defined cases: null and empty texts have no candidates; a candidate that repeats in a text counts each time; every row is a
 document, whether its id is null, repeated or not; texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
@@ -35,20 +38,32 @@ NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?k
 #: A telling name with what may follow it up to the value.
 ASSIGNED = rf"(?i:{NAMES})[0-9A-Za-z_-]{{0,30}}[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*[\"']?"
 PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
-KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+KEY_BLOCK = r"-----BEGIN [0-9A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+KEY_END = r"-----END [0-9A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+#: White space between the parts of a key block, line breaks written as escapes included.
+BREAK = r"(?:\s|\\r|\\n)"
+#: Header fields of encrypted keys (without spaces in their values) and of armoured ones (to the end of their line).
+KEY_FIELDS = (
+    rf"(?:{BREAK}+(?:(?:Proc-Type|DEK-Info|Content-Domain|Key-Info):[ \t]*[^\s\\]{{1,100}}"
+    r"|(?:Version|Comment|Charset|Hash|MessageID):(?:[^\r\n\\:=]|://){0,100}(?=[\r\n\\]))){0,8}+"
+)
+#: The base64 of a closed block: an equals sign stands only in its padding and checksum.
+KEY_BODY = rf"[0-9A-Za-z+/\s\\.]*+(?:=[0-9A-Za-z+/=\s\\]{{0,20}}+)?{KEY_END}"
+KEY_LINES = rf"(?:{BREAK}++[0-9A-Za-z+/]{{16,}}+={{0,2}}+(?![^\s\\\"',]))*+"
 BEARER = r"\b(?i:bearer|basic)[ \t]+"
 URL_USER = r"\b[A-Za-z][0-9A-Za-z+.-]{1,20}://[^\s/:@\"']{1,64}:"
 #: Candidates: a key block, an authorisation, a name and its value, a known prefix, a URL with a password, a long string.
-CANDIDATE = "|".join((
-    rf"{KEY_BLOCK}[^-]*(?:-----END [A-Z ]{{0,20}}PRIVATE KEY-----)?",
+PATTERNS = (
+    rf"{KEY_BLOCK}{KEY_FIELDS}(?:{KEY_BODY}|{KEY_LINES})",
     rf"{BEARER}[0-9A-Za-z._~+/=-]{{16,}}",
     rf"{ASSIGNED}[^\s\"',;]{{6,}}",
     rf"\b(?:{PREFIXED})\b",
     rf"{URL_USER}[^\s/@\"']{{3,}}@",
     r"(?<![0-9A-Za-z+/_=.-])[0-9A-Za-z+/_-]{32,}={0,2}",
-))
+)
+CANDIDATE = "|".join(PATTERNS)
 #: What every text with a candidate holds.
-LIKELY = rf"(?i:{NAMES}|bearer|basic|://)|{PREFIXED}|PRIVATE KEY-----|[0-9A-Za-z+/_-]{{32}}"
+LIKELY = rf"(?i:{NAMES}|bearer|basic|://)|{PREFIXED}|PRIVATE KEY(?: BLOCK)?-----|[0-9A-Za-z+/_-]{{32}}"
 
 #: Common words that make a value look like prose or a placeholder.
 DICTIONARY = (
@@ -98,7 +113,7 @@ def features(value: Column, before: Column, after: Column, kind: Column, path: C
     classes = _classes(value)
     runs = F.regexp_replace(F.translate(classes, "2", "1"), r"(.)\1+", "$1")
     table = F.array(*map(F.lit, ratios))
-    steps = let(F.split(classes, "").cast("array<int>"), lambda c: F.aggregate(
+    steps = let(F.filter(F.split(classes, ""), lambda c: c != "").cast("array<int>"), lambda c: F.aggregate(
         F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.get(table, (a - 1) * CLASSES + b - 1)),
         F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)),
     ))
@@ -217,7 +232,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .when(finding.rlike(f"^{ASSIGNED}"), "named").when(finding.rlike(f"^{URL_USER}.*@$"), "url").otherwise("bare")
     )
     value = (
-        F.when(F.col("kind") == "block", F.regexp_replace("finding", r"-----[A-Z ]+-----", ""))
+        F.when(F.col("kind") == "block", F.regexp_replace("finding", f"^{KEY_BLOCK}{KEY_FIELDS}|{KEY_END}$", ""))
         .when(F.col("kind") == "bearer", F.regexp_replace("finding", f"^{BEARER}", ""))
         .when(F.col("kind") == "named", F.regexp_replace("finding", f"^{ASSIGNED}", ""))
         .when(F.col("kind") == "url", F.regexp_extract("finding", r"^[^:]+://[^:]+:(.*)@$", 1))
