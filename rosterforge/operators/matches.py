@@ -87,12 +87,12 @@ def match_rounds(matches: DataFrame, rounds: DataFrame) -> DataFrame:
     return rows.select("match_id", F.coalesce("number", "map_index").alias("round_no"), "map_index", "maps_count", "map_mode")
 
 
-def running_map_index(rounds: DataFrame) -> DataFrame:
-    """map_index per match where none was given, counted on from the last explicit one."""
-    per = Window.partitionBy("match_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+def running_map_index(rounds: DataFrame, key: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """map_index per match where none was given, counted on from the last explicit one; positions are consecutive."""
+    per = Window.partitionBy(*key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     anchor = F.max(F.when(F.col("map_index").isNotNull(), F.col("position"))).over(per)
     last = F.last("map_index", ignorenulls=True).over(per)
-    index = F.coalesce("map_index", last + F.col("position") - anchor, F.row_number().over(Window.partitionBy("match_id").orderBy("position")))
+    index = F.coalesce("map_index", last + F.col("position") - anchor, F.row_number().over(Window.partitionBy(*key).orderBy("position")))
     return rounds.withColumn("map_index", index)
 
 

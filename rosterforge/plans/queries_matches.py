@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from rosterforge.operators import analytics as N
 from rosterforge.operators import lineups as L
 from rosterforge.operators import matches as M
 from rosterforge.operators import name_index as I
+from rosterforge.operators import rounds as R
 from rosterforge.operators import text as X
 from rosterforge.plans.queries_lineups import _ENTRY, _SINCE, _TIME, _UNTIL, entry_strength, lineup_sql
 from rosterforge.plans.queries_search import wide_counted
@@ -115,6 +117,46 @@ def match_rounds(spark, d):
     return M.match_rounds(A.matches(spark, d), A.rounds(spark, d))
 
 
+@contextmanager
+def views(**frames: DataFrame):
+    """Frames as temporary views, for as long as a catalog look-up takes."""
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+    try:
+        yield
+    finally:
+        for name, frame in frames.items():
+            frame.sparkSession.catalog.dropTempView(name)
+
+
+_SEEN = f""", seen AS (SELECT match_id, round_id AS m_round, coalesce(tournament_id, 0) AS tournament_id, team1_score, team2_score, winner_team_id AS m_winner, team1_id IN {ids(TEAM_A)} AS f,
+  CASE WHEN team1_id IN {ids(TEAM_A)} THEN team1_id WHEN team2_id IN {ids(TEAM_A)} THEN team2_id END AS a,
+  CASE WHEN team1_id IN {ids(TEAM_A)} THEN CASE WHEN team2_id IN {ids(TEAM_B)} THEN team2_id END WHEN team2_id IN {ids(TEAM_A)} THEN CASE WHEN team1_id IN {ids(TEAM_B)} THEN team1_id END END AS b FROM matches)"""
+_SIDED = """SELECT match_id, tournament_id, round_id, round_no, map_index, maps_count, map_name, map_mode, CASE WHEN f THEN s1 ELSE s2 END AS team_a_score, CASE WHEN f THEN s2 ELSE s1 END AS team_b_score, winner_team_id,
+coalesce(CASE WHEN winner_team_id = a THEN 'team_a' WHEN winner_team_id = b THEN 'team_b' END, told, CASE WHEN (s1 > s2) = f AND s1 <> s2 THEN 'team_a' WHEN s1 <> s2 THEN 'team_b' END) AS winner_side FROM w"""
+
+
+@query(A.with_frames("matches", "rounds") + _SEEN + """, e AS (SELECT seen.*, r.round_id, number, maps_type, least(greatest(coalesce(maps_count, 1), 1), 20) AS n FROM seen LEFT JOIN rounds r ON m_round = r.round_id),
+w AS (SELECT *, coalesce(number, i) AS round_no, i AS map_index, n AS maps_count, NULL::VARCHAR AS map_name, maps_type AS map_mode, team1_score AS s1, team2_score AS s2, m_winner AS winner_team_id, NULL::VARCHAR AS told
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM e))
+""" + _SIDED)
+def catalog_rounds(spark, d):
+    """A rounds table with the numbers of maps is preferred to a table of maps."""
+    with views(rounds=A.rounds(spark, d), match_games=A.match_games(spark, d)):
+        return R.rounds_of(spark, A.matches(spark, d), TEAM_A, TEAM_B)
+
+
+@query(A.with_frames("matches", "match_games") + _SEEN + """, g AS (SELECT seen.*, map_number AS n, mode, g.team1_points AS s1, g.team2_points AS s2, CASE WHEN victor = 'left' THEN 'team_a' WHEN victor = 'TEAM2' THEN 'team_b' END AS told, victor FROM match_games g JOIN seen USING (match_id)),
+w AS (SELECT *, NULL::BIGINT AS round_id, n AS round_no, NULL::BIGINT AS maps_count, NULL::VARCHAR AS map_name, mode AS map_mode, NULL::BIGINT AS winner_team_id,
+  coalesce(n, coalesce(max(n) OVER (PARTITION BY match_id), 0) + row_number() OVER (PARTITION BY match_id, n IS NULL ORDER BY mode, s1, s2, victor)) AS map_index FROM g)
+""" + _SIDED)
+def catalog_rounds_of_candidates(spark, d):
+    """Without a rounds table the second candidate is taken, as it tells more than the first."""
+    games = A.match_games(spark, d)
+    with views(match_maps=games.select("match_id", F.col("mode").alias("map_label")), match_games=games):
+        return R.rounds_of(spark, A.matches(spark, d), TEAM_A, TEAM_B)
+
+
 _LAB = A.with_frames("matches", "cluster_map") + f""", s AS (SELECT CASE WHEN team1_id IN {ids(SCOPE)} THEN team2_id ELSE team1_id END AS opponent_team_id, (winner_team_id IN {ids(SCOPE)})::BIGINT AS is_win
   FROM matches WHERE winner_team_id IS NOT NULL AND ((team1_id IN {ids(SCOPE)}) <> (team2_id IN {ids(SCOPE)}))),
 own AS (SELECT min(cluster_id) AS c FROM cluster_map WHERE team_id IN {ids(SCOPE)} AND cluster_id >= 0),

@@ -116,6 +116,16 @@ def roster_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(month_id(F.col("l_shipdate")).alias("tournament_id"), (F.col("l_suppkey") + 1).alias("player_id")).distinct()
 
 
+def match_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_id, map_number (missing for two thirds), mode, points of both sides, victor: one row for each line of an order."""
+    key, line, points = F.col("l_orderkey"), F.col("l_linenumber"), F.floor(F.col("l_quantity")).cast("long")
+    victor = F.when(key % 4 == 0, "left").when(key % 4 == 1, "TEAM2").when(key % 4 == 2, "nobody")
+    return read(spark, sf_dir, "lineitem").select(
+        (key - key % 2 + 1).alias("match_id"), F.when(line % 3 == 1, line).cast("long").alias("map_number"), F.col("l_returnflag").alias("mode"),
+        (points % 3).alias("team1_points"), (points % 2).alias("team2_points"), victor.alias("victor"),
+    )
+
+
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """round_id 1..50 with number, maps_count and maps_type."""
     return spark.range(1, 51).select(
@@ -220,6 +230,8 @@ FRAMES = {
     "player_rankings": """SELECT s_suppkey + 1 AS player_id, s_acctbal + x AS score, (CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE floor((10000 - s_acctbal) / 100) + 1 END) + 5 * x AS player_rank, 2000 - 1000 * x AS calculated_at_ms
         FROM supplier, (VALUES (0), (1)) v(x)""",
     "roster_entries": "SELECT DISTINCT (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS tournament_id, l_suppkey + 1 AS player_id FROM lineitem",
+    "match_games": """SELECT l_orderkey - l_orderkey % 2 + 1 AS match_id, CASE WHEN l_linenumber % 3 = 1 THEN l_linenumber END::BIGINT AS map_number, l_returnflag AS mode, floor(l_quantity)::BIGINT % 3 AS team1_points,
+        floor(l_quantity)::BIGINT % 2 AS team2_points, CASE l_orderkey % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'TEAM2' WHEN 2 THEN 'nobody' END AS victor FROM lineitem""",
     "rounds": "SELECT i AS round_id, CASE WHEN i % 9 = 0 THEN NULL ELSE i % 6 + 1 END AS number, CASE WHEN i % 4 = 0 THEN NULL ELSE i % 30 - 2 END AS maps_count, CASE WHEN i % 2 = 0 THEN 'BEST_OF' ELSE 'PLAY_ALL' END AS maps_type FROM range(1, 51) r(i)",
     "snapshot": """SELECT team_id, cluster_id, v AS final_vector, [x / sn for x in v[1:32]] AS semantic_vector, [x / idn for x in v[33:64]] AS identity_vector,
         (team_id - 1) % 17 + 1 AS lineup_count, (team_id - 1) % 5 + 1 AS distinct_lineup_count, ((team_id - 1) % 9 + 1) / 10.0::DOUBLE AS top_lineup_share, ((team_id - 1) % 11) / 10.0::DOUBLE AS lineup_entropy,
