@@ -9,6 +9,9 @@ from rosterforge.functions.scalars import alnum_key, tokens, trigram_similarity,
 
 TRIGRAM_THRESHOLD = 0.3
 
+#: Most teams of a tournament that one list may show.
+MAX_TEAMS = 700
+
 
 def name_search(names: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """team_id, priority of rows (team_id, name, lineup_count): exact name, id, same letters and digits, then containment."""
@@ -70,6 +73,31 @@ def tournament_teams(entries: DataFrame, tournament_id: int, text: str | None =
     return rows.orderBy(F.col("name").asc_nulls_last(), "team_id").limit(limit).select("team_id", "name")
 
 
+def listed_tournament_teams(entries: DataFrame, rosters: DataFrame, tournament_id: int, text: str = "", limit: int = 100) -> DataFrame:
+    """team_id, team_name, display_name, lineup_count, event_time_ms, member_user_ids, member_names, source of a tournament's teams.
+
+    Rows of entries (tournament_id, team_id, name, lineup_count, event_time_ms) that text names come first, the ones with most lineups; only
+    if there are none, the remote rosters that text names, in the order of their payload. A text without letters and digits passes all rows;
+    limit is held between 1 and 700.
+    """
+    most, q = max(1, min(limit, MAX_TEAMS)), text.strip().lower()
+    key, name = alnum_key(F.lit(q)), F.lower(F.coalesce("name", F.lit("")))
+    wanted = (key == "") | name.contains(q) | (alnum_key(name) == key)
+    none = lambda kind: F.lit(None).cast(kind)
+    shown = F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(F.col("team_id").cast("string"))
+    known = entries.where((F.col("tournament_id") == tournament_id) & wanted).orderBy(F.desc("lineup_count"), F.col("name").asc_nulls_last(), "team_id").limit(most).select(
+        "team_id", shown.alias("team_name"), shown.alias("display_name"), F.coalesce("lineup_count", F.lit(0)).cast("long").alias("lineup_count"), "event_time_ms",
+        F.array().cast("array<long>").alias("member_user_ids"), F.array().cast("array<string>").alias("member_names"), F.lit("dataset").alias("source"),
+    )
+    unknown = known.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(tournament_id).cast("long").alias("tournament_id"))
+    remote = remote_team_match(rosters.where(F.col("tournament_id") == tournament_id), text).join(F.broadcast(unknown), "tournament_id", "left_semi")
+    fallback = remote.orderBy("position", "team_id").limit(most).select(
+        "team_id", "team_name", "display_name", F.lit(0).cast("long").alias("lineup_count"), none("long").alias("event_time_ms"),
+        "member_user_ids", "member_names", F.lit("remote").alias("source"),
+    )
+    return known.unionByName(fallback)
+
+
 def remote_team_match(teams: DataFrame, text: str) -> DataFrame:
     """Remote roster rows that text names, by team_name, display_name or one of member_names (as far as teams has these columns).
 

@@ -20,6 +20,7 @@ from rosterforge.plans.queries_search import wide_counted
 from rosterforge.plans.registry import query
 from rosterforge.plans.storage import new_folder
 from rosterforge.sources import adapter as A
+from rosterforge.sources.roster_source import rosters
 
 #: Two disjoint sets of teams that meet, and one team.
 TEAM_A, TEAM_B, SCOPE = list(range(1, 60)), list(range(60, 200)), [5, 11]
@@ -314,6 +315,62 @@ def tournament_teams(spark, d):
     return X.tournament_teams(entries, fourth, "00")
 
 
+#: Teams of one remote tournament, and the id of the first one; no tournament of the tables has such an id.
+REMOTE_TEAMS, FIRST_REMOTE = 200, 900_000
+
+
+def payload_files(spark, d) -> str:
+    """A folder of payload files: every REMOTE_TEAMS customers in a row make a remote tournament, with their nation as second member."""
+    key = F.col("c_custkey")
+    member = lambda i, name, game: F.struct(i.alias("userId"), name.alias("username"), game.alias("inGameName"))
+    team = F.struct(
+        (key + 1).alias("id"), F.when(key % 5 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
+        F.array(member(key * 2 + 1, F.col("c_mktsegment"), F.lower("c_mktsegment")), member(F.col("c_nationkey") + 0, F.concat(F.lit("n"), F.col("c_nationkey")), F.lit(" "))).alias("members"),
+    )
+    rows = A.read(spark, d, "customer").select(F.floor(key / REMOTE_TEAMS + FIRST_REMOTE).cast("long").alias("tournament_id"), key, team.alias("team"))
+    teams = rows.groupBy("tournament_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "team"))), lambda x: x["team"]).alias("teams"))
+    inner = F.to_json(F.struct(F.struct(F.struct("teams").alias("ctx")).alias("tournament")))
+    quoted = F.to_json(F.array(inner))  # a JSON text in a list, whose brackets go
+    payload = F.concat(F.lit('[{"_1":2},"rosters",{"_3":4},"data",'), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit("]"))
+    folder = new_folder(spark)
+    teams.select("tournament_id", payload.alias("value")).write.partitionBy("tournament_id").text(folder)
+    return folder
+
+
+_ROSTERS = f"""r AS (SELECT c_custkey // {REMOTE_TEAMS} + {FIRST_REMOTE} AS tournament_id, c_custkey % {REMOTE_TEAMS} AS position, c_custkey + 1 AS team_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS team_name,
+  CASE WHEN c_custkey % 5 = 0 THEN '[No team name] ' || c_mktsegment || ' / n' || c_nationkey ELSE c_name END AS display_name, CASE WHEN c_nationkey > 0 AND c_nationkey <> c_custkey * 2 + 1 THEN (c_custkey * 2 + 1) || ',' || c_nationkey ELSE (c_custkey * 2 + 1)::VARCHAR END AS member_user_ids,
+  c_mktsegment || ',n' || c_nationkey AS member_names FROM customer)"""
+
+
+def joined_lists(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"member_user_ids": F.array_join(F.col("member_user_ids").cast("array<string>"), ","), "member_names": F.array_join("member_names", ",")})
+
+
+@query("WITH " + _ROSTERS + " SELECT * FROM r")
+def remote_rosters(spark, d):
+    """All payload files, read as a data source."""
+    return joined_lists(rosters(spark, payload_files(spark, d))).withColumn("position", F.col("position").cast("long"))
+
+
+_LISTED = f"""SELECT '{{w}}' AS asked, team_id, team_name, display_name, 0::BIGINT AS lineup_count, NULL::BIGINT AS event_time_ms, member_user_ids, member_names, 'remote' AS source FROM r WHERE tournament_id = {FIRST_REMOTE} AND {{c}}"""
+
+
+@query(A.with_frames("tournament_teams", "tournaments", "match_rows") + ", " + _ROSTERS + f""", e AS (SELECT e.tournament_id, team_id, e.name, start_time_ms, count(o_orderkey) AS n FROM tournament_teams e JOIN tournaments USING (tournament_id)
+  JOIN orders o ON o_custkey + 1 = team_id AND year(o_orderdate) * 12 + month(o_orderdate) = e.tournament_id WHERE e.tournament_id = {_T} AND contains(lower(e.name), '00') GROUP BY 1, 2, 3, 4 ORDER BY n DESC, e.name, team_id LIMIT 50)
+SELECT 'dataset' AS asked, team_id, name AS team_name, name AS display_name, n AS lineup_count, start_time_ms AS event_time_ms, '' AS member_user_ids, '' AS member_names, 'dataset' AS source FROM e
+UNION ALL """ + _LISTED.format(w="remote", c="position < 150") + " UNION ALL " + _LISTED.format(w="member", c="member_names LIKE '%,n1%'"))
+def tournament_teams_or_remote(spark, d):
+    """Three look-ups: a tournament of the tables, a remote one, and teams of a remote one by a member's name."""
+    entries = A.tournament_teams(spark, d).join(A.tournaments(spark, d).select("tournament_id", F.col("start_time_ms").alias("event_time_ms")), "tournament_id")
+    counts = A.read(spark, d, "orders").groupBy((F.col("o_custkey") + 1).alias("team_id"), A.month_id(F.col("o_orderdate")).alias("tournament_id")).agg(F.count(F.lit(1)).alias("lineup_count"))
+    entries = entries.join(counts, ["team_id", "tournament_id"])
+    fourth = entries.agg(F.min("tournament_id") + 3).collect()[0][0]  # one number
+    folder = payload_files(spark, d)
+    asked = (("dataset", fourth, "00", 50), ("remote", FIRST_REMOTE, " ", 150), ("member", FIRST_REMOTE, "N1", 700))
+    lists = [X.listed_tournament_teams(entries, rosters(spark, folder, t), t, q, n).withColumn("asked", F.lit(name)) for name, t, q, n in asked]
+    return joined_lists(reduce(DataFrame.unionByName, lists))
+
+
 _REMOTE = """WITH t AS (SELECT p_partkey + 1 AS team_id, unnest([p_name, p_brand, p_type]) AS label FROM part),
 m AS (SELECT team_id, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS k, regexp_extract_all(lower(label), '[a-z0-9]+') AS tok FROM t)
 SELECT DISTINCT team_id FROM m WHERE {}"""
