@@ -2,17 +2,17 @@
 
 A text is normalised (case, copyright notices, list markers, punctuation, equivalent spellings), and the digest of the entire
 normalised text is joined to the digests of known texts: license texts, the headers by which the longer licenses are applied, and the
-sentences that name a license. The texts looked up are every line of a document and every run of consecutive blocks (parts between
-blank lines), so that a license of several paragraphs is found inside a longer document, too. Lines without any word of a notice, and runs that do not open
-like a known text or with a copyright notice, are passed over before they are normalised. The known table is small by
+sentences that name a license. The texts looked up are every line of a document, every sentence in a line, and every run of consecutive lines,
+so that a license of several paragraphs is found inside a longer document, too, with or without blank lines around it. Lines and sentences without any word of
+a notice, and runs that do not open like a known text or with a copyright notice, are passed over before they are normalised. The known table is small by
 construction (the lists below), so its broadcast is bounded.
 
-Known by their whole text: MIT, ISC, BSD-2-Clause, BSD-3-Clause, Zlib, Unlicense, BSL-1.0, 0BSD. By the header that applies them: Apache-2.0, GPL, LGPL, AGPL,
-MPL-2.0. All of these and the Creative Commons licenses: by name, in a sentence of the forms below. A bare name is a notice only if it
-holds a version or the word license; "MIT" alone is none.
+Known by their whole text: MIT, ISC, BSD-2-Clause, BSD-3-Clause, Zlib, Unlicense, BSL-1.0, 0BSD, and as published (`LONG`) Apache-2.0, GPL-2.0, GPL-3.0, LGPL-2.1,
+LGPL-3.0, MPL-2.0, CC0-1.0. By the header that applies them: Apache-2.0, GPL, LGPL, AGPL, MPL-2.0. All of these and the Creative Commons licenses: by
+name, in a sentence of the forms below. A bare name is a notice only if it holds a version or the word license; "MIT" alone is none.
 
-Defined cases: null and blank texts match nothing; a license found in several texts counts once for each; a block of
-one line is that line only; every row is a document, whether its id is null, repeated or not; texts are read whole; an empty table gives an
+Defined cases: null and blank texts match nothing; a license found in several texts counts once for each, and once in a line; a run has two
+lines at least; every row is a document, whether its id is null, repeated or not; texts are read whole; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -37,7 +37,7 @@ BEGINNERS = "work software program project file code document text content page
 STEPS = (
     (_SIGN + r"[^\n]*?(\n|" + "|".join(OPENINGS) + r"|$)", " $5"),
     (r"all rights reserved\.?", " "),
-    (r"(^|\n)[ \t]*(\(?[0-9a-z]\)|[0-9]\.|\*|-)[ \t]+", "$1"),
+    (r"(^|\n)[^a-z0-9\n]*([0-9a-z]\)|[0-9]\.)[ \t]+", "$1"),  # behind the signs of a comment, too
     (r"https?://", " "),
     (r"[^a-z0-9]+", " "),
     (r"\b(sub ?)?licenc(e|es|ed|ing)\b", "$1licens$2"),
@@ -170,6 +170,24 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "LGPL-3.0": _header("library", "GNU Lesser General Public License", "3"),
     "AGPL-3.0": _header("program", "GNU Affero General Public License", "3"),
 }
+#: Letters of the first words of a long text by which a run is taken for a copy of it.
+HEAD_LETTERS = 24
+#: Whole texts of the longer licenses as published, without and with what is behind their terms (fixed values): least and most letters of its lines, normalised one
+#: by one (line by line to word by word), first letters, digest of the normalised text, license id.
+LONG = (
+    (8199, 8363, "apachelicense2january200", "0cc04caad0d15cc9f74aa2d96ecc841f", "Apache-2.0"),
+    (7345, 7491, "apachelicense2january200", "2f15986cdf74db20285804b86477174d", "Apache-2.0"),
+    (13742, 14261, "gpl2june199151franklinst", "bc4535b78849be9f247a42743104f2f1", "GPL-2.0"),
+    (11727, 12072, "gpl2june199151franklinst", "e8371a6211a37c34f809daf2d0f108ac", "GPL-2.0"),
+    (27093, 27842, "gpl329june2007everyoneis", "4788b032d572e334b21da647a508f718", "GPL-3.0"),
+    (25277, 25833, "gpl329june2007everyoneis", "df8ac9faae03c9793bcbb35b910ff91d", "GPL-3.0"),
+    (20338, 20946, "lgpl21february199951fran", "0093d83680e14d3308a19f04898ff90d", "LGPL-2.1"),
+    (18937, 19404, "lgpl21february199951fran", "859224ed77d40566e03068feb593c14b", "LGPL-2.1"),
+    (5428, 5979, "lgpl329june2007everyonei", "e3c05a458ca17c9817964402efe91ed4", "LGPL-3.0"),
+    (11577, 11966, "mozillapubliclicense2def", "4c595807e032edc06ed4deeda0abf4fe", "MPL-2.0"),
+    (11033, 11420, "mozillapubliclicense2def", "4c7d7c22ef42e0356bb629b362a30dd1", "MPL-2.0"),
+    (5532, 5664, "creativecommonslegalcode", "1d2a2969b791499c1ec949ae2339f3bd", "CC0-1.0"),
+)
 #: Titles that may stand above a text.
 TITLES = ("{} License", "The {} License", "{}")
 
@@ -211,12 +229,12 @@ def known_texts() -> list[tuple[str, str]]:
 
 def known_digests() -> list[tuple[str, str]]:
     """(digest, license id) of every known text."""
-    return sorted((hashlib.md5(text.encode()).hexdigest(), ident) for text, ident in known_texts())
+    return sorted([*((hashlib.md5(text.encode()).hexdigest(), ident) for text, ident in known_texts()), *((digest, ident) for *_, digest, ident in LONG)])
 
 
 def most_letters() -> int:
-    """Letters that the blocks of a known text can have together, normalised one by one: those of the longest text, and what steps over the
-    seams of blocks would have taken away (no text has more than ten phrases of several words, and none is shortened by more than 50 letters)."""
+    """Letters that the lines of a text in known_texts() can have together, normalised one by one: those of the longest text, and what steps over the
+    seams of lines would have taken away (no text has more than ten phrases of several words, and none is shortened by more than 50 letters)."""
     return max(len(t.replace(" ", "")) for t, _ in known_texts()) + 10 * 50
 
 
@@ -235,7 +253,7 @@ def _openings() -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_notices (lines and runs of blocks that are a license), license_ids (sorted, comma-joined), whole_text (one is the document)."""
+    """doc_id, n_notices (lines, sentences and runs of lines that are a license), license_ids (sorted, comma-joined), whole_text (one is the document)."""
     spark = docs.sparkSession
     known = spark.createDataFrame(known_digests(), "digest string, license_id string").hint("broadcast")
     raw = F.coalesce(F.col(text_col), F.lit(""))
@@ -243,42 +261,58 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = keyed(docs)
     texts = rows.select(ROW, F.trim(text, F.lit(" \t\n")).alias("text"))
     single = ~F.col("text").contains("\n")
+    pieces = lambda t: F.array_distinct(F.concat(F.array(t), F.filter(F.split(t, r"[.!?;]\s+"), lambda x: x.rlike(NOTICE_SIGN))))
     lines = F.filter(F.split("text", "\n"), lambda t: t.rlike(NOTICE_SIGN))
-    of_lines = let(single, lambda one: F.transform(lines, lambda t, i: F.struct(t.alias("t"), (-1 - i).alias("at"), one.alias("whole"))))
+    of_lines = let(single, lambda one: F.flatten(F.transform(lines, lambda t, i: F.transform(
+        pieces(t), lambda x: F.struct(x.alias("t"), (-1 - i).alias("at"), (one & (x == t)).alias("whole"))
+    ))))
     opens = _openings()
     longest = most_letters()
 
-    def runs(blocks):
-        """Runs of blocks that open like a known text and have no more letters than the longest; blocks of which normalising leaves nothing are passed over."""
-        # A letter ahead keeps the step that is for a text's beginning from a block inside a run.
+    def runs(raw):
+        """Runs of lines that open like a known text and have as many letters as one may have; lines of which normalising leaves nothing are passed over."""
+        # A letter ahead keeps the step that is for a text's beginning from a line inside a run.
         count = lambda b: F.length(F.regexp_replace(canonical(F.concat(F.lit("x\n\n"), b)), " ", "")) - 1
-        sized = lambda counted: F.transform(blocks, lambda b, i: F.struct(
-            b.alias("t"), F.get(counted, i).alias("n"), ((i > 0) & (F.get(counted, i - 1) == 0) & F.lower(F.get(blocks, i - 1)).rlike(opens)).alias("led")
+        sized = lambda counted: F.transform(raw, lambda b, i: F.struct(
+            b.alias("t"), F.get(counted, i).alias("n"), ((i > 0) & (F.get(counted, i - 1) == 0) & F.lower(F.get(raw, i - 1)).rlike(opens)).alias("led")
         ))
-        told = F.filter(let(F.transform(blocks, count), sized), lambda x: x["n"] > 0)
+        told = F.filter(let(F.transform(raw, count), sized), lambda x: x["n"] > 0)
 
         def of_start(told):
-            def ends(i):  # each block has a letter at least, so no known text has more blocks than letters
+            joined = lambda i, m: F.array_join(F.transform(F.slice(told, i + 1, m), lambda x: x["t"]), "\n")
+
+            def ends(i, least, most):
+                """Numbers of lines from i on that have so many letters together; each has one at least."""
                 seen = lambda acc, x: F.struct(
-                    (acc["sum"] + x["n"]).alias("sum"), F.when(acc["sum"] + x["n"] <= longest, acc["m"] + 1).otherwise(acc["m"]).alias("m")
+                    (acc["sum"] + x["n"]).alias("sum"), (acc["m"] + 1).alias("m"),
+                    F.when((acc["sum"] + x["n"]).between(least, most), F.concat(acc["of"], F.array(acc["m"] + 1))).otherwise(acc["of"]).alias("of"),
                 )
-                most = F.aggregate(F.slice(told, i + 1, F.lit(longest)), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("m")), seen, lambda acc: acc["m"])
-                return F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+                start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("m"), F.array().cast("array<int>").alias("of"))
+                return F.aggregate(F.slice(told, i + 1, F.lit(most)), start, seen, lambda acc: acc["of"])
+
+            def of_long(i):
+                """Ends of the long texts whose first letters stand at i."""
+                begun = lambda head: F.flatten(F.array(*(
+                    F.when(head.startswith(first), ends(i, least, most)).otherwise(F.array().cast("array<int>")) for least, most, first, _, _ in LONG
+                )))
+                return let(F.regexp_replace(canonical(joined(i, F.lit(HEAD_LETTERS))), " ", ""), begun)
 
             ahead = lambda b: F.when(b["led"], F.lit("\n\n")).otherwise(F.lit(""))  # noqa: E731  of a copyright notice, of which nothing is left
-            start = lambda b, i: F.when(b["led"] | F.lower(b["t"]).rlike(opens), F.transform(ends(i), lambda m: F.struct(
-                F.concat(ahead(b), F.array_join(F.transform(F.slice(told, i + 1, m), lambda x: x["t"]), "\n\n")).alias("t"), (i + m).alias("at"), ((i == 0) & (m == F.size(told))).alias("whole"),
+            many = F.aggregate(told, F.lit(0), lambda acc, x: acc + x["n"]) >= min(least for least, *_ in LONG)
+            all_ends = lambda i: F.array_distinct(F.concat(ends(i, 1, longest), F.when(many, of_long(i)).otherwise(F.array().cast("array<int>"))))
+            start = lambda b, i: F.when(b["led"] | F.lower(b["t"]).rlike(opens), F.transform(all_ends(i), lambda m: F.struct(
+                F.concat(ahead(b), joined(i, m)).alias("t"), (i + m).alias("at"), ((i == 0) & (m == F.size(told))).alias("whole"),
             )))
             return F.filter(F.flatten(F.filter(F.transform(told, start), lambda x: x.isNotNull())), lambda u: u["t"].contains("\n"))
 
-        opened = F.exists(blocks, lambda b: F.lower(b).rlike(opens))
+        opened = F.exists(raw, lambda b: F.lower(b).rlike(opens))
         return F.when(opened, let(told, of_start)).otherwise(none_found)
 
     none_found = F.expr("array()").cast("array<struct<t:string,at:int,whole:boolean>>")
-    of_runs = F.when(~single, let(F.split("text", r"\n[ \t]*\n\s*"), runs)).otherwise(none_found)
+    of_runs = F.when(~single, let(F.split("text", r"\n\s*"), runs)).otherwise(none_found)
     listed = texts.select(ROW, F.explode(F.concat(of_lines, of_runs)).alias("u"))
     digests = listed.select(ROW, F.col("u.at").alias("at"), F.col("u.whole").alias("whole"), F.md5(canonical(F.col("u.t"))).alias("digest"))
-    # Runs that end at the same block hold the same license, with and without the notices above it: once.
+    # Runs that end at the same line hold the same license, with and without the notices above it: once.
     hits = digests.join(known, "digest").groupBy(ROW, "at", "license_id").agg(F.max("whole").alias("whole"))
     found = hits.groupBy(ROW).agg(
         F.count(F.lit(1)).alias("n_notices"),

@@ -1,3 +1,5 @@
+import pathlib
+
 import duckdb
 import pytest
 
@@ -98,3 +100,36 @@ def test_runs_of_any_number_of_blocks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_notices, r.license_ids, r.whole_text) for r in licenses.scan(docs).collect()}
     assert got == {0: (1, "BSD-3-Clause", True), 1: (1, "BSD-3-Clause", True), 2: (1, "BSD-3-Clause", True), 3: (1, "BSD-3-Clause", False)}
+
+
+@pytest.mark.parametrize("lead", ["", "// ", "# ", " * ", ";; "])
+def test_whole_texts_between_lines_without_blank_ones(spark, lead):
+    """A license in a comment at the head of a source file: code directly behind it, a line directly ahead."""
+    rows = []
+    for k, (ident, text) in enumerate(licenses.TEXTS.items()):
+        lines = [" ".join(words[i : i + 11]) for words in map(str.split, text.split("\n\n")) for i in range(0, len(words), 11)]
+        rows.append((k, "/* tool.c, the tool\n" + "\n".join(lead + x for x in ["Copyright (c) 2020 Ann Author", *lines]) + "\nint main() { return 0; }\nand prose", ident))
+    got = scanned(spark, [(k, t) for k, t, _ in rows])
+    assert [(i, got[k]) for k, _, i in rows if got[k] != (1, i, False)] == []
+
+
+def test_sentences_in_a_line(spark):
+    rows = [(1, "Some prose here. Released under the MIT License. More of it"), (2, "See below; licensed under CC BY 4.0! The CC BY 4.0 license is free."), (3, "He is under the MIT. A licence plate."), (4, "Licensed under GPLv2.")]
+    assert scanned(spark, rows) == {1: (1, "MIT", False), 2: (1, "CC-BY-4.0", False), 3: (0, "", False), 4: (1, "GPL-2.0", True)}
+
+
+FILES = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+PUBLISHED = pathlib.Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not PUBLISHED.exists(), reason="no copies of the long licenses on this machine")
+def test_long_texts_as_published(spark):
+    """Alone, and rewrapped inside a document."""
+    rows = []
+    for name, ident in FILES.items():
+        text = (PUBLISHED / name).read_text()
+        wrapped = "\n".join(" ".join(words[i : i + 9]) for words in (p.split() for p in text.replace("END OF TERMS", "\n\nEND OF TERMS").split("\n\n")) for i in range(0, len(words), 9))
+        rows += [(text, ident, True), ("a line ahead\n" + text + "\nand one behind", ident, False)] + [("ahead\n" + wrapped + "\nbehind", ident, False)] * ("Copyright" not in text[:500])
+    got = scanned(spark, [(k, t) for k, (t, _, _) in enumerate(rows)])
+    missing = [(i, k) for k, (_, i, whole) in enumerate(rows) if i not in got[k][1].split(",") or got[k][2] != whole]
+    assert missing == []
