@@ -8,12 +8,13 @@ shard needs its boundary queried there and no link is lost. (In the full 64 dime
 radius of 4 straddles nearly every split.) Inside a shard a vantage-point tree over the full distance, pruned
 by the triangle bound with radius 4, finds exact neighbours. A shard gives back a spanning forest of its links, never all pairs.
 
-Near copies at a Jaccard similarity (`similar_documents`, the pipeline's stage) are decided by that similarity itself, not by a
-fingerprint: at such similarities fingerprints lie 39 +- 6 of 256 bits apart, so no radius tells 0.8 from 0.7. Candidates share a band of MIN_ROWS min-hashes
-of their distinct shingles in one of MIN_BANDS bands; a pair at similarity s does so with a chance of 1 - (1 - s**MIN_ROWS)**MIN_BANDS, whatever its
-length: all but 3 in a million pairs at 0.8. Bands of the same members are searched once; a band's members meet with their
-whole shingle sets, which gives a spanning forest of the pairs that reach the similarity, never all pairs. A band of more than BLOCK_SHINGLES
-shingles is dealt in blocks, and each two blocks of it meet in a task of their own, so that no task holds a whole heavy band.
+Near copies at a Jaccard similarity (`similar_documents`, the pipeline's stage) are found by wide fingerprints (WIDE_WORDS * 64 bits over distinct shingles) and
+decided by the similarity itself. Two sets at similarity s differ in a share arccos(2s / (1 + s)) / pi of their bits, so their trees are grown in projections onto a few
+bits each, as many as leave a pair at s without a common leaf with a chance of MISS (`Projections`; more documents ask for more bits of a projection, and
+more projections). Inside a leaf those whose first NEAR_WORDS words differ in no more bits than such a pair's (with SLACK standard deviations), and whose sizes allow s, are
+linked; small sets, whose fingerprints are rougher, get more of both. The whole shingle sets of each component of these links then meet, which gives a spanning forest of the
+pairs that reach the similarity, never all pairs. A component of more than BLOCK_SHINGLES shingles is dealt in blocks, and each two blocks of it meet in
+a task of their own, so that no task holds a whole heavy component.
 
 Equal fingerprints are one row from the start, so exact copies cost nothing. A shard holds 16 bytes a fingerprint.
 
@@ -41,9 +42,15 @@ RADIUS, BANDS, KEEP = 4, 6, 2
 VANTAGE_POINTS = 12
 #: Shards up to this size compare neighbours directly; larger ones grow a tree whose leaves are of this size.
 LEAF = 64
-#: Min-hashes of the candidates for a similarity: bands, and min-hashes of one band.
-MIN_BANDS, MIN_ROWS = 32, 5
-#: Distinct shingles of one block of a band, 8 bytes each; a task holds two blocks at a time.
+#: Wide fingerprints: their words, and the words by which a leaf's members are compared.
+WIDE_WORDS, NEAR_WORDS = 15, 4
+#: Chance that a pair shares no leaf; standard deviations by which a link may differ more than expected.
+MISS, SLACK = 3e-6, 4.5
+#: Sets of fewer shingles are small; what is added to the share of differing bits for small sets and for others.
+SMALL_SET, ROUGHNESS = 20, (0.045, 0.005)
+#: Members of a leaf that are compared along their sizes; more grow a tree.
+LEAF_ROWS = 512
+#: Distinct shingles of one block of a component, 8 bytes each; a task holds two blocks at a time.
 BLOCK_SHINGLES = 1 << 19
 
 
@@ -200,30 +207,16 @@ def _small_links(leaf: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def _search(radius: int):
-    """Links of the shards of a partition that is sorted by leaf."""
-
-    def shards(leaf, fps, ids):
-        starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
-        sizes = np.diff(np.append(starts, len(leaf)))
-        small = np.repeat((sizes > 1) & (sizes <= 12), sizes)
-        pairs = [_small_links(leaf[small], fps[small], ids[small], radius)] if small.any() else []
-        for k in np.flatnonzero(sizes > 12):
-            part = slice(starts[k], starts[k] + sizes[k])
-            pairs.append(shard_forest(fps[part], ids[part], radius))
-        for a, b in pairs:
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+def _by_leaf(shards):
+    """shards(columns) of all rows of a leaf together, in a partition that is sorted by its first column, the leaf."""
 
     def work(batches):
         held: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaf = batch.column(0).to_numpy()
-            fps = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[2:]], axis=1)
-            now = (leaf, fps, batch.column(1).to_numpy())
-            if held and held[0][0][0] == leaf[0] == leaf[-1]:
+            now = tuple(c.to_numpy() for c in batch.columns)
+            if held and held[0][0][0] == now[0][0] == now[0][-1]:
                 held.append(now)
                 continue
             whole = [np.concatenate(x) for x in zip(*held, now, strict=True)]
@@ -237,6 +230,34 @@ def _search(radius: int):
     return work
 
 
+def _bounds(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the leaves begin, and how many rows each has."""
+    starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+    return starts, np.diff(np.append(starts, len(leaf)))
+
+
+def _batches(pairs):
+    for a, b in pairs:
+        if len(a):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+
+def _search(radius: int):
+    """Links of the shards of a partition that is sorted by leaf."""
+
+    def shards(leaf, ids, *words):
+        fps = np.stack([w.view(np.uint64) for w in words], axis=1)
+        starts, sizes = _bounds(leaf)
+        small = np.repeat((sizes > 1) & (sizes <= 12), sizes)
+        pairs = [_small_links(leaf[small], fps[small], ids[small], radius)] if small.any() else []
+        for k in np.flatnonzero(sizes > 12):
+            part = slice(starts[k], starts[k] + sizes[k])
+            pairs.append(shard_forest(fps[part], ids[part], radius))
+        yield from _batches(pairs)
+
+    return _by_leaf(shards)
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links of nodes (node long, fp long, both distinct) whose closure is that of all pairs within radius."""
     if radius > BANDS - KEEP:
@@ -245,42 +266,128 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search(radius), "a long, b long")
 
 
-def band_keys(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of min-hashes of distinct shingle hashes."""
-    import xxhash
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
+    """Words of 64 bits, each of another mix of distinct shingle hashes; where half of them have a bit, one drawn for the word decides."""
+    ones, drawn, least = np.zeros(words * BITS, dtype=np.int64), np.zeros(words, dtype=np.uint64), np.full(words, np.iinfo(np.uint64).max, dtype=np.uint64)
+    offsets = (np.arange(words, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for a in range(0, len(hashes), 255):  # sums of so many bits fit in a byte
+        x = hashes[a : a + 255, None] + offsets
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        order = x * np.uint64(0xD6E8FEB86659FD93)
+        first = order.argmin(axis=0), np.arange(words)
+        drawn, least = np.where(order[first] < least, x[first], drawn), np.minimum(order[first], least)
+    return np.packbits(2 * ones + np.unpackbits(drawn.view(np.uint8), bitorder="little") > len(hashes), bitorder="little").view(np.uint64)
+
+
+def differing(similarity: float, small: bool) -> float:
+    """Share of the bits that differ between the fingerprints of two sets at this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + ROUGHNESS[not small]
+
+
+def link_radius(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Differing bits in NEAR_WORDS words up to which sets of these sizes are linked."""
+    bits, shares = NEAR_WORDS * BITS, (differing(similarity, True), differing(similarity, False))
+    small, large = (int(bits * q + SLACK * np.sqrt(bits * q * (1 - q))) for q in shares)
+    return np.where(sizes < SMALL_SET, small, large)
+
+
+class Projections:
+    """Projections onto seeded choices of bits, each with its vantage points, for about `n` fingerprints.
 
-    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for a in range(0, len(hashes), 4096):
-        x = hashes[a : a + 4096, None] * factors + offsets
-        x ^= x >> np.uint64(32)
-        x *= factors
-        least = np.minimum(least, x.min(axis=0))
-    rows = least.reshape(MIN_BANDS, MIN_ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64)
+    A leaf is told by the distances to the vantage points of its projection, as a number; equal projections have equal distances.
+    """
+
+    def __init__(self, n: int, similarity: float):
+        self.width = int(np.clip(np.ceil(np.log2(max(n, 1) / 256)), 8, 20))
+        least = lambda q: int(np.ceil(np.log(MISS) / np.log1p(-((1 - q) ** self.width))))
+        self.of_small, self.of_others = least(differing(similarity, True)), least(differing(similarity, False))
+        rng, bits, self.chosen = np.random.default_rng(SEED), WIDE_WORDS * BITS, []
+        while len(self.chosen) < self.of_small:  # bits that no other projection has, as far as they go
+            order = rng.permutation(bits)
+            self.chosen += [order[a : a + self.width] for a in range(0, bits - self.width + 1, self.width)]
+        self.points = rng.integers(0, 2, size=(self.of_small, VANTAGE_POINTS, self.width))
+
+    def count(self, sizes: np.ndarray) -> np.ndarray:
+        """Projections in which sets of these sizes are looked for."""
+        return np.where(sizes < SMALL_SET, self.of_small, self.of_others)
+
+    def leaf(self, k: int, bits: np.ndarray) -> np.ndarray:
+        """Leaves, in projection k, of fingerprints given as rows of bits."""
+        distances = bits[:, self.chosen[k]] @ (1 - 2 * self.points[k].T).astype(np.float32) + self.points[k].sum(axis=1)
+        code = distances.astype(np.int64) @ (self.width + 1) ** np.arange(VANTAGE_POINTS, dtype=np.int64)
+        return code ^ np.int64(np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1).view(np.int64))
+
+
+def _links_by_size(leaf: np.ndarray, ids: np.ndarray, sizes: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside leaves whose sizes ascend: each set meets those behind it whose size allows the similarity."""
+    at, step, a, b = np.arange(len(leaf)), 1, [ids[:0]], [ids[:0]]
+    while True:
+        at = at[: np.searchsorted(at, len(leaf) - step)]
+        at = at[(leaf[at + step] == leaf[at]) & (sizes[at] + 1e-6 >= similarity * sizes[at + step])]  # no set farther on fits where this one doesn't
+        if not len(at):
+            return np.concatenate(a), np.concatenate(b)
+        near = at[distance(fps[at], fps[at + step]) <= link_radius(sizes[at], similarity)]
+        a.append(ids[near])
+        b.append(ids[near + step])
+        step += 1
+
+
+def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links of nodes (node, size, bits: their wide fingerprint) whose closure holds all but MISS of the pairs at the similarity."""
+    plan = Projections(nodes.count(), similarity)
+    words = [f"f{k}" for k in range(NEAR_WORDS)]
+
+    def deal(batches):
+        for batch in slices(batches):
+            if not batch.num_rows:
+                continue
+            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(len(ids), WIDE_WORDS)
+            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+            asked = plan.count(sizes)
+            of = [(k, np.flatnonzero(asked > k)) for k in range(asked.max())]
+            leaf, at = np.concatenate([plan.leaf(k, bits[rows]) for k, rows in of]), np.concatenate([rows for _, rows in of])
+            near = fps[at, :NEAR_WORDS].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"leaf": leaf, "node": ids[at], "size": sizes[at], **{w: near[:, j] for j, w in enumerate(words)}})
+
+    def shards(leaf, ids, sizes, *found):
+        fps = np.stack([w.view(np.uint64) for w in found], axis=1)
+        starts, rows = _bounds(leaf)
+        some = np.repeat((rows > 1) & (rows <= LEAF_ROWS), rows)
+        pairs = [_links_by_size(leaf[some], ids[some], sizes[some], fps[some], similarity)]
+        for k in np.flatnonzero(rows > LEAF_ROWS):
+            part = slice(starts[k], starts[k] + rows[k])
+            pairs.append(shard_forest(fps[part], ids[part], int(link_radius(sizes[part], similarity).max())))
+        yield from _batches(pairs)
+
+    columns = ", ".join(f"{c} long" for c in ("leaf", "node", "size", *words))
+    dealt = nodes.where("size > 0").select("node", "size", "bits").mapInArrow(deal, columns)
+    return dealt.repartition("leaf").sortWithinPartitions("leaf", "size").mapInArrow(_by_leaf(shards), "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """ROW, doc_id, text, key (digest of the set of shingles), size (shingles in it), bands (no band without shingles)."""
+    """ROW, doc_id, text, key (digest of the set of shingles), size (shingles in it), bits (their wide fingerprint)."""
     rows = docs.select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    factors, offsets = np.random.default_rng(SEED).integers(0, 1 << 63, size=(2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
-    factors = factors * np.uint64(2) + np.uint64(1)
 
     def work(batches):
         import xxhash
 
         for batch in slices(batches):
-            keys, sizes, bands = [], [], []
+            keys, sizes, bits = [], [], []
             for text in batch.column("text"):
                 hashes = np.unique(shingle_hashes(text.as_py(), shingle))
                 keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
-                bands.append(band_keys(hashes, factors, offsets).view(np.int64) if len(hashes) else [])
+                bits.append(wide_fingerprint(hashes).tobytes())
             yield pa.RecordBatch.from_pydict({
                 **{c: batch.column(c) for c in (ROW, "doc_id", "text")}, "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
-                "size": pa.array(sizes, type=pa.int64()), "bands": pa.array(bands, type=pa.list_(pa.int64())),
+                "size": pa.array(sizes, type=pa.int64()), "bits": pa.array(bits, type=pa.binary()),
             })
 
-    schema = T.StructType([*rows.schema, T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema, T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bits", T.BinaryType())])
     return rows.mapInArrow(work, schema)
 
 
@@ -324,15 +431,14 @@ def similarity_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[i
 
 
 def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b: keys of a forest of the pairs of nodes that share a band and reach the similarity.
+    """a, b: keys of a forest of the pairs of nodes that are in one component of candidate_links and reach the similarity.
 
-    nodes: node (their key), size, bands; texts: key, text.
+    nodes: node (their key), size, bits; texts: key, text.
     """
-    banded = nodes.select(F.col("node").alias("key"), "size", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y"))
-    shared = materialize(groups.where("n > 1").groupBy("n", "x", "y").agg(
-        F.min("band").alias("band"), F.ceil(F.max("size") / BLOCK_SHINGLES).alias("blocks")).select("band", "blocks"))
-    members = materialize(banded.select("key", "band").join(broadcast_if_small(shared), "band"))
+    linked = connected_components(candidate_links(nodes, similarity))
+    found = materialize(nodes.select(F.col("node").alias("key"), "size").join(broadcast_if_small(linked.withColumnRenamed("node", "key")), "key"))
+    groups = materialize(found.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks")))
+    members = materialize(found.select("key", "component").join(broadcast_if_small(groups), "component"))
     needed = materialize(members.select("key").distinct())
     # Any of the texts of a key: all have the same shingles.
     rows = texts.join(broadcast_if_small(needed), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
@@ -363,7 +469,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     read_sets = materialize(rows.mapInArrow(read, "key long, shingles binary"))
     own, others = F.expr("pmod(key, blocks)"), F.expr("sequence(0L, blocks - 1)")
     met = members.withColumn("own", own).withColumn("other", F.explode(F.filter(others, lambda x: (x != F.col("own")) | (F.col("blocks") == 1))))
-    met = met.select("key", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("part"))
+    met = met.select("key", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("part"))
     dealt = met.join(read_sets, "key").select("part", "key", "shingles").repartition("part").sortWithinPartitions("part", "key")
     return dealt.mapInArrow(search, "a long, b long")
 
@@ -398,7 +504,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _similar_rows(rows: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """ROW, doc_id, component (a number of it), component_id of rows that have ROW."""
     found = materialize(shingle_sets(rows, id_col, text_col, shingle))
-    nodes = materialize(found.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    nodes = materialize(found.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits")))
     grouped = materialize(connected_components(similar_pairs(nodes, found.select("key", "text"), shingle, similarity)))
     named = _smallest_ids(nodes.select("node", "least"), grouped)
     named = named.join(broadcast_if_small(grouped), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "component_id")

@@ -124,6 +124,29 @@ def test_similar_documents_link_by_the_exact_similarity(spark):
     assert got == want
 
 
+def test_near_copies_are_found_by_fingerprints_in_trees(spark):
+    """Pairs of shingle sets at 0.8, from 4 shingles to 400, meet over their fingerprints; sets that share a third don't."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for u, a, b in ((5, 4, 5), (10, 9, 9), (20, 16, 20), (40, 36, 36), (100, 90, 90), (400, 360, 360), (300, 200, 200)) * 12:
+        values = np.unique(rng.integers(0, 1 << 63, size=u, dtype=np.uint64))[rng.permutation(u)]
+        sets += [np.sort(values[:a]), np.sort(values[u - b :])]
+    nodes = spark.createDataFrame([(i, len(x), bytearray(simhash.wide_fingerprint(x).tobytes())) for i, x in enumerate(sets)], "node long, size long, bits binary")
+    got = {r.node: r.component for r in simhash.connected_components(simhash.candidate_links(nodes, 0.8)).collect()}
+    assert [k for k in range(0, len(sets), 2) if (k // 2 % 7 < 6) != (got.get(k) == k == got.get(k + 1))] == []
+
+
+def test_small_leaves_and_trees_give_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, size=300, dtype=np.uint64)
+    sets = [np.unique(base[rng.random(300) < share]) for share in (0.95,) * 60 + (0.5,) * 20]
+    nodes = spark.createDataFrame([(i, len(x), bytearray(simhash.wide_fingerprint(x).tobytes())) for i, x in enumerate(sets)], "node long, size long, bits binary")
+    one = sorted(simhash.connected_components(simhash.candidate_links(nodes, 0.8)).collect())
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 3)
+    assert {r.component for r in one if r.node < 60} == {0} and sorted(r.node for r in one)[:60] == list(range(60))
+    assert {tuple(r) for r in one if r.node < 60} <= {tuple(r) for r in simhash.connected_components(simhash.candidate_links(nodes, 0.8)).collect()}
+
+
 def test_similarity_forest_matches_brute_force():
     """A graded group: some members are linked only over others, some not at all."""
     rng = np.random.default_rng(4)
