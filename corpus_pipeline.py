@@ -6,7 +6,7 @@ has no oracle; tests/llm compares it with a brute-force version.
 
 Defined cases, for every stage: rows are told apart by their place in the table, not by their id, so null and repeated ids lose or add no
 row. A null, empty or letterless text goes in the first stage; of equal texts, and of near copies, the row with the smallest
-id stays (null ids last, one row of those that repeat it); the mix decides each row by itself, those that share an id too; the last stage gives one row for
+id stays (null ids last; of those that repeat it one row, chosen by the content of all its columns); the mix decides each row by itself, those that share an id too; the last stage gives one row for
 each row it gets. Texts of any length are read whole; an empty table passes through every stage; other columns are
 carried along by all stages but the last.
 """
@@ -30,17 +30,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.deduplicate(table_rows(docs)).select(*docs.columns)
+    return exact_dedup.deduplicate(table_rows(docs, by_content=True)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return simhash.keep_representatives(table_rows(docs), shingle=5, similarity=0.8).select(*docs.columns)
+    return simhash.keep_representatives(table_rows(docs, by_content=True), shingle=5, similarity=0.8).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.apply_mix(table_rows(docs))
+    return mixing.apply_mix(table_rows(docs, by_content=True))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,14 +32,16 @@ def smaller_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def table_rows(docs: DataFrame) -> DataFrame:
+def table_rows(docs: DataFrame, by_content: bool = False) -> DataFrame:
     """docs with ROW, the same at every reading: the Parquet file and the place in it.
 
-    docs is a Parquet table as read, whose rows and columns may have been selected; any other frame is keyed() instead.
+    docs is a Parquet table as read, whose rows and columns may have been selected; any other frame is keyed() instead. by_content: ROW begins with a
+    digest of the row, so that the first of some rows is the same one however the files are named and dealt (columns with maps don't count).
     """
     file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    digest = [F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString())).alias("digest")] if by_content else []
     try:
-        return docs.select("*", F.struct(F.unhex(F.md5(file)).alias("file"), place.alias("place")).alias(ROW))
+        return docs.select("*", F.struct(*digest, F.unhex(F.md5(file)).alias("file"), place.alias("place")).alias(ROW))
     except AnalysisException:  # no Parquet table
         return keyed(docs)
 

@@ -91,6 +91,20 @@ def test_stages_equal_brute_force_on_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == mixed.count()
 
 
+def test_rows_that_stay_do_not_depend_on_the_names_of_files(spark, tmp_path):
+    """Equal texts and near copies under null and repeated ids, from different sources: every copy of the table keeps the same rows."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "same text of some words here", "en", f"s{k}", 0) for k in range(6)] + [(7, base + f" tail{k}", "en", f"s{k}", 0) for k in range(6)]
+    docs, found = spark.createDataFrame(rows, SCHEMA).repartition(6), set()
+    for k in range(5):
+        docs.write.parquet(f"{tmp_path}/copy{k}")
+        seen = spark.read.parquet(f"{tmp_path}/copy{k}")
+        exact, near = (stage(spark, seen, str(tmp_path)).collect() for _, stage in corpus_pipeline.STAGES[1:3])
+        found.add((tuple(sorted(map(str, exact))), tuple(sorted(map(str, near)))))
+        assert len(exact) == 7 and len(near) == 2
+    assert len(found) == 1
+
+
 def test_empty_table_passes_through(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
