@@ -8,11 +8,12 @@ shard needs its boundary queried there and no link is lost. (In the full 64 dime
 radius of 4 straddles nearly every split.) Inside a shard a vantage-point tree over the full distance, pruned
 by the triangle bound with radius 4, finds exact neighbours. A shard gives back a spanning forest of its links, never all pairs.
 
-Near copies at a Jaccard similarity (`similar_documents`, the pipeline's stage) are found by wide fingerprints (WIDE_WORDS * 64 bits over distinct shingles) and
-decided by the similarity itself. Two sets at similarity s differ in a share arccos(2s / (1 + s)) / pi of their bits, so their trees are grown in projections onto a few
-bits each, as many as leave a pair at s without a common leaf with a chance of MISS (`Projections`; more documents ask for more bits of a projection, and
-more projections). Inside a leaf those whose first NEAR_WORDS words differ in no more bits than such a pair's (with SLACK standard deviations), and whose sizes allow s, are
-linked; small sets, whose fingerprints are rougher, get more of both. The whole shingle sets of each component of these links then meet, which gives a spanning forest of the
+Near copies at a Jaccard similarity (`similar_documents`, the pipeline's stage) are found by SimHash votes (WIDE_BITS sums over distinct shingles) and
+decided by the similarity itself. The votes of two sets at similarity s have a cosine of 2s / (1 + s) or more, so they go down trees of vantage points (`Trees`): in
+each tree, which is turned by a rotation of its own, to the nearest of 2 * WIDE_BITS points (the axes and their opposites), and in large tables to a second level.
+There are as many trees as leave a pair at s without a common leaf with a chance of MISS (34 for half a million sets at 0.8, 72 for 13 million).
+Inside a leaf those whose fingerprints of NEAR_WORDS words (the signs of votes) differ in no more bits than such a pair's (with SLACK standard deviations), and whose sizes allow s, are
+linked, by a star for each component of the leaf, never by all pairs; small sets, whose fingerprints are rougher, get more slack. The whole shingle sets of each component of these links then meet, which gives a spanning forest of the
 pairs that reach the similarity, never all pairs. A component of more than BLOCK_SHINGLES shingles is dealt in blocks, and each two blocks of it meet in
 a task of their own, so that no task holds a whole heavy component.
 
@@ -42,13 +43,15 @@ RADIUS, BANDS, KEEP = 4, 6, 2
 VANTAGE_POINTS = 12
 #: Shards up to this size compare neighbours directly; larger ones grow a tree whose leaves are of this size.
 LEAF = 64
-#: Wide fingerprints: their words, and the words by which a leaf's members are compared.
-WIDE_WORDS, NEAR_WORDS = 15, 4
-#: Chance that a pair shares no leaf; standard deviations by which a link may differ more than expected.
-MISS, SLACK = 3e-6, 4.5
+#: Votes of a wide fingerprint, and the words of their signs by which a leaf's members are compared.
+WIDE_BITS, NEAR_WORDS = 512, 3
+#: Vantage points of a second level at most, so that a leaf's number has 16 bits.
+SECOND_POINTS = 64
+#: Chance that a pair shares no leaf; standard deviations by which a link may differ more than expected; error of a cosine of votes that trees allow for.
+MISS, SLACK, COSINE_ERROR = 3e-6, 4.5, 0.01
 #: Sets of fewer shingles are small; what is added to the share of differing bits for small sets and for others.
 SMALL_SET, ROUGHNESS = 20, (0.045, 0.005)
-#: Members of a leaf that are compared along their sizes; more grow a tree.
+#: Members of a leaf that are compared along their sizes; more grow a tree. More of them on average ask for a second level.
 LEAF_ROWS = 512
 #: Distinct shingles of one block of a component, 8 bytes each; a task holds two blocks at a time.
 BLOCK_SHINGLES = 1 << 19
@@ -266,9 +269,11 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_search(radius), "a long, b long")
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
-    """Words of 64 bits, each of another mix of distinct shingle hashes; where half of them have a bit, one drawn for the word decides."""
-    ones, drawn, least = np.zeros(words * BITS, dtype=np.int64), np.zeros(words, dtype=np.uint64), np.full(words, np.iinfo(np.uint64).max, dtype=np.uint64)
+def votes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes (set less unset) of distinct shingle hashes on WIDE_BITS bits, and the fingerprint: the majorities of the first NEAR_WORDS words; where half
+    of the hashes have a bit, one drawn for the word decides."""
+    words = WIDE_BITS // BITS
+    ones, drawn, least = np.zeros(WIDE_BITS, dtype=np.int64), np.zeros(words, dtype=np.uint64), np.full(words, np.iinfo(np.uint64).max, dtype=np.uint64)
     offsets = (np.arange(words, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for a in range(0, len(hashes), 255):  # sums of so many bits fit in a byte
         x = hashes[a : a + 255, None] + offsets
@@ -279,7 +284,67 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WIDE_WORDS) -> np.ndarray:
         order = x * np.uint64(0xD6E8FEB86659FD93)
         first = order.argmin(axis=0), np.arange(words)
         drawn, least = np.where(order[first] < least, x[first], drawn), np.minimum(order[first], least)
-    return np.packbits(2 * ones + np.unpackbits(drawn.view(np.uint8), bitorder="little") > len(hashes), bitorder="little").view(np.uint64)
+    near = 2 * ones + np.unpackbits(drawn.view(np.uint8), bitorder="little") > len(hashes)
+    return 2 * ones - len(hashes), np.packbits(near[: NEAR_WORDS * BITS], bitorder="little").view(np.uint64)
+
+
+def nearest_axis(points: np.ndarray) -> np.ndarray:
+    """For each row the number of the nearest of the axes and their opposites."""
+    at = np.abs(points).argmax(axis=1)
+    return 2 * at + (points[np.arange(len(at)), at] < 0)
+
+
+def meeting(axes: int, cosine: float, draws: int = 4000) -> float:
+    """Chance that two points at this cosine have the same nearest one of these axes and their opposites, as drawn."""
+    rng = np.random.default_rng(SEED)
+    x, y = (rng.standard_normal((draws, axes), dtype=np.float32) for _ in range(2))
+    return float((nearest_axis(x) == nearest_axis(cosine * x + np.sqrt(1 - cosine * cosine) * y)).mean())
+
+
+class Trees:
+    """Vantage-point trees for about `n` sets, of which all but MISS of the pairs at the similarity share a leaf.
+
+    The vantage points of a level are axes and their opposites, so the nearest one is told by the largest coordinate. A rotation is a Hadamard matrix
+    behind seeded changes of sign.
+    """
+
+    def __init__(self, n: int, similarity: float):
+        crowd, self.axes = n / (2 * WIDE_BITS * LEAF_ROWS), 0
+        if crowd > 1:
+            self.axes = int(min(2 ** np.ceil(np.log2(crowd)), SECOND_POINTS)) // 2
+        cosine = max(2 * similarity / (1 + similarity) - COSINE_ERROR, 0.0)
+        share = meeting(WIDE_BITS, cosine) * (meeting(self.axes, cosine) if self.axes else 1)
+        self.count = int(np.ceil(np.log(MISS) / np.log1p(-share)))
+        self.turn = np.ones((1, 1), dtype=np.float32)
+        while len(self.turn) < WIDE_BITS:
+            self.turn = np.block([[self.turn, self.turn], [self.turn, -self.turn]])
+        self.signs = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.float32), size=(self.count, 2, WIDE_BITS))
+
+    def leaves(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each row of votes in each tree, a number of 16 bits."""
+        points, out = points.astype(np.float32), np.empty((len(points), self.count), dtype=np.uint16)
+        for k, (first, second) in enumerate(self.signs):
+            out[:, k] = nearest_axis((points * first) @ self.turn)
+            if self.axes:
+                out[:, k] = out[:, k] * (2 * self.axes) + nearest_axis((points * second) @ self.turn[:, : self.axes])
+        return out
+
+    def fingerprints(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """For each set of hashes its fingerprint of NEAR_WORDS words and behind it its leaves, as bytes."""
+        if not sets:
+            return []
+        sums, near = zip(*map(votes, sets), strict=True)
+        return [*np.concatenate([np.stack(near).view(np.uint8), self.leaves(np.stack(sums)).view(np.uint8)], axis=1)]
+
+
+_TREES: dict[float, Trees] = {}
+
+
+def wide_fingerprint(hashes: np.ndarray, similarity: float = 0.8) -> np.ndarray:
+    """Fingerprint and leaves of one set, in the trees of a small table."""
+    if similarity not in _TREES:
+        _TREES[similarity] = Trees(0, similarity)
+    return _TREES[similarity].fingerprints([hashes])[0]
 
 
 def differing(similarity: float, small: bool) -> float:
@@ -294,64 +359,54 @@ def link_radius(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.where(sizes < SMALL_SET, small, large)
 
 
-class Projections:
-    """Projections onto seeded choices of bits, each with its vantage points, for about `n` fingerprints.
-
-    A leaf is told by the distances to the vantage points of its projection, as a number; equal projections have equal distances.
-    """
-
-    def __init__(self, n: int, similarity: float):
-        self.width = int(np.clip(np.ceil(np.log2(max(n, 1) / 256)), 8, 20))
-        least = lambda q: int(np.ceil(np.log(MISS) / np.log1p(-((1 - q) ** self.width))))
-        self.of_small, self.of_others = least(differing(similarity, True)), least(differing(similarity, False))
-        rng, bits, self.chosen = np.random.default_rng(SEED), WIDE_WORDS * BITS, []
-        while len(self.chosen) < self.of_small:  # bits that no other projection has, as far as they go
-            order = rng.permutation(bits)
-            self.chosen += [order[a : a + self.width] for a in range(0, bits - self.width + 1, self.width)]
-        self.points = rng.integers(0, 2, size=(self.of_small, VANTAGE_POINTS, self.width))
-
-    def count(self, sizes: np.ndarray) -> np.ndarray:
-        """Projections in which sets of these sizes are looked for."""
-        return np.where(sizes < SMALL_SET, self.of_small, self.of_others)
-
-    def leaf(self, k: int, bits: np.ndarray) -> np.ndarray:
-        """Leaves, in projection k, of fingerprints given as rows of bits."""
-        distances = bits[:, self.chosen[k]] @ (1 - 2 * self.points[k].T).astype(np.float32) + self.points[k].sum(axis=1)
-        code = distances.astype(np.int64) @ (self.width + 1) ** np.arange(VANTAGE_POINTS, dtype=np.int64)
-        return code ^ np.int64(np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1).view(np.int64))
+def stars(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star (smallest id, member) for each component of the links between places a and b of ids."""
+    label = np.arange(len(ids))
+    while True:
+        low, now = np.minimum(label[a], label[b]), label.copy()
+        for at in (label[a], label[b], a, b):
+            np.minimum.at(now, at, low)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    least = ids.copy()
+    np.minimum.at(least, label, ids)
+    centres = least[label]
+    inner = centres != ids
+    return centres[inner], ids[inner]
 
 
 def _links_by_size(leaf: np.ndarray, ids: np.ndarray, sizes: np.ndarray, fps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside leaves whose sizes ascend: each set meets those behind it whose size allows the similarity."""
-    at, step, a, b = np.arange(len(leaf)), 1, [ids[:0]], [ids[:0]]
+    """Stars of the links inside leaves whose sizes ascend: each set meets those behind it whose size allows the similarity."""
+    at, step, a, b = np.arange(len(leaf)), 1, [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     while True:
         at = at[: np.searchsorted(at, len(leaf) - step)]
         at = at[(leaf[at + step] == leaf[at]) & (sizes[at] + 1e-6 >= similarity * sizes[at + step])]  # no set farther on fits where this one doesn't
         if not len(at):
-            return np.concatenate(a), np.concatenate(b)
+            return stars(np.concatenate(a), np.concatenate(b), ids)
         near = at[distance(fps[at], fps[at + step]) <= link_radius(sizes[at], similarity)]
-        a.append(ids[near])
-        b.append(ids[near + step])
+        a.append(near)
+        b.append(near + step)
         step += 1
 
 
 def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links of nodes (node, size, bits: their wide fingerprint) whose closure holds all but MISS of the pairs at the similarity."""
-    plan = Projections(nodes.count(), similarity)
-    words = [f"f{k}" for k in range(NEAR_WORDS)]
+    """a, b: links of nodes (node, size, bits: their wide fingerprint) whose closure holds all but MISS of the pairs at the similarity; at most one a node and tree."""
+    words, most = [f"f{k}" for k in range(NEAR_WORDS)], (1 << 31) - 1
 
     def deal(batches):
         for batch in slices(batches):
             if not batch.num_rows:
                 continue
-            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(len(ids), WIDE_WORDS)
-            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-            asked = plan.count(sizes)
-            of = [(k, np.flatnonzero(asked > k)) for k in range(asked.max())]
-            leaf, at = np.concatenate([plan.leaf(k, bits[rows]) for k, rows in of]), np.concatenate([rows for _, rows in of])
-            near = fps[at, :NEAR_WORDS].view(np.int64)
-            yield pa.RecordBatch.from_pydict({"leaf": leaf, "node": ids[at], "size": sizes[at], **{w: near[:, j] for j, w in enumerate(words)}})
+            ids, sizes = batch.column(0).to_numpy(), np.minimum(batch.column(1).to_numpy(), most)
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            fps, leaf = (np.ascontiguousarray(x) for x in (bits[:, : 8 * NEAR_WORDS], bits[:, 8 * NEAR_WORDS :]))
+            fps, leaf = fps.view(np.int64), leaf.view(np.uint16).astype(np.int64).T
+            leaf += np.arange(len(leaf), dtype=np.int64)[:, None] << 16
+            at = np.tile(np.arange(len(ids)), len(leaf))
+            place = (leaf << 31 | sizes).ravel()
+            yield pa.RecordBatch.from_pydict({"place": place, "node": ids[at], **{w: fps[at, j] for j, w in enumerate(words)}})
 
     def shards(leaf, ids, sizes, *found):
         fps = np.stack([w.view(np.uint64) for w in found], axis=1)
@@ -363,28 +418,34 @@ def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
             pairs.append(shard_forest(fps[part], ids[part], int(link_radius(sizes[part], similarity).max())))
         yield from _batches(pairs)
 
-    columns = ", ".join(f"{c} long" for c in ("leaf", "node", "size", *words))
-    dealt = nodes.where("size > 0").select("node", "size", "bits").mapInArrow(deal, columns)
-    return dealt.repartition("leaf").sortWithinPartitions("leaf", "size").mapInArrow(_by_leaf(shards), "a long, b long")
+    def search(batches):
+        def split():
+            for batch in slices(batches, 2048):
+                place = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(place >> 31), batch.column(1), pa.array(place & most), *batch.columns[2:]], names=["leaf", "node", "size", *words])
+
+        return _by_leaf(shards)(split())
+
+    columns = ", ".join(f"{c} long" for c in ("place", "node", *words))
+    # A smaller set than this is similar enough to equal sets only.
+    dealt = nodes.where(F.col("size") * (1 - similarity) >= similarity - 1e-6).select("node", "size", "bits").mapInArrow(deal, columns)
+    return dealt.repartition(F.shiftright("place", 31)).sortWithinPartitions("place").mapInArrow(search, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """ROW, doc_id, text, key (digest of the set of shingles), size (shingles in it), bits (their wide fingerprint)."""
     rows = docs.select(ROW, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    trees = Trees(rows.count(), similarity)
 
     def work(batches):
         import xxhash
 
         for batch in slices(batches):
-            keys, sizes, bits = [], [], []
-            for text in batch.column("text"):
-                hashes = np.unique(shingle_hashes(text.as_py(), shingle))
-                keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                sizes.append(len(hashes))
-                bits.append(wide_fingerprint(hashes).tobytes())
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64)
             yield pa.RecordBatch.from_pydict({
-                **{c: batch.column(c) for c in (ROW, "doc_id", "text")}, "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
-                "size": pa.array(sizes, type=pa.int64()), "bits": pa.array(bits, type=pa.binary()),
+                **{c: batch.column(c) for c in (ROW, "doc_id", "text")}, "key": pa.array(keys.view(np.int64)),
+                "size": pa.array([len(x) for x in sets], type=pa.int64()), "bits": pa.array([b.tobytes() for b in trees.fingerprints(sets)], type=pa.binary()),
             })
 
     schema = T.StructType([*rows.schema, T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bits", T.BinaryType())])
@@ -503,7 +564,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _similar_rows(rows: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """ROW, doc_id, component (a number of it), component_id of rows that have ROW."""
-    found = materialize(shingle_sets(rows, id_col, text_col, shingle))
+    found = materialize(shingle_sets(rows, id_col, text_col, shingle, similarity))
     nodes = materialize(found.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits")))
     grouped = materialize(connected_components(similar_pairs(nodes, found.select("key", "text"), shingle, similarity)))
     named = _smallest_ids(nodes.select("node", "least"), grouped)

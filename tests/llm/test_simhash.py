@@ -147,6 +147,40 @@ def test_small_leaves_and_trees_give_the_same_components(spark, monkeypatch):
     assert {tuple(r) for r in one if r.node < 60} <= {tuple(r) for r in simhash.connected_components(simhash.candidate_links(nodes, 0.8)).collect()}
 
 
+def test_links_of_a_leaf_are_stars_and_not_all_pairs(spark):
+    """A group of near copies gives at most one link for each of its rows and trees, whose ends still form one component."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, size=300, dtype=np.uint64)
+    sets = [np.unique(base[rng.random(300) < 0.97]) for _ in range(300)]
+    nodes = spark.createDataFrame([(i, len(x), bytearray(simhash.wide_fingerprint(x).tobytes())) for i, x in enumerate(sets)], "node long, size long, bits binary")
+    links = simhash.candidate_links(nodes, 0.8)
+    assert links.count() <= 40 * len(sets)  # all pairs of all leaves: over 500,000
+    assert {r.component for r in simhash.connected_components(links).collect()} == {0}
+
+
+def test_stars_have_the_components_of_the_links():
+    rng = np.random.default_rng(12)
+    ids, a = rng.permutation(400), rng.integers(0, 399, size=300)
+    b = np.where(rng.random(300) < 0.7, a + 1, rng.integers(0, 400, size=300))
+    label = {int(i): int(i) for i in ids}
+    for _ in ids:
+        for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
+            label[x] = label[y] = min(label[x], label[y])
+    centres, members = simhash.stars(a, b, ids)
+    assert dict(zip(members.tolist(), centres.tolist(), strict=True)) == {i: k for i, k in label.items() if i != k}
+
+
+def test_trees_of_two_levels_send_few_rows_and_lose_no_pair():
+    """13 million sets (30 GB) ask for two levels; the rows sent to leaves stay under 80 a set."""
+    trees, rng = simhash.Trees(13_000_000, 0.8), np.random.default_rng(13)
+    assert trees.axes and trees.count <= 80 and simhash.Trees(200_000, 0.8).count <= 40
+    for u, a, b in ((5, 4, 5), (9, 8, 9), (60, 54, 54), (500, 400, 500)):
+        sets = [rng.integers(0, 1 << 63, size=u, dtype=np.uint64) for _ in range(200)]
+        one, two = (trees.leaves(np.stack([simhash.votes(x)[0] for x in part])) for part in ([x[:a] for x in sets], [x[u - b :] for x in sets]))
+        assert (one == two).any(axis=1).all()
+        assert len(np.unique(one)) > 200
+
+
 def test_similarity_forest_matches_brute_force():
     """A graded group: some members are linked only over others, some not at all."""
     rng = np.random.default_rng(4)
