@@ -9,7 +9,7 @@ store that Spark writes will do and a lost executor's file is committed once. A
 a range of ids is read by decompressing the blocks that hold it and no other.
 
 Encoding: where the tokenizer's file declares that white space is dropped (BY_WORDS), a text is split at the six ASCII white-space characters, across
-which neither normalisation, pattern nor merges reach; each word's ids are kept in a memo of bounded size. Any other tokenizer encodes whole texts.
+which neither normalisation, pattern nor merges reach; each word's ids are kept in a memo of bounded size, and texts of plain characters are cut into pieces at once. Any other tokenizer encodes whole texts.
 
 Defined cases: a null text counts as empty and has the end id alone; null ids come first, rows that repeat an id follow their place in the table; a text of any length is
 one document in one file; an empty table gives no file and an empty index; other columns are ignored, whatever their names; ids are integers or strings.
@@ -171,19 +171,25 @@ class ShardReader:
 
 
 class PieceEncoder(dict):
-    """Piece of a word, as the tokenizer's pattern cuts it -> bytes of its ids by the library's merges, with a memo."""
+    """Piece of a word, as the tokenizer's pattern cuts it -> bytes of its ids by the library's merges, with a memo of two generations."""
 
     def __init__(self, model):
         super().__init__()
+        self._old: dict[str, bytes] = {}
         self._merge = model.tokenize
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # bytes that stand for themselves at byte level
         others = (b for b in range(256) if b not in printable)
         self._byte_level = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
     def __missing__(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._byte_level)
-        ids = b"".join([struct.pack("<I", t.id) for t in self._merge(shown)])
+        ids = self._old.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._byte_level)
+            ids = b"".join([struct.pack("<I", t.id) for t in self._merge(shown)])
+            if len(piece) > MEMO_BYTES:
+                return ids
         if len(self) >= MEMO_WORDS:
+            self._old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -193,7 +199,7 @@ class WordEncoder(dict):
     """Bytes of a word -> bytes of its ids (little-endian, 32 bits), by the library, with a memo of two generations.
 
     Words of printable ASCII and the accented letters of Latin-1 are cut here into the pieces that the tokenizer's pattern finds in them, and only
-    the merges are the library's; other words go through the library whole. A tokenizer that isn't declared as BY_WORDS encodes whole texts.
+    the merges are the library's; a text that has no other words is cut whole, without a look at its words. Other words go through the library whole. A tokenizer that isn't declared as BY_WORDS encodes whole texts.
     """
 
     def __init__(self, spec: str, special_as_text: bool):
@@ -213,6 +219,8 @@ class WordEncoder(dict):
         # A word with "<" may hold a special token, so it goes through the library.
         self._plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
         self._cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+        self._plain_text = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ \t-\r]*").fullmatch
+        self._cut_text = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t-\r]+").findall
         self._piece_ids = PieceEncoder(self._tokenizer.model).__getitem__
 
     def _whole(self, text: str) -> bytes:
@@ -232,8 +240,13 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: bytes | None, end: bytes) -> np.ndarray:
-        text = text or b""
-        ids = b"".join(map(self.__getitem__, text.split())) if self.by_words else self._whole(text.decode())
+        shown = (text or b"").decode()
+        if not self.by_words:
+            ids = self._whole(shown)
+        elif self._plain_text(shown):
+            ids = b"".join(map(self._piece_ids, self._cut_text(shown.lower())))
+        else:
+            ids = b"".join(map(self.__getitem__, text.split()))
         return np.frombuffer(ids + end, dtype="<u4")
 
 

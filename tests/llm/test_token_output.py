@@ -117,3 +117,21 @@ def test_torn_file_is_refused():
         T.ShardReader(content[:-5])
     with pytest.raises(ValueError):
         T.ShardReader(b"")
+
+
+def test_plain_texts_are_cut_at_once_into_the_ids_of_the_library():
+    """Words that occur once cost no look at each word; other words, special tokens and long pieces have the library's ids, too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rosterforge.llm.token_output import WordEncoder
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    encoder, library = WordEncoder(spec, False), Tokenizer.from_str(spec)
+    plain = ["It's 'Tis don't-they'll ''s 'S 'LL L'Été", "ÀÉß ÿ x\x0by\x0cz\r\n12a3\t!?", " ".join(f"once{k}x" for k in range(200)), "q" * 200 + " " + "!" * 300, "é" * 100, "", " \n"]
+    others = ["×÷ x", "A<b c", "日本 it's", "\x1c a", "a\xa0b \xadc"]
+    for text in plain + others:
+        assert encoder.encode(text.encode(), b"").tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert text not in plain or not len(encoder)
+    assert len(encoder) and max(map(len, encoder._piece_ids.__self__)) <= 64
