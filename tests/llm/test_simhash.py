@@ -154,7 +154,7 @@ def test_links_of_a_leaf_are_stars_and_not_all_pairs(spark):
     sets = [np.unique(base[rng.random(300) < 0.97]) for _ in range(300)]
     nodes = spark.createDataFrame([(i, len(x), bytearray(simhash.wide_fingerprint(x).tobytes())) for i, x in enumerate(sets)], "node long, size long, bits binary")
     links = simhash.candidate_links(nodes, 0.8)
-    assert links.count() <= 40 * len(sets)  # all pairs of all leaves: over 500,000
+    assert links.count() <= 40 * len(sets)  # all pairs of all leaves: 940,329
     assert {r.component for r in simhash.connected_components(links).collect()} == {0}
 
 
