@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rosterforge.operators import consolidate as C
@@ -74,6 +75,27 @@ def test_similarity_join_skips_far_cells(spark):
     assert report["compared"] < 600 * 599 / 2 / 4 and report["sent"] < 3 * 600
 
 
+def test_similarity_join_of_vectors_without_near_pivots(spark):
+    """Distances in many dimensions crowd together: no vector goes to more tasks than there are blocks, and no batch of pairs is larger than a step."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 64))
+    v[300:360] = v[300] + 0.01 * rng.normal(size=(60, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    report = {}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "team_id long, final_vector array<double>")
+    got = V.similarity_join(df, 0.88, block_rows=200, report=report).collect()
+    assert {(r.a, r.b) for r in got} == set(zip(*(k.tolist() for k in np.nonzero(np.triu(v @ v.T, 1) >= 0.88)))) and len(got) >= 60 * 59 // 2
+    assert report["sent"] <= 600 * 3
+
+
+def test_pairs_of_a_dense_block_come_in_bounded_batches():
+    n = 1024
+    columns = [[0] * n, [0] * n, [0] * n, [0] * n, [True] * n, list(range(n)), [[1.0, 0.0]] * n, [0.0] * n]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "lo", "hi", "side", "home", "team_id", "v", "d"])
+    sizes = [b.num_rows for b in V._compare(0.9, 1.0)([batch])]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= V.STEP_PAIRS
+
+
 def test_similarity_join_of_no_rows(spark):
     assert V.similarity_join(spark.createDataFrame([], "team_id long, final_vector array<double>"), 0.9).isEmpty()
 
