@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,46 +121,38 @@ def greedy_clusters(rows: DataFrame, threshold: float, min_size: int, max_teams:
 def greedy_choice(rows: DataFrame, pairs: DataFrame, min_size: int) -> DataFrame:
     """team_id, cluster_id, cluster_size of the sequential choice over rows (team_id, lineup_count) linked by pairs, in parallel rounds.
 
-    In a round every open team is chosen that comes before all open teams within two links over open teams. No team that comes before a chosen one can still want
-    any of its open neighbours, so its members are what the sequential choice gives it, and no two chosen teams share a member. The first open team is
-    always chosen, so rounds end; only narrow links move, each round is written out, and clusters are numbered in the order of their seeds.
+    Links point from the earlier team to the later one. An open team that no chosen team reaches and that no open team comes before among its links will be a seed: nobody
+    can take it any more. It is chosen if the teams that no earlier open team reaches are enough for it, used up alone if all that it may still take are too few, and else
+    waits; from min_size 2 on down it is chosen at once, as a seed without a member changes nothing. A team that a chosen one reaches is no seed, and belongs to the earliest chosen one that reaches it,
+    so links to it from later teams go, and so do those from teams that are decided. The first open team is always decided, so rounds end; each round is written out, and
+    clusters are numbered in the order of their seeds.
     """
     spark = rows.sparkSession
-    held = new_folder(spark)
+    held, at = new_folder(spark), new_folder(spark)
     key = F.struct((-F.col("lineup_count")).alias("o"), F.col("team_id").alias("t"))
-    keys = broadcast_if_small(materialize(rows.select("team_id", key.alias("k")), held))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    named = both.join(keys.select(F.col("team_id").alias("a"), F.col("k").alias("ka")), "a").join(keys.select(F.col("team_id").alias("b"), F.col("k").alias("kb")), "b")
-    links = materialize(named.select("ka", "kb"), held)
-    taken = []
-    if min_size <= 1:  # teams without a link are clusters, too
-        taken.append(materialize(rows.join(broadcast_if_small(links.select(F.col("ka.t").alias("team_id")).distinct()), "team_id", "left_anti").select(key.alias("seed"), key.alias("k")), held))
-    done = None
+    keys = materialize(rows.select("team_id", key.alias("k")), held)
+    named = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        named = named.join(broadcast_if_small(keys.select(F.col("team_id").alias(side), F.col("k").alias(f"k{side}"))), side)
+    links = materialize(named.select(F.least("ka", "kb").alias("e"), F.greatest("ka", "kb").alias("l")), at)
+    owners = materialize(links.select("l", F.col("e").alias("m")).limit(0), at)
     while not links.isEmpty():
-        near = materialize(links.groupBy(F.col("ka").alias("k")).agg(F.least(F.col("ka"), F.min("kb")).alias("first")), done or held)
-        over = links.join(broadcast_if_small(near.select(F.col("k").alias("kb"), "first")), "kb").groupBy("ka").agg(F.min("first").alias("first"))
-        chosen = materialize(over.where(F.col("first") == F.col("ka")).select("ka"), done or held)
-        members = links.join(broadcast_if_small(chosen), "ka").select(F.col("ka").alias("seed"), F.col("kb").alias("k"))
-        members = materialize(members.unionByName(chosen.select(F.col("ka").alias("seed"), F.col("ka").alias("k"))), done or held)
-        large = members.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("seed")
-        won = members.join(broadcast_if_small(materialize(large, done or held)), "seed")
-        taken.append(materialize(won, held))
-        gone = broadcast_if_small(materialize(taken[-1].select("k").unionByName(chosen.select(F.col("ka").alias("k"))).distinct(), done or held))
-        # Open teams whose last open neighbour goes are alone from now on: they are too small, or clusters of their own.
-        left = links.join(gone.select(F.col("k").alias("ka")), "ka", "left_anti")
-        lost = materialize(left.join(gone.select(F.col("k").alias("kb")), "kb", "left_anti"), new := new_folder(spark))
-        if min_size <= 1:
-            alone = left.select(F.col("ka").alias("k")).distinct().join(lost.select(F.col("ka").alias("k")).distinct(), "k", "left_anti")
-            taken.append(materialize(alone.select(F.col("k").alias("seed"), "k"), held))
-        if done:
-            remove_tree(spark, done)
-        links, done = lost, new
-    if done:
+        first = materialize(links.groupBy("l").agg(F.min("e").alias("first")), at)
+        reached = broadcast_if_small(first.select("l").union(owners.select("l")).distinct().withColumnRenamed("l", "e"))
+        per = links.join(broadcast_if_small(first), "l").groupBy("e").agg(F.count(F.lit(1)).alias("most"), F.count_if(F.col("first") == F.col("e")).alias("sure")).join(reached, "e", "left_anti")
+        chosen = F.lit(True) if min_size <= 2 else F.col("sure") >= min_size - 1
+        decided = materialize(per.select("e", chosen.alias("chosen")).where(F.col("chosen") | (F.col("most") < min_size - 1)), at)
+        won = links.join(broadcast_if_small(decided.where("chosen").select("e")), "e").select("l", F.col("e").alias("m"))
+        done, at = at, new_folder(spark)
+        owners = materialize(owners.unionByName(won).groupBy("l").agg(F.min("m").alias("m")), at)
+        closed = broadcast_if_small(decided.select("e").union(owners.select("l")).distinct())
+        left = links.join(closed, "e", "left_anti").join(broadcast_if_small(owners), "l", "left")
+        links = materialize(left.where("m IS NULL OR e < m").select("e", "l"), at)
         remove_tree(spark, done)
-    if not taken:
-        return spark.createDataFrame([], "team_id long, cluster_id long, cluster_size long")
-    every = materialize(reduce(DataFrame.unionByName, taken))
-    remove_tree(spark, held)
+    seeds = keys.join(broadcast_if_small(owners.select(F.col("l").alias("k"))), "k", "left_anti").select("k") if min_size <= 1 else owners.select(F.col("m").alias("k")).distinct()
+    every = materialize(owners.select(F.col("m").alias("seed"), F.col("l").alias("k")).unionByName(seeds.select(F.col("k").alias("seed"), "k")))
+    for folder in (held, at):
+        remove_tree(spark, folder)
     return numbered(every, "seed", F.col("k.t"))
 
 

@@ -131,6 +131,18 @@ def test_greedy_choice_equals_the_loop(spark, seed, edges, min_size):
     assert all(r.cluster_size == len(found[r.cluster_id]) for r in got)
 
 
+def test_seeds_in_a_chain_are_chosen_in_one_round(spark, monkeypatch):
+    """Ten seeds, each of which reaches two teams of its own and one that the next seed reaches, too, need no round each."""
+    made, plain = [], C.new_folder
+    monkeypatch.setattr(C, "new_folder", lambda session: made.append(1) or plain(session))
+    pairs = [p for i in range(10) for p in ((i, 10 + i), (i, 30 + i), (i, 50 + i), (i + 1, 50 + i)) if p[0] < 10]
+    teams = sorted({x for p in pairs for x in p})
+    df = spark.createDataFrame([(i, 1) for i in teams], "team_id long, lineup_count long")
+    got = C.greedy_choice(df, spark.createDataFrame(pairs, "a long, b long"), 3).collect()
+    assert {(r.team_id, r.cluster_id) for r in got} == {(x, i) for i in range(10) for x in (i, 10 + i, 30 + i, 50 + i)}
+    assert len(made) <= 5
+
+
 @pytest.mark.parametrize("n,block", [(1, 2048), (2, 1), (90, 16), (90, 2048)])
 def test_nearest_others_equal_all_pairs(spark, n, block):
     v = clustered()[:n]
