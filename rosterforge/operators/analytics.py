@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from rosterforge.functions.scalars import rivalry, stability_hint, volatility
 from rosterforge.functions.vectors import dot
-from rosterforge.operators.consolidate import jaccard, similar_pairs_within, with_sides
-from rosterforge.operators.vector_join import nearest_others
+from rosterforge.operators.vector_join import nearest_others, similar_within
 from rosterforge.operators.vectors import weighted_centroid
 from rosterforge.plans.components import connected_components
+from rosterforge.plans.storage import materialize
 
 
 def volatility_of() -> Column:
@@ -124,20 +124,22 @@ def membership_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def diversity_pairs(members: DataFrame, rosters: DataFrame, min_similarity: float, max_overlap: float) -> DataFrame:
-    """cluster_id, a, b, similarity, overlap, pool: similar teams of a cluster with different players. rosters: team_id, players."""
-    known = members.join(rosters.select("team_id", "players"), "team_id")
-    pairs = with_sides(similar_pairs_within(known, min_similarity), known, "players")
-    overlap = jaccard(F.col("players_a"), F.col("players_b"))
-    out = pairs.withColumns({"overlap": overlap, "pool": F.size(F.array_union("players_a", "players_b")).cast("long"), "shared": F.size(F.array_intersect("players_a", "players_b")).cast("long")})
-    return out.where(F.col("overlap") <= max_overlap).select("cluster_id", "a", "b", "similarity", "overlap", "pool", "shared")
-
-
-def diversity_cohorts(pairs: DataFrame, rosters: DataFrame) -> DataFrame:
-    """Components of the pairs: cohort_id (smallest team), teams, pairs, roster pool, players common to all, similarity and overlap ranges."""
-    comp = connected_components(pairs).select(F.col("node").alias("team_id"), F.col("component").alias("cohort_id"))
-    numbers = pairs.join(comp.withColumnRenamed("team_id", "a"), "a").groupBy("cohort_id").agg(
-        F.count(F.lit(1)).alias("pair_count"), F.avg("similarity").alias("similarity_avg"), F.min("similarity").alias("similarity_min"),
-        F.max("similarity").alias("similarity_max"), F.min("overlap").alias("overlap_min"), F.max("overlap").alias("overlap_max"), F.first("cluster_id").alias("cluster_id"))
+    """cluster_id, a, b, similarity, overlap, pool, shared: similar teams of a cluster with different players. rosters: team_id, players."""
+    known = members.join(rosters.select("team_id", F.col("players").alias("members")), "team_id")
+    return similar_within(known, min_similarity, "cluster_id", max_overlap=max_overlap)
+
+
+def diversity_cohorts(members: DataFrame, rosters: DataFrame, min_similarity: float, max_overlap: float) -> DataFrame:
+    """Components of the pairs: cohort_id (smallest team), teams, pairs, roster pool, players common to all, similarity and overlap ranges.
+
+    The pairs stay in the tasks that find them: these give links and sums by team.
+    """
+    known = members.join(rosters.select("team_id", F.col("players").alias("members")), "team_id")
+    sums = materialize(similar_within(known, min_similarity, "cluster_id", max_overlap=max_overlap, sums=True))
+    comp = materialize(connected_components(sums.where("a <> b")).select(F.col("node").alias("team_id"), F.col("component").alias("cohort_id")))
+    numbers = sums.where("pair_count > 0").join(comp.withColumnRenamed("team_id", "a"), "a").groupBy("cohort_id").agg(
+        F.sum("pair_count").alias("pair_count"), (F.sum("similarity_sum") / F.sum("pair_count")).alias("similarity_avg"), F.min("similarity_min").alias("similarity_min"),
+        F.max("similarity_max").alias("similarity_max"), F.min("overlap_min").alias("overlap_min"), F.max("overlap_max").alias("overlap_max"), F.first("cluster_id").alias("cluster_id"))
     each = comp.join(rosters.select("team_id", F.explode("players").alias("p")), "team_id")
     size = comp.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("team_count"))
     pool = each.groupBy("cohort_id", "p").agg(F.count(F.lit(1)).alias("n")).join(size, "cohort_id").groupBy("cohort_id", "team_count").agg(

@@ -177,6 +177,28 @@ class _Stars(_Pairs):
         yield [self.ids[at], self.ids[self.root[at]]]
 
 
+class _Sums(_Stars):
+    """cell, a, b as in _Stars, and of the pairs counted at a: their number, sum, least and largest similarity, least and largest first value of the test."""
+
+    def __init__(self, cell: int, ids: np.ndarray):
+        super().__init__(cell, ids)
+        self.n, self.total = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
+        self.least, self.most = ([np.full(len(ids), x) for _ in range(2)] for x in (math.inf, -math.inf))
+
+    def add(self, p, q, dots, more):
+        self.n += np.bincount(p, minlength=len(self.ids))
+        self.total += np.bincount(p, weights=dots, minlength=len(self.ids))
+        for k, values in enumerate((dots, more[0])):
+            np.minimum.at(self.least[k], p, values)
+            np.maximum.at(self.most[k], p, values)
+        return super().add(p, q, dots, more)
+
+    def end(self):
+        at = np.flatnonzero((self.n > 0) | (self.root != np.arange(len(self.root))))
+        ends = [c[k][at] for k in range(2) for c in (self.least, self.most)]
+        yield [np.full(len(at), self.cell, dtype=np.int64), self.ids[at], self.ids[self.root[at]], self.n[at], self.total[at], *ends]
+
+
 def _units(batches) -> Iterator[tuple[tuple, pa.Table]]:
     """(cell, lo, hi) and rows of each two blocks; the rows are sorted."""
     now, held = None, []
@@ -312,6 +334,65 @@ def similarity_join(rows: DataFrame, threshold: float, vector: str = "final_vect
     return found.where("a IS NOT NULL").select("a", "b", "similarity")
 
 
+def similarity_stars(rows: DataFrame, threshold: float, vector: str = "final_vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b: links between what similarity_join() links, as few as a row of two blocks, so that their components are those of all pairs."""
+    rows = materialize(rows.select("team_id", F.col(vector).alias("v")).where(F.col("v").isNotNull()))
+    n = rows.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "a long, b long")
+    dealt, rho, _ = _cells(rows, n, threshold, None, block_rows)
+    met = _dealt(dealt, dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), block_rows)
+    return met.mapInArrow(_compare(threshold, rho, _Stars), "a long, b long")
+
+
+def _enough(least: float):
+    def test(sets: Sets, p, q):
+        small = np.minimum(sets.length[p], sets.length[q])
+        share = lambda n, small: np.divide(n, small, out=np.zeros(len(n)), where=small > 0)
+        stay = share(sets.most(p, q), small) >= least
+        stay[stay] = share(sets.shared(p[stay], q[stay]), small[stay]) >= least
+        return stay, []
+
+    return test
+
+
+def sharing_stars(rows: DataFrame, members: DataFrame, threshold: float, min_shared: float, vector: str = "final_vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b: links as of similarity_stars(), of pairs that share min_shared or more of the smaller set. members: team_id, members."""
+    rows = materialize(rows.select("team_id", F.col(vector).alias("v")).where(F.col("v").isNotNull()).join(members, "team_id"))
+    n = rows.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "a long, b long")
+    dealt, rho, _ = _cells(rows, n, threshold, None, block_rows)
+    dealt = dealt.join(rows.select("team_id", "members"), "team_id")
+    met = _dealt(dealt, dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), block_rows, "members")
+    return met.mapInArrow(_compare(threshold, rho, _Stars, _enough(min_shared)), "a long, b long")
+
+
+def _apart(most: float):
+    def test(sets: Sets, p, q):
+        shared = sets.shared(p, q)
+        union = sets.size[p] + sets.size[q] - shared
+        overlap = np.divide(shared, union, out=np.zeros(len(p)), where=union > 0)
+        return overlap <= most, [overlap, union, shared]
+
+    return test
+
+
+def similar_within(rows: DataFrame, threshold: float, key: str, vector: str = "final_vector", max_overlap: float | None = None, sums: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key (a long), a, b, similarity of pairs of the same group (rows: key, team_id, vector).
+
+    max_overlap: only pairs whose sets (rows: members) overlap by so much at most, with overlap, pool and shared (members of either and of both). sums: no pairs, but key, a, b
+    as of similarity_stars(), and pair_count, similarity_sum, similarity_min, similarity_max, overlap_min, overlap_max of the pairs counted at a.
+    """
+    more = [] if max_overlap is None else ["members"]
+    rows = materialize(rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("cell"), F.lit(True).alias("home"), "team_id", F.col(vector).alias("v"), F.lit(0.0).alias("d"), *more))
+    met = _dealt(rows, rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), block_rows, *more)
+    columns = f"{key} long, a long, b long, similarity double" + ", overlap double, pool long, shared long" * bool(more)
+    if sums:
+        columns = f"{key} long, a long, b long, pair_count long, similarity_sum double, similarity_min double, similarity_max double, overlap_min double, overlap_max double"
+    return met.mapInArrow(_compare(threshold, math.inf, _Sums if sums else _Pairs, _apart(max_overlap) if more else None), columns)
+
+
 def nearest_others(rows: DataFrame, block_rows: int = NEAREST_ROWS) -> DataFrame:
     """id, similarity: the largest dot product of each vector (rows: id, v) with another row's; a row alone is absent.
 

@@ -114,7 +114,8 @@ dp AS MATERIALIZED (SELECT cluster_id, a, b, similarity, s::DOUBLE / (na + nb -
 
 
 def rosters(spark, d):
-    return L.roster(L.player_support(wide_counted(spark, d)))
+    """The rosters of the snapshot's teams."""
+    return L.roster(L.player_support(wide_counted(spark, d).join(A.snapshot(spark, d).select("team_id"), "team_id", "left_semi")))
 
 
 def diverse(spark, d):
@@ -134,7 +135,7 @@ nu AS (SELECT cohort_id, any_value(cluster_id) AS cluster_id, count(*) AS pair_c
   FROM dp JOIN comp ON comp.team_id = dp.a GROUP BY 1)
 SELECT * FROM nu JOIN sz USING (cohort_id) JOIN po USING (cohort_id)""")
 def roster_cohorts(spark, d):
-    c = N.diversity_cohorts(materialize(diverse(spark, d)), rosters(spark, d))
+    c = N.diversity_cohorts(A.snapshot(spark, d), materialize(rosters(spark, d)), 0.25, 0.2)
     return c.withColumns({k: F.round(k, 4) for k in ("similarity_avg", "similarity_min", "similarity_max", "overlap_min", "overlap_max")})
 
 

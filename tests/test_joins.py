@@ -152,3 +152,71 @@ def test_nearest_others_equal_all_pairs(spark, n, block):
     got = {r.id: r.similarity for r in V.nearest_others(df, block).collect()}
     assert set(got) == (set(range(n)) if n > 1 else set())
     assert all(abs(got[i] - dots[i].max()) < 1e-9 for i in got)
+
+
+def parts(n, pairs):
+    """The components with more than one of n rows."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    out = {}
+    for x in range(n):
+        out.setdefault(find(x), set()).add(x)
+    return sorted(sorted(m) for m in out.values() if len(m) > 1)
+
+
+def with_sets(n=240, dim=8):
+    """Vectors with many pairs, sets with many common members, some empty; one large group of copies."""
+    rng = random.Random(5)
+    v = clustered(n, dim)
+    v[100:180] = v[100]
+    players = [[] if i % 17 == 0 else rng.sample(range(3000) if i % 3 == 0 else range(40), rng.randint(1, 12)) for i in range(n)]
+    return v, players
+
+
+@pytest.mark.parametrize("block", [8192, 37])
+def test_stars_link_what_all_pairs_link(spark, block):
+    v, _ = with_sets()
+    want = [(i, j) for i, j in combinations(range(len(v)), 2) if v[i] @ v[j] >= 0.9]
+    got = [tuple(r) for r in V.similarity_stars(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "team_id long, final_vector array<double>"), 0.9, block_rows=block).collect()]
+    assert parts(len(v), got) == parts(len(v), want)
+    blocks = -(-len(v) // block)
+    assert len(got) < len(want) and (blocks > 1 or len(got) < len(v))
+
+
+@pytest.mark.parametrize("block", [8192, 50])
+def test_sharing_stars_link_what_sharing_pairs_link(spark, block):
+    v, players = with_sets()
+    small = lambda i, j: min(len(players[i]), len(players[j]))
+    want = [(i, j) for i, j in combinations(range(len(v)), 2) if v[i] @ v[j] >= 0.3 and small(i, j) and len({*players[i]} & {*players[j]}) / small(i, j) >= 0.5]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "team_id long, final_vector array<double>")
+    sets = spark.createDataFrame(list(enumerate(players)), "team_id long, members array<long>")
+    got = [tuple(r) for r in V.sharing_stars(rows, sets, 0.3, 0.5, block_rows=block).collect()]
+    assert parts(len(v), got) == parts(len(v), want) and want
+
+
+@pytest.mark.parametrize("block", [8192, 20])
+def test_pairs_of_a_group_and_their_sums_equal_all_pairs(spark, block):
+    v, players = with_sets()
+    both = lambda i, j: len({*players[i]} & {*players[j]})
+    union = lambda i, j: len({*players[i]} | {*players[j]})
+    share = lambda i, j: both(i, j) / union(i, j) if union(i, j) else 0.0
+    want = {(i % 3, i, j): (v[i] @ v[j], share(i, j), union(i, j), both(i, j)) for i, j in combinations(range(len(v)), 2) if i % 3 == j % 3 and v[i] @ v[j] >= 0.25 and share(i, j) <= 0.2}
+    rows = spark.createDataFrame([(i, i % 3, x.tolist(), players[i]) for i, x in enumerate(v)], "team_id long, g long, final_vector array<double>, members array<long>")
+    found = V.similar_within(rows, 0.25, "g", max_overlap=0.2, block_rows=block).collect()
+    assert len(found) == len(want) and {(r.g, r.a, r.b): (r.pool, r.shared) for r in found} == {k: x[2:] for k, x in want.items()}
+    assert all(abs(r.similarity - want[r.g, r.a, r.b][0]) < 1e-9 and abs(r.overlap - want[r.g, r.a, r.b][1]) < 1e-12 for r in found)
+    sums = V.similar_within(rows, 0.25, "g", max_overlap=0.2, sums=True, block_rows=block).collect()
+    assert parts(len(v), [(r.a, r.b) for r in sums]) == parts(len(v), [k[1:] for k in want])
+    assert sum(r.pair_count for r in sums) == len(want) and len(sums) < len(want)
+    held = [r for r in sums if r.pair_count]
+    assert abs(sum(r.similarity_sum for r in held) - sum(x[0] for x in want.values())) < 1e-6
+    for k, name in ((0, "similarity"), (1, "overlap")):
+        assert abs(min(r[f"{name}_min"] for r in held) - min(x[k] for x in want.values())) < 1e-9
+        assert abs(max(r[f"{name}_max"] for r in held) - max(x[k] for x in want.values())) < 1e-9
