@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterforge.functions.scalars import casing_penalty, family_key, near_match, qualifier_penalty
-from rosterforge.functions.vectors import dot
 from rosterforge.operators.set_join import sharing_pairs
-from rosterforge.operators.vector_join import similarity_join
+from rosterforge.operators.vector_join import sharing_stars, similarity_join, similarity_stars
 from rosterforge.plans.components import connected_components
 from rosterforge.plans.storage import broadcast_if_small, materialize, new_folder, remove_tree
 
@@ -79,31 +78,26 @@ def similar_pairs(rows: DataFrame, threshold: float, vector: str = "final_vector
     return similarity_join(rows, threshold, vector)
 
 
-def similar_pairs_within(rows: DataFrame, threshold: float, key: str = "cluster_id", vector: str = "final_vector") -> DataFrame:
-    """a, b, similarity of pairs inside the same group."""
-    a = rows.select(key, F.col("team_id").alias("a"), F.col(vector).alias("va"))
-    b = rows.select(key, F.col("team_id").alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, key).where("a < b").select(key, "a", "b", dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
+def similar_links(rows: DataFrame, threshold: float, vector: str = "final_vector") -> DataFrame:
+    """a, b: links with the components of similar_pairs(), but not all pairs of a dense group."""
+    return similarity_stars(rows, threshold, vector)
 
 
-def similar_roster_pairs(rows: DataFrame, rosters: DataFrame, vector_threshold: float = 0.88, min_shared: float = 0.60) -> DataFrame:
-    """a, b: similar vectors whose rosters share enough of the smaller one. rosters: team_id, players."""
-    near = with_sides(similar_pairs(rows, vector_threshold), rosters, "players")
-    small = F.least(F.size("players_a"), F.size("players_b"))
-    fraction = F.when(small > 0, F.size(F.array_intersect("players_a", "players_b")) / small).otherwise(0.0)
-    return near.where(fraction >= min_shared).select("a", "b")
+def similar_roster_links(rows: DataFrame, rosters: DataFrame, vector_threshold: float = 0.88, min_shared: float = 0.60) -> DataFrame:
+    """a, b: links with the components of similar vectors whose rosters share enough of the smaller one. rosters: team_id, players."""
+    return sharing_stars(rows, rosters.select("team_id", F.col("players").alias("members")), vector_threshold, min_shared)
 
 
-def hybrid_pairs(rows: DataFrame, rosters: DataFrame, vector_threshold: float = 0.88, min_shared: float = 0.60, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """a, b: eligible, or similar vectors that share enough of the smaller roster. rosters: team_id, players."""
-    return eligible_pairs(rows, min_overlap).unionByName(similar_roster_pairs(rows, rosters, vector_threshold, min_shared)).distinct()
+def hybrid_links(rows: DataFrame, rosters: DataFrame, vector_threshold: float = 0.88, min_shared: float = 0.60, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """a, b: eligible pairs, and similar vectors that share enough of the smaller roster as links. rosters: team_id, players."""
+    return eligible_pairs(rows, min_overlap).unionByName(similar_roster_links(rows, rosters, vector_threshold, min_shared))
 
 
 #: Named clusterings of rows (team_id, lineup, counts, vectors) and rosters.
 CLUSTERINGS = {
     "family": lambda rows, rosters: clusters(rows, eligible_pairs(rows)),
-    "vector_union": lambda rows, rosters: clusters(rows, similar_pairs(rows, 0.88).select("a", "b")),
-    "hybrid": lambda rows, rosters: clusters(rows, hybrid_pairs(rows, rosters)),
+    "vector_union": lambda rows, rosters: clusters(rows, similar_links(rows, 0.88)),
+    "hybrid": lambda rows, rosters: clusters(rows, hybrid_links(rows, rosters)),
 }
 
 

@@ -38,14 +38,14 @@ def vector_similarity_pairs(spark, d):
 @query(recursive(_FAMILY + f", sim AS MATERIALIZED ({_pairs(0.88)})", "sim", "family_snapshot", _CLUSTERS))
 def vector_union_families(spark, d):
     rows = A.family_snapshot(spark, d)
-    return C.clusters(rows, C.similar_pairs(rows, 0.88).select("a", "b"))
+    return C.clusters(rows, C.similar_links(rows, 0.88))
 
 
 @query(recursive(_FAMILY + f", hy AS MATERIALIZED (SELECT a, b FROM ({_pairs(0.88)}) JOIN family_snapshot x ON x.team_id = a JOIN family_snapshot y ON y.team_id = b WHERE len(list_intersect(x.players, y.players)) >= 0.6::DOUBLE * 5)", "hy", "family_snapshot", _CLUSTERS))
 def vector_roster_families(spark, d):
     """Similar vectors whose rosters overlap by 0.60 or more, at the default thresholds of the hybrid clustering."""
     rows = A.family_snapshot(spark, d)
-    return C.clusters(rows, C.similar_roster_pairs(rows, rows.select("team_id", "players")))
+    return C.clusters(rows, C.similar_roster_links(rows, rows.select("team_id", "players")))
 
 
 def _greedy(threshold: float, size: int) -> str:

@@ -238,8 +238,8 @@ el AS (SELECT a, b FROM nm WHERE la = lb OR near OR (s::DOUBLE / (len(la) + len(
 """
 
 
-def top_rows(spark, d):
-    counts = L.variants(lineups(spark, d, 3, 6))
+def top_rows(spark, d, counts=None):
+    counts = L.variants(lineups(spark, d, 3, 6)) if counts is None else counts
     stats = counts.groupBy("team_id").agg(F.sum("n").alias("lineup_count"), F.count(F.lit(1)).alias("distinct_lineup_count"), (F.max("n") / F.sum("n")).alias("top_lineup_share"))
     return L.top_lineup(counts).drop("n").join(stats, "team_id")
 
@@ -307,7 +307,7 @@ def family_clusters(spark, d):
 @query(recursive(_SNAP + f", sim AS MATERIALIZED (SELECT a.team_id AS a, b.team_id AS b FROM snapshot a JOIN snapshot b ON a.team_id < b.team_id WHERE {_DOT}(a.final_vector, b.final_vector) >= 0.4)", "sim", "snapshot", _CLUSTERS))
 def vector_union_clusters(spark, d):
     rows = A.snapshot(spark, d)
-    return C.clusters(rows, C.similar_pairs(rows, 0.4).select("a", "b"))
+    return C.clusters(rows, C.similar_links(rows, 0.4))
 
 
 _HYBRID = _TOP.replace("WITH appearances", "WITH snapshot AS (" + A.FRAMES["snapshot"] + "), appearances", 1) + f""", ro AS (SELECT team_id, list(player_id) AS players FROM support GROUP BY 1),
@@ -318,9 +318,10 @@ he AS MATERIALIZED (SELECT a, b FROM el JOIN snapshot x ON x.team_id = a JOIN sn
 
 @query(recursive(_HYBRID, "he", "(SELECT team_id FROM snapshot JOIN top USING (team_id))", _CLUSTERS))
 def hybrid_clusters(spark, d):
-    rows = top_rows(spark, d).join(A.snapshot(spark, d).select("team_id", "final_vector"), "team_id")
-    players = L.roster(L.player_support(L.variants(lineups(spark, d, 3, 6))))
-    return C.clusters(rows, C.hybrid_pairs(rows, players, 0.3, 0.2))
+    vectors = A.snapshot(spark, d).select("team_id", "final_vector")
+    counts = materialize(L.variants(lineups(spark, d, 3, 6)).join(vectors.select("team_id"), "team_id", "left_semi"))
+    rows = materialize(top_rows(spark, d, counts).join(vectors, "team_id"))
+    return C.clusters(rows, C.hybrid_links(rows, L.roster(L.player_support(counts)), 0.3, 0.2))
 
 
 @query()
